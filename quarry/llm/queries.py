@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import chat_windows, decontaminate, near_dup, token_counts
+from quarry.llm import chat_windows, decontaminate, near_dup, ppm, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,13 @@ def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
+    found = ppm.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=2, similarity=0.8)
 
@@ -39,6 +46,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op9_minhash_near_dup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
