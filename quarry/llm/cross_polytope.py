@@ -94,8 +94,8 @@ def _scored(dim: int, k: int, ids: pa.DataType):
     return run
 
 
-def search(vectors: DataFrame, is_query, *, k: int = 20, tables: int = 8, probes: int = 16, least: int = 1000, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The ``k`` nearest of each query row found, by largest inner product in double precision.
+def search(vectors: DataFrame, is_query: str, *, k: int = 20, tables: int = 8, probes: int = 16, least: int = 1000, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The ``k`` nearest of each row that meets the SQL condition ``is_query``, by largest inner product in double precision.
 
     ``query_id, rank int, <id> , score``; nearest first, ties to the smaller id;
     the query's own id is left out. Every row is indexed; nothing is fitted to
@@ -109,9 +109,9 @@ def search(vectors: DataFrame, is_query, *, k: int = 20, tables: int = 8, probes
     take no part. Repeated rows count once; further columns are ignored; an
     empty table gives no rows.
     """
-    finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("embedding"), is_query.alias("asks"))
-    good = good.where(F.col("id").isNotNull() & finite.eqNullSafe(True) & F.exists("embedding", lambda x: x != 0)) if vec_col == "embedding" else good.where(F.col("id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).eqNullSafe(True) & F.exists("embedding", lambda x: x != 0))
+    good = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.expr(is_query).alias("asks"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = good.where(F.col("id").isNotNull() & finite.eqNullSafe(True) & F.exists("embedding", lambda x: x != 0))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     sizes = good.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.min(norm).alias("low"), F.max(norm).alias("high")).orderBy(F.desc("n"), "dim").first()
     kind = good.schema["id"].dataType.simpleString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import chat_windows, decontaminate, near_dup, ppm, token_counts
+from quarry.llm import chat_windows, cross_polytope, cube_mix, decontaminate, near_dup, ppm, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.mix(_table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
+
+
+def op7_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
@@ -46,6 +54,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op4_cube_mix, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
