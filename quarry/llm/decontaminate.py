@@ -33,7 +33,7 @@ def _grams(words: Words, n: int) -> np.ndarray:
     h, row = words.hash, words.row
     out = np.full(len(h), _NONE)
     if len(h) >= n:
-        total, q = np.zeros(len(h) - n + 1, dtype=np.uint64), np.uint64(1)
+        total, q = np.zeros(len(h) - n + 1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
         for j in range(n):
             total += h[j : len(h) - n + 1 + j] * q
             q = q * _Q

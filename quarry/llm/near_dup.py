@@ -5,13 +5,14 @@ in fewer than ``2 * chunks`` symbols, some chunk has one wrong symbol at most
 (pigeonhole), so both rows share one of that chunk's keys: the chunk with one
 symbol left out, each in turn. All pairs under that distance therefore become
 candidates; pairs beyond it usually do as well, and those that cannot reach the
-similarity by a margin of one in a thousand million are dropped by distance.
+similarity but for one in a million are dropped by distance.
 What is left is confirmed on full shingle sets.
 
 Copies are joined to one class before that. Rows of a key are first compared
 with the key's smallest row only; components of these links are closed; then
 rows of a key that still lie in different components are compared with each
-other. Comparisons inside a component cannot change it, so no link between
+other, unless set sizes or the distances from the key's smallest row rule a link
+out. Comparisons inside a component cannot change it, so no link between
 components is lost and no group emits all its pairs.
 """
 
@@ -30,9 +31,10 @@ from quarry.llm.scratch import materialize
 from quarry.llm.shingles import features, shingle_sets
 
 _SEMI_BUCKETS = 1 << 20
+_TOGETHER = 512
 
 
-def distance_limit(symbols: int, similarity: float, miss: float = 1e-9) -> int:
+def distance_limit(symbols: int, similarity: float, miss: float = 1e-6) -> int:
     """The signature distance that a pair of that similarity exceeds with probability ``miss`` at most."""
     p, rest = 1 - similarity, 0.0
     for d in range(symbols, 0, -1):
@@ -64,26 +66,21 @@ def _keyed(classes: DataFrame, chunks: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"key long, id {rows.schema['id'].dataType.simpleString()}")
 
 
-def _near(pairs: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
-    """Pairs whose signatures differ in ``limit`` symbols at most."""
-    s = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda hit: hit))
-    return s.where(F.size("sa") - same <= limit).select("a", "b")
-
-
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets reach the similarity. ``pairs`` must be a written table."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def _sets(ids: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, shingles`` of the rows whose id is in ``ids``, written."""
     # at most _SEMI_BUCKETS numbers, however many ids: small enough to send to every task, and texts need no shuffle
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_SEMI_BUCKETS)).cast("int")
     wanted = F.broadcast(ids.select(bucket("id").alias("bucket")).distinct())
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("bucket", bucket("id")).join(wanted, "bucket", "left_semi")
-    sets = shingle_sets(some, k, "id").join(ids.distinct(), "id", "left_semi")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    per_mille = round(similarity * 1000)
-    return both.where(shared * 1000 >= (F.size("x") + F.size("y") - shared) * per_mille).select("a", "b")
+    return materialize(shingle_sets(some, k, "id").join(ids.distinct(), "id", "left_semi"), "sets")
+
+
+def _shared(x, y):
+    return F.size(F.array_intersect(x, y)).cast("long")
+
+
+def _reaches(shared, x, y, similarity: float):
+    return shared * 1000 >= (F.size(x) + F.size(y) - shared) * round(similarity * 1000)
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, chunks: int = 10, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,27 +97,45 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, chu
     f = materialize(features(docs, k, chunks * width, id_col, text_col), "features")
     classes = f.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    comp = components(links(docs, classes, k=k, similarity=similarity, chunks=chunks, width=width, id_col=id_col, text_col=text_col))
+    comp = components(_links(docs, classes, k=k, similarity=similarity, chunks=chunks, width=width, id_col=id_col, text_col=text_col))
     out = f.drop("sig").join(classes.drop("sig"), "set_key", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, chunks: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links ``a, b`` between class representatives, enough to give all components."""
+def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, chunks: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Links ``a, b`` between class representatives that give all components."""
     limit = distance_limit(chunks * width, similarity)
     keyed = _keyed(classes, chunks, width)
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("rows")).where("rows > 1")
     shared = materialize(keyed.join(heads, "key"), "keys")
-    first = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first = materialize(_near(first, classes, limit), "pairs")
-    found = materialize(_confirm(first, docs, k, similarity, id_col, text_col), "confirmed")
-    comp = components(found)
+    pairs = materialize(shared.where("id <> head").select("head", "id").distinct(), "pairs")
+    sets = _sets(pairs.select(F.explode(F.array("head", "id")).alias("id")), docs, k, id_col, text_col)
+    both = pairs.join(sets.withColumnRenamed("shingles", "y"), "id").join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("x")), "head")
+    same = _shared("x", "y")
+    measured = materialize(both.select("head", "id", (1 - same / (F.size("x") + F.size("y") - same)).alias("distance"), _reaches(same, "x", "y", similarity).alias("linked")), "measured")
+    comp = components(measured.where("linked").select(F.col("head").alias("a"), F.col("id").alias("b")))
+
     # keys of two rows are settled; of the others, those with rows in several components are compared across them
-    rest = shared.where("n > 2").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = shared.where("rows > 2").select("key", "head", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(rest.join(mixed, "key"), "rest").where("id <> head")
-    a, b = (rest.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    across = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    across = materialize(_near(across, classes, limit), "pairs-across")
-    return found.unionByName(_confirm(across, docs, k, similarity, id_col, text_col))
+    pool = rest.where("id <> head").join(mixed, "key").select("head", "id", "component").distinct()
+    pool = pool.join(measured.drop("linked"), ["head", "id"]).join(classes.select(F.col("rep").alias("id"), "sig"), "id").join(sets, "id")
+    pool = materialize(pool, "pool")
+    # rows with many neighbours under one head are dealt to several tasks
+    parts = pool.groupBy("head").agg(F.ceil(F.count("*") / _TOGETHER).cast("int").alias("parts")).where("parts > 0")
+    pool = pool.join(parts, "head")
+    a, b = (pool.select("head", "parts", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "component", "distance", "sig", "shingles")]) for x in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("a_id"), F.col("parts")).cast("int")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # cheap necessary conditions first: set sizes that allow the similarity; much the same distance from the head
+    # (triangle inequality); signatures near enough
+    small, large = F.least(F.size("a_shingles"), F.size("b_shingles")), F.greatest(F.size("a_shingles"), F.size("b_shingles"))
+    agree = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda hit: hit))
+    met = (
+        (a["head"] == b["head"]) & (a["part"] == b["part"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+        & (small >= similarity * large - 1e-9) & (F.abs(F.col("a_distance") - F.col("b_distance")) <= 1 - similarity + 1e-9)
+        & (chunks * width - agree <= limit) & _reaches(_shared("a_shingles", "b_shingles"), "a_shingles", "b_shingles", similarity)
+    )
+    across = a.join(b, met).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))

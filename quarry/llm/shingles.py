@@ -22,7 +22,7 @@ def of_rows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     out_row = np.concatenate([[0], np.cumsum(per)])
     first = np.repeat(row[:-1] - out_row[:-1], per) + np.arange(out_row[-1])
     width = np.repeat(np.minimum(n, k), per)
-    total, q = mix(width.astype(np.uint64)), np.uint64(1)
+    total, q = mix(width.astype(np.uint64)), np.ones(1, dtype=np.uint64)
     for j in range(k):
         take = np.minimum(first + j, max(len(h) - 1, 0))
         part = h[take] * q if len(h) else np.zeros(0, dtype=np.uint64)
