@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import chat_windows, cross_polytope, cube_mix, decontaminate, near_dup, ppm, token_counts
+from quarry.llm import chat_windows, cross_polytope, cube_mix, decontaminate, html_density, near_dup, ppm, token_counts, url_filters, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,40 @@ def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.round_trip(_table(spark, sf_dir, "pages"), min_dedup_bytes=100)
+
+
 def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(_table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
 
 
+def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched over two years against three lists derived from the hosts and paths among them."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.expr("timestamp_seconds(1672531200 + pmod(page_id * 37, 730) * 86400)"))
+    seen = pages.select(F.regexp_extract("url", url_filters.HOST, 1).alias("host"), F.regexp_extract("url", url_filters.PATH, 1).alias("path")).where("host <> ''")
+    day = "timestamp_seconds(1672531200 + ({}) * 86400)"
+    hosts = seen.select("host").distinct().withColumn("c", F.crc32("host"))
+    paths = seen.select(F.concat("host", F.regexp_extract("path", "^/[^/]+", 0)).alias("value")).where("value like '%/%'").distinct().withColumn("c", F.crc32("value"))
+
+    def dated(df: DataFrame, name: str, kind: str, value: str, action: str, when: str) -> DataFrame:
+        return df.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), F.expr(value).alias("value"), F.lit(action).alias("action"), F.expr(day.format(when)).alias("at"))
+
+    spam, legal, paused = hosts.where("c % 5 = 0"), hosts.where("c % 7 = 1"), paths.where("c % 3 = 0")
+    entries = dated(spam, "spam", "domain", "host", "add", "c % 300")
+    entries = entries.unionByName(dated(spam.where("c % 2 = 0"), "spam", "domain", "host", "remove", "c % 300 + 120"))
+    entries = entries.unionByName(dated(spam.where("c % 4 = 0"), "spam", "domain", "host", "add", "c % 300 + 300"))
+    entries = entries.unionByName(dated(legal, "legal", "host", "host", "add", "c % 500"))
+    entries = entries.unionByName(dated(paused, "paused", "prefix", "value", "add", "c % 400")).unionByName(dated(paused, "paused", "prefix", "value", "remove", "c % 400 + 200"))
+    found = url_filters.active_lists(captures, entries)
+    return found.select("page_id", "url", "host", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
 def op7_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
@@ -54,6 +84,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op4_cube_mix, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
