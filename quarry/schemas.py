@@ -3,13 +3,20 @@
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_KINDS = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(),
+    "strings": T.MapType(T.StringType(), T.StringType()), "floats": T.ArrayType(T.FloatType()),
+}
 
 
-OBJECTS = _struct("bucket string, name string, generation long, metadata map<string,string>, content binary")
+def _struct(fields: str) -> T.StructType:
+    """From ``name kind, ...``, without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in map(str.split, fields.split(","))])
+
+
+OBJECTS = _struct("bucket string, name string, generation long, metadata strings, content binary")
 REGISTRY = _struct("id string, filename string, original_path string, processed_path string, generation long, created_at timestamp, status string, error_message string")
-CHUNKS = _struct("doc_id string, chunk_index int, text string, embedding array<float>")
+CHUNKS = _struct("doc_id string, chunk_index int, text string, embedding floats")
 COORDINATES = _struct("chunk_id long, x double, y double, z double")
 PAGES = _struct("page int, header string, body string")
 PAGE_ARRAY = T.ArrayType(PAGES)
