@@ -43,9 +43,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_at", F.expr("timestamp_seconds(1672531200 + pmod(page_id * 37, 730) * 86400)"))
     seen = pages.select(F.regexp_extract("url", url_filters.HOST, 1).alias("host"), F.regexp_extract("url", url_filters.PATH, 1).alias("path")).where("host <> ''")
+    number = "cast(conv(substring(md5({}), 1, 6), 16, 10) as bigint)"
     day = "timestamp_seconds(1672531200 + ({}) * 86400)"
-    hosts = seen.select("host").distinct().withColumn("c", F.crc32("host"))
-    paths = seen.select(F.concat("host", F.regexp_extract("path", "^/[^/]+", 0)).alias("value")).where("value like '%/%'").distinct().withColumn("c", F.crc32("value"))
+    hosts = seen.select("host").distinct().withColumn("c", F.expr(number.format("host")))
+    paths = seen.select(F.concat("host", F.regexp_extract("path", "^/[^/]+", 0)).alias("value")).where("value like '%/%'").distinct().withColumn("c", F.expr(number.format("value")))
 
     def dated(df: DataFrame, name: str, kind: str, value: str, action: str, when: str) -> DataFrame:
         return df.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), F.expr(value).alias("value"), F.lit(action).alias("action"), F.expr(day.format(when)).alias("at"))
@@ -86,4 +87,60 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+_HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+_OP6 = f"""
+WITH p AS (SELECT DISTINCT page_id, url, page_id * 37 % 730 AS day, rtrim(lower({_HOST}), '.') AS host, lower({_PATH}) AS path FROM pages),
+raw AS (SELECT {_HOST} AS host, {_PATH} AS path FROM pages WHERE {_HOST} <> ''),
+h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS c FROM (SELECT DISTINCT host FROM raw)),
+x AS (SELECT value, CAST('0x' || substr(md5(value), 1, 6) AS BIGINT) AS c FROM (SELECT DISTINCT host || regexp_extract(path, '^/[^/]+', 0) AS value FROM raw) WHERE value LIKE '%/%'),
+e AS (
+  SELECT 'spam' AS list, 'domain' AS kind, lower(host) AS value, 1 AS act, c % 300 AS day FROM h WHERE c % 5 = 0
+  UNION ALL SELECT 'spam', 'domain', lower(host), 0, c % 300 + 120 FROM h WHERE c % 5 = 0 AND c % 2 = 0
+  UNION ALL SELECT 'spam', 'domain', lower(host), 1, c % 300 + 300 FROM h WHERE c % 5 = 0 AND c % 4 = 0
+  UNION ALL SELECT 'legal', 'host', lower(host), 1, c % 500 FROM h WHERE c % 7 = 1
+  UNION ALL SELECT 'paused', 'prefix', lower(value), 1, c % 400 FROM x WHERE c % 3 = 0
+  UNION ALL SELECT 'paused', 'prefix', lower(value), 0, c % 400 + 200 FROM x WHERE c % 3 = 0),
+m AS (
+  SELECT p.page_id, p.url, e.list, e.kind, e.value, arg_max(e.act, e.day * 2 + e.act) AS act FROM p JOIN e ON e.day <= p.day AND p.host <> '' AND (
+    (e.kind = 'host' AND p.host = e.value) OR (e.kind = 'domain' AND (p.host = e.value OR ends_with(p.host, '.' || e.value)))
+    OR (e.kind = 'prefix' AND starts_with(p.host || '/' || array_to_string([s for s in string_split(p.path, '/') if s <> ''], '/') || '/', e.value || '/')))
+  GROUP BY ALL),
+l AS (SELECT page_id, url, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists FROM m WHERE act = 1 GROUP BY ALL)
+SELECT p.page_id, p.url, p.host, coalesce(l.lists, '') AS lists, l.lists IS NOT NULL AS blocked FROM p LEFT JOIN l ON l.page_id = p.page_id AND l.url = p.url
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP2 = f"""
+WITH d AS (SELECT DISTINCT doc_id, text, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i + 1 : i + 13], ' ') AS g FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+g AS (SELECT doc_id, text, n, i, array_to_string(w[i + 1 : i + n], ' ') AS g FROM (SELECT doc_id, text, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT g.doc_id, g.text, g.i, g.n, win.item_id FROM g JOIN win ON g.n = win.n AND g.g = win.g),
+pos AS (SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, i + unnest(range(n)) AS p FROM (SELECT DISTINCT doc_id, text, i, n FROM hit)) GROUP BY ALL),
+its AS (SELECT doc_id, text, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hit GROUP BY ALL)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id AND d.text = pos.text LEFT JOIN its ON d.doc_id = its.doc_id AND d.text = its.text
+"""
+
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS page FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest, CASE WHEN page < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page < page_id THEN page END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
+
+_OP9 = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i + 1 : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS c FROM r GROUP BY node) m USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_winnowing_decontamination": _OP2, "op3_warc_round_trip": _OP3, "op6_url_filters": _OP6, "op9_minhash_near_dup": _OP9}
