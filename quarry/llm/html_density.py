@@ -38,17 +38,28 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("head script style noscript template iframe object embed svg canvas math nav footer aside form fieldset button select option datalist input textarea dialog menu audio video map title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 ALWAYS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup paywall comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager".split())
-UNLESS_CONTENT = frozenset("sidebar sidebars aside nav navbar navigation menu menus header masthead footer related recommended recommendations share sharing social widget widgets toolbar login search skip alert copyright legal tags".split())
+PARTS = frozenset("sidebar sidebars aside nav navbar navbars navigation menu menus masthead footer related recommended recommendations share sharing social widget widgets toolbar login search skip alert copyright legal tags adslot adunit adcontainer outbrain taboola".split())
 CONTENT = frozenset("article content main post entry story body text".split())
+MODIFIERS = frozenset("with has no without".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPE = frozenset("table ul ol dl select div section article body main td th blockquote".split())
 
 
+def _names_noise(name: str) -> bool:
+    """Whether a class or id says that its element is no part of the article (``post-header`` and ``with-sidebar`` do not)."""
+    words = {x.lower() for x in _PART.findall(name)}
+    joined = "".join(c for c in name.lower() if c.isalpha())
+    if words & MODIFIERS:
+        return False
+    return bool(words & ALWAYS or words & PARTS or joined in ALWAYS or joined in PARTS or "header" in words and not words & CONTENT)
+
+
 class Page:
     """A page's tree in document order: a node's subtree is the index range up to ``end``."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, names: bool = True):
+        self.names = names  # whether classes and ids tell noise
         self.tag, self.parent, self.end, self.noise = ["#page"], [-1], [0], [False]
         self.runs: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
@@ -137,16 +148,15 @@ class Page:
             return not (self.count.get("article") or self.count.get("main"))
         if not attrs or name in ("html", "body", "article", "main"):
             return False
-        words: set[str] = set()
         for m in _ATTR.finditer(attrs):
             key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
             if key == "role" and value.lower() in ROLES:
                 return True
-            if key in ("class", "id"):
-                words |= {x.lower() for x in _PART.findall(value)}
-        return bool(words & ALWAYS) or bool(words & UNLESS_CONTENT) and not words & CONTENT
+            if key in ("class", "id") and self.names and any(map(_names_noise, value.split())):
+                return True
+        return False
 
 
 def densities(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +228,22 @@ def article(page: Page) -> int:
         if page.tag[up] in ("article", "main"):
             return up
         up = page.parent[up]
+    return _with_title(page, root, body)
+
+
+def _with_title(page: Page, root: int, body: int) -> int:
+    """The nearest node around ``root`` that adds the title, if it adds little else and few links."""
+    titled = lambda i: any(page.tag[j] in ("h1", "h2") and page.chars[j] and not page.noise[j] for j in range(i, page.end[i]))
+    if titled(root):
+        return root
+    up = root
+    while up != body and page.parent[up] >= 0:
+        up = page.parent[up]
+        more, links = page.chars[up] - page.chars[root], page.link_chars[up] - page.link_chars[root]
+        if more > max(200, 0.3 * page.chars[root]) or links > 0.5 * more:
+            return root
+        if more and titled(up):
+            return up
     return root
 
 
@@ -236,6 +262,9 @@ def main_text(source: str) -> str:
     """Blocks of the article in page order, joined by an empty line."""
     page = Page(source)
     root = article(page)
+    if root < 0 and not {"article", "main"}.isdisjoint(page.tag):  # names hid a declared article
+        page = Page(source, names=False)
+        root = article(page)
     if root < 0:
         return ""
     _drop_menus(page, root)

@@ -31,6 +31,8 @@ def page(body):
         f"<header>H</header><main><h2>Title</h2><p>{P}</p><form>x<input></form><p>short</p><aside>{P}</aside><p>{P}</p><script>if(a<b){{}}</script></main><footer>{P}</footer>",
         f"<div><a href=1>a</a> <a href=2>b</a> <a href=3>c</a></div><table><tr><td><h2>Title</h2><p>{P}</p><p>short</p><p>{P}</p></td><td class=sidebar>{P}</td></tr></table>",
         f"<article><header><h2>Title</h2></header><p>{P}</p><div>short</div><div class='ad'>{P}</div><div role=navigation>go</div><div hidden>x</div><p>{P}</p></article>",
+        f"<nav id=main-nav><a>x</a></nav><div class='page with-sidebar'><div class=article-header><h2>Title</h2></div><div class=entry><p>{P}</p><p>short</p><p>{P}</p></div><div class=post-footer>{P}</div></div><div class=sideBar><p>{P}</p></div>",
+        f"<div class='wrap nav-open'><article><h2>Title</h2><p>{P}</p><p>short</p><p>{P}</p></article></div>",
         f"<div><section><h2>Title</h2><p>{P}</p></section><section><p>short</p><p>{P}</p></section></div><div class=share-bar><a>f</a></div>",
     ],
 )
