@@ -143,4 +143,30 @@ r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, l.b FRO
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS c FROM r GROUP BY node) m USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_winnowing_decontamination": _OP2, "op3_warc_round_trip": _OP3, "op6_url_filters": _OP6, "op9_minhash_near_dup": _OP9}
+_ESC = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '###', chr(92) || 'h##'), '</turn>', chr(92) || 'l/turn>')"
+
+_OP1 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, r, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+a AS (
+  SELECT *, (strlen(text) + 3) // 4 + 4 AS tokens, 14 + length({_ESC.format("role")}) + length(replace(role, ':', '::')) - length(role) + length({_ESC.format("text")}) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+b AS (
+  SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS stop, min(CASE WHEN role = 'system' THEN pos END) OVER w AS sp FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+c AS (SELECT b.*, b.stop - b.tokens AS start, greatest(1, 768 - least(coalesce(s.tokens, 0), 512)) AS q, s.chars AS sys_chars FROM b LEFT JOIN a s ON s.conv_id = b.conv_id AND s.pos = b.sp),
+d AS (SELECT *, start // q AS k, stop > (start // q + 1) * q AS x FROM c),
+e AS (SELECT *, lag(pos) OVER w IS NULL OR (coalesce(sp, 0), k, x) IS DISTINCT FROM (coalesce(lag(sp) OVER w, 0), lag(k) OVER w, lag(x) OVER w) AS opens FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+s AS (SELECT conv_id, pos, start, sys_chars, coalesce(sp < pos, false) AS with_system FROM e WHERE opens),
+parts AS (
+  SELECT conv_id, sum(chars) AS chars FROM e GROUP BY conv_id
+  UNION ALL SELECT conv_id, sum(sys_chars) FROM s WHERE with_system GROUP BY conv_id
+  UNION ALL SELECT e.conv_id, sum(e.chars) FROM e JOIN s ON s.conv_id = e.conv_id AND s.pos > e.pos AND s.start - e.start BETWEEN 1 AND 256 WHERE e.sp IS NULL OR e.sp <> e.pos GROUP BY e.conv_id),
+f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM parts GROUP BY conv_id),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said,
+         coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, count(*) FILTER (opens) AS n_windows FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows FROM f JOIN g USING (conv_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_windows": _OP1, "op2_winnowing_decontamination": _OP2, "op3_warc_round_trip": _OP3, "op6_url_filters": _OP6, "op9_minhash_near_dup": _OP9}
