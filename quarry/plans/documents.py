@@ -153,6 +153,13 @@ def c7_text_messages(spark, sf_dir):
     return rows.join(n, "id", "left").select("original_path", "filename", "status", F.coalesce("error_message", F.lit("")).alias("error_message"), F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))
 
 
+def s2_decode_bytes(spark, sf_dir):
+    """Texts stored as UTF-8, or as Latin-1 for odd documents whose characters allow it, read back."""
+    latin = (F.col("doc_id") % 2 == 1) & F.col("text").rlike(r"(?s)^[\x00-\xFF]*$")
+    raw = docs(spark, sf_dir).select("doc_id", F.when(latin, F.encode(F.when(latin, F.col("text")), "ISO-8859-1")).otherwise(F.col("text").cast("binary")).alias("content"))
+    return raw.select("doc_id", F.md5(tx.decode_bytes(F.col("content"))).alias("text_md5"))
+
+
 # the knowledge-base list
 
 
@@ -233,7 +240,7 @@ def j5_delete_documents(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     c2_chunk_summary, c2_chunks, c3_token_count, c1_pages_to_text, p5_p6_page_json, c4_token_batches, c5_embed, p1_storage_events, p2_p3_p4_routes, j1_known_versions, j2_register,
-    c6_ingest_registry, j3_ingest_chunks, j4_failures, a1_ingest_summary, c7_text_messages, j7_merge_uploads, a2_pending, a2_status_counts, a4_newest_documents, a10_pages, a10_page_clamped,
+    s2_decode_bytes, c6_ingest_registry, j3_ingest_chunks, j4_failures, a1_ingest_summary, c7_text_messages, j7_merge_uploads, a2_pending, a2_status_counts, a4_newest_documents, a10_pages, a10_page_clamped,
     a11_newest_first, p7_object_names, p8_pasted_names, p12_previews, p13_display, j5_delete_documents,
 )}
 
@@ -263,6 +270,7 @@ ORACLES = {
       SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(array_to_string(toks[i * 600 + 1 : i * 600 + 800], ''))) AS BIGINT) AS n_chars FROM x GROUP BY doc_id""",
     "j4_failures": _INGEST_SQL + "SELECT 'ValueError: Unsupported file type: .bin' AS error_message, count(*) AS n FROM r WHERE NOT known AND suffix = '.bin' HAVING count(*) > 0",
     "a1_ingest_summary": _INGEST_SQL + "SELECT count(*) FILTER (done = 'Ready') AS processed_count, count(*) FILTER (done = 'Failed') AS failed_count, CAST(sum(CASE WHEN done = 'Ready' THEN m ELSE 0 END) AS BIGINT) AS total_chunks FROM r WHERE NOT known AND suffix <> ''",
+    "s2_decode_bytes": "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5 FROM documents",
     "c7_text_messages": f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN coalesce(text, '') ELSE '' END AS text FROM documents), k AS (SELECT doc_id, text, len(regexp_extract_all(text, {TOK})) AS n FROM t)
       SELECT 'text://t' || doc_id AS original_path, CASE WHEN doc_id % 3 <> 0 THEN 'Title ' || doc_id ELSE 'Untitled' END AS filename, CASE WHEN text = '' THEN 'Failed' ELSE 'Ready' END AS status, CASE WHEN text = '' THEN 'No content provided' ELSE '' END AS error_message,
       CAST(CASE WHEN n = 0 THEN 0 WHEN n <= 800 THEN 1 ELSE 1 + ceil((n - 800) / 600.0) END AS BIGINT) AS n_chunks FROM k""",

@@ -91,12 +91,17 @@ def t3_current_status(spark, sf_dir):
     return queue.current_status(updates(spark, sf_dir)).select("task_id", "status", F.coalesce("error", F.lit("")).alias("error"))
 
 
+def t4_drop_redelivered(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_type").alias("generation"), "ts")
+    return queue.drop_redelivered(e).select("path", "generation")
+
+
 def t5_dead_letters(spark, sf_dir):
     d = updates(spark, sf_dir).select("task_id", (F.col("event_type") != "error").alias("ok"))
     return queue.split_dead(d)[1]
 
 
-QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t3_current_status, t5_dead_letters)}
+QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t3_current_status, t4_drop_redelivered, t5_dead_letters)}
 
 ORACLES = {
     "j9_choose_capture": """WITH s AS (SELECT url || '#' || page_id AS url, page_id % 3 <> 0 AS a, page_id % 2 <> 0 AS b FROM pages)
@@ -111,5 +116,6 @@ ORACLES = {
       CASE WHEN event_id % 10 = 0 OR event_id % 3 = 0 THEN '' ELSE 'v' END AS k FROM events""",
     "t3_current_status": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
       SELECT user_id AS task_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('click', 'purchase') THEN 'completed' ELSE 'processing' END AS status, CASE WHEN event_type = 'error' THEN 'error ' || event_id ELSE '' END AS error FROM l WHERE r = 1""",
+    "t4_drop_redelivered": "SELECT DISTINCT 'u' || user_id AS path, event_type AS generation FROM events",
     "t5_dead_letters": "SELECT user_id AS task_id, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY user_id HAVING attempts >= 5",
 }

@@ -49,7 +49,9 @@ def current_status(updates: DataFrame, *, task_col: str = "task_id", at: Column
 
 
 def drop_redelivered(events: DataFrame, *, keys: tuple[str, ...] = ("path", "generation"), ts_col: str = "ts", retention: str = RETENTION) -> DataFrame:
-    """Each key once within the retention; state older than that is forgotten."""
+    """Each key once; in a stream within the retention, as state older than that is forgotten."""
+    if not events.isStreaming:
+        return events.dropDuplicates(list(keys))
     return events.withWatermark(ts_col, retention).dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -1,5 +1,9 @@
 """Every registered query with a SQL twin gives the twin's rows."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -42,3 +46,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_point_without_the_optional_folders():
+    code = "import sys; sys.modules['quarry.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'c2_chunks' in e.queries() and not any(n.startswith('op') for n in e.queries()); e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0

@@ -94,6 +94,14 @@ def test_tiles_do_not_change_neighbours(spark):
     assert one == many
 
 
+def test_lsh_graph_finds_most(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(20, 16))[r.integers(0, 20, 300)] + 0.2 * r.normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    exact, found = ({(t.vec_id, t.neighbour) for t in g.collect()} for g in (mapping.knn_graph(df, k=5, include_self=False), mapping.knn_graph_lsh(df, k=5)))
+    assert len(exact & found) > 0.9 * len(exact)
+
+
 def test_weights(spark):
     d = np.array([0.1, 0.2, 0.4, 0.9])
     w = mapping.smooth(d, 4)
