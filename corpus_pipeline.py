@@ -18,10 +18,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the rows whose predicted language is known and clear (score of at least a half)."""
+    """Keep the rows whose language is recognised; texts of a word or two that several languages share stay too."""
     model = ppm.train(docs)
     found = ppm.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
