@@ -137,8 +137,9 @@ def search(vectors: DataFrame, is_query: str, *, k: int = 20, tables: int = 8, p
     visits = _placed(ask, dim, tables, probes, top, seed).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
     ids = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     met = visits.groupBy("tab", "bucket", "block").cogroup(index.groupBy("tab", "bucket", "block")).applyInArrow(_scored(dim, k + 1, ids), f"query {kind}, hits array<struct<less:double,rep:{kind}>>")
-    # tables x probes short lists a query: merge them
-    best = met.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, k + 1).alias("hits"))
+    # tables x probes short lists a query: merge them; a row is met once in each table at most
+    ahead = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, (k + 1) * tables)
+    best = met.groupBy("query").agg(F.slice(F.array_distinct(ahead), 1, k + 1).alias("hits"))
     best = best.select(F.col("query").alias("rep"), F.explode("hits").alias("hit")).select("rep", (-F.col("hit.less")).alias("score"), F.col("hit.rep").alias("found"))
     wide = best.join(classes.select(F.col("rep").alias("found"), "ids"), "found")
     wide = asked.join(wide, "rep").select("query_id", "score", F.explode("ids").alias("id")).where(F.col("id") != F.col("query_id"))
