@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.functions.arrays import unit
+
 #: Smallest similarity by query type (fixed values); other types take the last.
 THRESHOLDS = {"terraform": 0.7, "code_generation": 0.6, "general_qa": 0.5, "documentation": 0.5}
 OTHER = 0.5
-#: A query block that is sent to every task holds so many values at most.
+#: A block of queries, and a slice of chunks, holds about so many values.
 BLOCK_VALUES = 4_000_000
 
 
@@ -26,12 +26,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(x, dtype=np.float64) for x in rows])
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
 def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, least: float | None = None, width: int | None = None, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, <id>, similarity, rank``: the ``limit`` most similar chunks at or above each query's threshold (or ``least``).
 
@@ -44,7 +38,7 @@ def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, lea
     blocks = max(1, -(-queries.count() * dim // BLOCK_VALUES))
     q = queries.select("query_id", F.col("embedding").alias("q"), (threshold(F.col("query_type")) if least is None else F.lit(float(least))).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
     q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q", "least")).alias("qs"))  # BLOCK_VALUES numbers at most
-    slices = max(chunks.sparkSession.sparkContext.defaultParallelism, 1)
+    slices = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() * dim // BLOCK_VALUES))
     c = chunks.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("cid"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(slices)).alias("slice"))
     q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("block", "slice", "qs")
     c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -55,10 +49,10 @@ def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, lea
         if not len(qf) or not len(cf):
             return pd.DataFrame({x: [] for x in cols})
         qs = [r for rows in qf["qs"] for r in rows]
-        queries_ = _unit(pd.Series([r["q"] for r in qs]))
-        ids, unit, out = cf["cid"].to_numpy(), _unit(cf["v"]), []
+        queries_ = unit(pd.Series([r["q"] for r in qs]))
+        ids, rows, out = cf["cid"].to_numpy(), unit(cf["v"]), []
         for at in range(0, len(qs), 256):
-            for i, s in enumerate(queries_[at : at + 256] @ unit.T):
+            for i, s in enumerate(queries_[at : at + 256] @ rows.T):
                 top = np.lexsort((ids, -np.round(s, 9)))[:limit]
                 out += [(qs[at + i]["query_id"], ids[j], float(s[j]), float(qs[at + i]["least"])) for j in top if s[j] >= qs[at + i]["least"]]
         return pd.DataFrame(out, columns=cols)
