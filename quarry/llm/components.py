@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from quarry.llm.scratch import materialize
+from quarry.llm.scratch import materialize, release
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _written(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and a fingerprint of them that the write itself takes."""
+    seen = Observation()
+    mark = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")]
+    table = materialize(edges.observe(seen, *mark), tag)
+    return table, (seen.get["n"], seen.get["hash"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,22 +23,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     longest path. No edges give no rows; self-links and repeats are ignored,
     links with a null end too.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialize(e, "links")
-    mark = _fingerprint(e)
+    e, mark = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if mark[0]:
         for _ in range(max_rounds):
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
             low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
             large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-            large = materialize(large, "large-star")
             least = large.groupBy("a").agg(F.min("b").alias("m"))
             small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-            e = materialize(small.where("a <> b").distinct(), "small-star")
-            now = _fingerprint(e)
-            if now == mark:
+            before, last = e, mark
+            e, mark = _written(small.where("a <> b").distinct(), "stars")
+            release(before)
+            if mark == last:
                 break
-            mark = now
         else:
             raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

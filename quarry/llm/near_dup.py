@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bytesview import mix
 from quarry.llm.components import components
-from quarry.llm.scratch import materialize
+from quarry.llm.scratch import materialize, release
 from quarry.llm.shingles import features, shingle_sets
 
 _SEMI_BUCKETS = 1 << 20
@@ -97,14 +97,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, chu
     f = materialize(features(docs, k, chunks * width, id_col, text_col), "features")
     classes = f.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    comp = components(_links(docs, classes, k=k, similarity=similarity, chunks=chunks, width=width, id_col=id_col, text_col=text_col))
+    found, done = _links(docs, classes, k=k, similarity=similarity, chunks=chunks, width=width, id_col=id_col, text_col=text_col)
+    comp = components(found)
+    release(*done)
     out = f.drop("sig").join(classes.drop("sig"), "set_key", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, chunks: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Links ``a, b`` between class representatives that give all components."""
+def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, chunks: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Links ``a, b`` between class representatives that give all components, and the written tables they are read from."""
     limit = distance_limit(chunks * width, similarity)
     keyed = _keyed(classes, chunks, width)
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("rows")).where("rows > 1")
@@ -121,7 +123,8 @@ def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, ch
     mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     pool = rest.where("id <> head").join(mixed, "key").select("head", "id", "component").distinct()
     pool = pool.join(measured.drop("linked"), ["head", "id"]).join(classes.select(F.col("rep").alias("id"), "sig"), "id").join(sets, "id")
-    pool = materialize(pool, "pool")
+    pool = stored = materialize(pool, "pool")
+    release(shared, pairs, sets)
     # rows with many neighbours under one head are dealt to several tasks
     parts = pool.groupBy("head").agg(F.ceil(F.count("*") / _TOGETHER).cast("int").alias("parts")).where("parts > 0")
     pool = pool.join(parts, "head")
@@ -138,4 +141,4 @@ def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, ch
         & (chunks * width - agree <= limit) & _reaches(_shared("a_shingles", "b_shingles"), "a_shingles", "b_shingles", similarity)
     )
     across = a.join(b, met).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), [stored, measured]

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: set[str] = set()
+_own: dict[str, str] = {}  # folders of sessions that name none
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,8 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return root.rstrip("/")
 
 
@@ -41,7 +42,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that no result reads any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table.scratch_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
