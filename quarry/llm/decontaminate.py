@@ -149,7 +149,7 @@ def overlaps(docs: DataFrame, items: DataFrame, *, window: int = 13, k: int = 5,
     # equal surroundings make one entry, however many items hold the passage
     bench = bench.groupBy("size", "h", "slot", "left", "gram", "right").agg(F.collect_set(F.col("id").cast("string")).alias("items"))
     bench = materialize(bench, "benchmark-grams")
-    slots = [r.slot for r in bench.select("slot").distinct().toLocalIterator()]  # 2^22 small numbers at most
+    slots = bench.select("slot").distinct().toArrow().column("slot").to_numpy()  # 2^22 small numbers at most
     sizes = sorted(-r.size for r in bench.where("size < 0").select("size").distinct().collect())  # window - 1 numbers at most
     bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
     bits[slots] = True

@@ -14,6 +14,7 @@ languages, so scoring a text is a table lookup per byte.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -152,8 +153,8 @@ def _gram_counts(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return np.unique(keys[whole], return_counts=True)
 
 
-def train(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, min_count: int = 2, max_grams: int = 1_500_000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Fit on a bounded sample of labelled rows.
+def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, min_count: int = 2, max_grams: int = 1_500_000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], int, DataFrame | None]:
+    """Languages, order and counts ``lang, k, gram, n`` of a bounded sample of labelled rows.
 
     The bound: ``docs_per_language`` whole texts of each language, those with
     the smallest hash of the id, and the ``max_grams`` most frequent entries.
@@ -164,7 +165,7 @@ def train(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, min
     n = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # one row per language
     languages = sorted(n)
     if not languages:
-        return Model([], order)
+        return [], order, None
     # a share of each language by hash first, a little too many, so that the exact cut sees a small table only
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, (1.5 * docs_per_language + 50) / n[lang]))])
     place = (F.xxhash64("id").cast("double") / 2.0**64) + 0.5
@@ -185,13 +186,36 @@ def train(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, min
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, dtype=np.int32)), pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "k", "gram", "n"])
 
     grams = d.select("lang", "text").mapInArrow(run, "lang int, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    top = grams.where((F.col("k") < 3) | (F.col("n") >= min_count)).orderBy(F.desc("n"), "k", "lang", "gram").limit(max_grams).toArrow()
+    return languages, order, grams.where((F.col("k") < 3) | (F.col("n") >= min_count)).orderBy(F.desc("n"), "k", "lang", "gram").limit(max_grams)
+
+
+def _from_table(languages: list[str], order: int, top: pa.Table) -> Model:
     column = lambda c: top.column(c).to_numpy()
     return build(languages, order, column("lang"), column("k"), column("gram").view(np.uint64), column("n"))
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``.
+def train(rows: DataFrame, **bounds) -> Model:
+    """Fit trees on a bounded sample (see :func:`_counts` for the bounds and their defaults)."""
+    languages, order, top = _counts(rows, **bounds)
+    return Model([], order) if top is None else _from_table(languages, order, top.toArrow())
+
+
+def train_packed(rows: DataFrame, **bounds) -> bytes:
+    """As :func:`train`, but the trees are built in one task and come back packed, which spares the driver their making."""
+    languages, order, top = _counts(rows, **bounds)
+    if top is None:
+        return pickle.dumps(Model([], order))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):  # max_grams rows at most
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_from_table(languages, order, pa.Table.from_batches(got)))])], ["model"])
+
+    made = top.coalesce(1).mapInArrow(make, "model binary").collect()
+    return bytes(made[0].model) if made else pickle.dumps(Model([], order))
+
+
+def predict(docs: DataFrame, model: Model | bytes, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` under a trained or packed model.
 
     The whole text is scored. ``score`` is the share of the winner when each
     language weighs two to the power of minus its code length; ties go to the
@@ -200,12 +224,12 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     ``docs`` are replaced; no other column is looked at.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded: max_grams entries
+    sent = spark.sparkContext.broadcast(model if isinstance(model, bytes) else pickle.dumps(model))  # bounded: max_grams entries
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     asked = docs.select(*rest, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = pickle.loads(sent.value)
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 langs, score = ["und"] * len(part), np.zeros(len(part))

@@ -67,7 +67,7 @@ def op7_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
+    model = ppm.train_packed(docs.where(~ppm.held_out(F.col("doc_id"))))
     found = ppm.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

@@ -62,6 +62,13 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_packed_model_is_the_same(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, two = (sorted(map(tuple, ppm.predict(docs.select("doc_id", "text"), m).select("doc_id", "lang_pred", "score").collect())) for m in (ppm.train(docs), ppm.train_packed(docs)))
+    assert one == two
+    assert {r.lang_pred for r in ppm.predict(docs, ppm.train_packed(docs.limit(0))).collect()} == {"und"}
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("x").alias("lang"))
     m = ppm.train(rows, order=0, docs_per_language=100)
