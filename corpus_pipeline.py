@@ -19,19 +19,20 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows whose language is recognised; texts of a word or two that several languages share stay too."""
-    model = ppm.train(docs)
+    model = ppm.train_packed(docs)
     found = ppm.predict(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the smallest doc_id of each group, once."""
-    found = near_dup.near_duplicates(docs, k=5, similarity=0.8)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # exact repeats of a row that stays are one document too; few ids repeat, so only theirs are grouped
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    found = materialize(near_dup.near_duplicates(docs, k=5, similarity=0.8), "groups")
+    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
+    # repeats of a row that stays are one document too; where ids repeat, only theirs are grouped
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():
+        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
