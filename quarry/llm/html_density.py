@@ -6,8 +6,10 @@ sum of its children's densities says how much dense content a node holds
 together. The node with the largest sum sets a threshold, the smallest density
 on its path up to the body; in every part of the page that reaches the
 threshold the node with the largest sum is content, and the smallest subtree
-around all content is the article. Parts that say by tag, role or name that
-they are menus, notices and the like never count.
+around all content is the article. Parts that say by tag or role that they are
+menus, notices and the like never count. A form, or a class or id that says so,
+is evidence only: such a part counts all the same if it holds a heading or
+paragraphs and most of the page's text outside links.
 """
 
 from __future__ import annotations
@@ -35,32 +37,60 @@ _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
-NEVER = frozenset("head script style noscript template iframe object embed svg canvas math nav footer aside form fieldset button select option datalist input textarea dialog menu audio video map title".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+NEVER = frozenset("head script style noscript template iframe object embed svg canvas math nav footer aside button select option datalist input textarea dialog menu audio video map title".split())
+FORMS = frozenset("form fieldset".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 ALWAYS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup paywall comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager".split())
 PARTS = frozenset("sidebar sidebars aside nav navbar navbars navigation menu menus masthead footer related recommended recommendations share sharing social widget widgets toolbar login search skip alert copyright legal tags adslot adunit adcontainer outbrain taboola".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 MODIFIERS = frozenset("with has no without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 SCOPE = frozenset("table ul ol dl select div section article body main td th blockquote".split())
 
 
-def _names_noise(name: str) -> bool:
-    """Whether a class or id says that its element is no part of the article (``post-header`` and ``with-sidebar`` do not)."""
-    words = {x.lower() for x in _PART.findall(name)}
-    joined = "".join(c for c in name.lower() if c.isalpha())
-    if words & MODIFIERS:
-        return False
-    return bool(words & ALWAYS or words & PARTS or joined in ALWAYS or joined in PARTS or "header" in words and not words & CONTENT)
+# How an element speaks against itself, and the share of the page's text outside links that outweighs it.
+WEAK, STRONG, NEVER_COUNTS = 1, 2, 3
+SHARE = {WEAK: 0.5, STRONG: 0.9}
+#: So many characters directly in one element are a paragraph without ``p``.
+PARAGRAPH = 80
+
+
+def _names_mark(names: list[str]) -> int:
+    """What an element's classes and ids together say against it.
+
+    ``post-header`` and ``with-sidebar`` say nothing. A name made of noise words
+    (``sidebar``) or with a word of ALWAYS is strong, one among other words
+    (``category-legal``) weak. Beside a name that says content (``post``) only
+    names made of words of ALWAYS count.
+    """
+    mark, plain, content = 0, 0, False
+    for name in names:
+        words = {x.lower() for x in _PART.findall(name)}
+        joined = "".join(c for c in name.lower() if c.isalpha())
+        if words & MODIFIERS:
+            continue
+        if words & ALWAYS or joined in ALWAYS:
+            mark = STRONG
+            if words <= ALWAYS or joined in ALWAYS:
+                plain = STRONG
+        elif words & PARTS or joined in PARTS:
+            mark = max(mark, STRONG if words <= PARTS or joined in PARTS else WEAK)
+        elif words & CONTENT:
+            content = True
+        elif "header" in words:
+            mark = max(mark, WEAK)
+    return plain if content else mark
 
 
 class Page:
     """A page's tree in document order: a node's subtree is the index range up to ``end``."""
 
     def __init__(self, text: str, names: bool = True):
-        self.names = names  # whether classes and ids tell noise
+        self.names = names  # whether classes, ids and a form's share of the page tell noise
         self.tag, self.parent, self.end, self.noise = ["#page"], [-1], [0], [False]
+        self.mark, self.named = [0], [0]  # against the element itself; by its names alone
         self.runs: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
         self.count: dict[str, int] = {}  # of open elements by name
@@ -97,6 +127,29 @@ class Page:
                 at = stop
         for node in open_:
             self.end[node] = len(self.tag)
+        self._judge()
+
+    def _judge(self) -> None:
+        """Noise by all marks: what never counts, and other marks that no text outweighs."""
+        n, up = len(self.tag), self.parent
+        never, link = [False] * n, [False] * n
+        for i in range(1, n):
+            never[i] = never[up[i]] or self.mark[i] == NEVER_COUNTS
+            link[i] = link[up[i]] or self.tag[i] == "a"
+        self.sizes = [0 if never[node] else len("".join(text.split())) for node, _, text in self.runs]
+        self.plain = plain = [0] * n  # characters outside links
+        for (node, _, _), size in zip(self.runs, self.sizes, strict=True):
+            if not link[node]:
+                plain[node] += size
+        self.prose = prose = [x >= PARAGRAPH for x in plain]  # holds a heading or a paragraph
+        for i in range(n - 1, 0, -1):
+            if not never[i]:
+                prose[i] = prose[i] or plain[i] > 0 and (self.tag[i] == "p" or self.tag[i] in HEADINGS)
+                plain[up[i]] += plain[i]
+                prose[up[i]] = prose[up[i]] or prose[i]
+        for i in range(1, n):
+            mark = self.mark[i]
+            self.noise.append(never[i] or self.noise[up[i]] or mark > 0 and not (prose[i] and (not self.names or plain[i] > SHARE[mark] * plain[0])))
 
     def _shut(self, open_: list[int]) -> None:
         node = open_.pop()
@@ -134,29 +187,31 @@ class Page:
         self.tag.append(name)
         self.parent.append(up)
         self.end.append(node + 1)
-        self.noise.append(self.noise[up] or self._is_noise(name, attrs))
+        self._mark(name, attrs)
         if name not in INLINE:
             self.block += 1
         if name not in VOID:
             open_.append(node)
             self.count[name] = self.count.get(name, 0) + 1
 
-    def _is_noise(self, name: str, attrs: str) -> bool:
-        if name in NEVER:
-            return True
-        if name == "header":
-            return not (self.count.get("article") or self.count.get("main"))
-        if not attrs or name in ("html", "body", "article", "main"):
-            return False
-        for m in _ATTR.finditer(attrs):
-            key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-            if key == "role" and value.lower() in ROLES:
-                return True
-            if key in ("class", "id") and self.names and any(map(_names_noise, value.split())):
-                return True
-        return False
+    def _mark(self, name: str, attrs: str) -> None:
+        mark, named = WEAK if name in FORMS else 0, 0
+        if name in NEVER or name == "header" and not (self.count.get("article") or self.count.get("main")):
+            mark = NEVER_COUNTS
+        elif attrs and name not in ("html", "body", "article", "main", "header"):
+            names = []
+            for m in _ATTR.finditer(attrs):
+                key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
+                if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                    mark = NEVER_COUNTS
+                elif key == "role":
+                    mark = max(mark, NEVER_COUNTS if value.lower() in ROLES else WEAK if value.lower() == "form" else 0)
+                elif key in ("class", "id"):
+                    names += value.split()
+            named = _names_mark(names)
+            mark = max(mark, named if self.names else 0)
+        self.mark.append(mark)
+        self.named.append(named)
 
 
 def densities(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +222,8 @@ def densities(page: Page) -> tuple[np.ndarray, np.ndarray]:
     inside_link = [False] * n
     for i in range(1, n):
         inside_link[i] = inside_link[parent[i]] or page.tag[i] == "a"
-    for node, _, text in page.runs:
+    for (node, _, _), size in zip(page.runs, page.sizes, strict=True):
         if not page.noise[node]:
-            size = len("".join(text.split()))
             chars[node] += size
             if inside_link[node]:
                 link_chars[node] += size
@@ -248,13 +302,15 @@ def _with_title(page: Page, root: int, body: int) -> int:
 
 
 def _drop_menus(page: Page, root: int) -> None:
-    """Lists and tables inside the article that are nearly all links are menus."""
-    i = root + 1
+    """Lists and tables of links that their names or a place ahead of any heading or paragraph mark as menus."""
+    i, begun = root + 1, False
     while i < page.end[root]:
-        if page.tag[i] in ("ul", "ol", "dl", "table") and page.link_tags[i] >= 3 and page.link_chars[i] > 0.8 * page.chars[i]:
+        links = page.tag[i] in ("ul", "ol", "dl", "table") and page.link_tags[i] >= 3 and page.link_chars[i] > 0.8 * page.chars[i]
+        if links and (page.named[i] or not begun and not page.prose[i]):
             page.noise[i : page.end[i]] = [True] * (page.end[i] - i)
             i = page.end[i]
         else:
+            begun = begun or not page.noise[i] and (page.tag[i] in HEADINGS and page.chars[i] > 0 or page.tag[i] == "p" and page.plain[i] > 0)
             i += 1
 
 
@@ -262,7 +318,7 @@ def main_text(source: str) -> str:
     """Blocks of the article in page order, joined by an empty line."""
     page = Page(source)
     root = article(page)
-    if root < 0 and not {"article", "main"}.isdisjoint(page.tag):  # names hid a declared article
+    if root < 0 and any(0 < x < NEVER_COUNTS for x in page.mark):  # names or forms hid all there is
         page = Page(source, names=False)
         root = article(page)
     if root < 0:

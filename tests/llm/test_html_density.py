@@ -40,6 +40,39 @@ def test_article_without_the_rest(body):
     assert hd.main_text(page(body)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
 
 
+BODY = f"<h2>Title</h2><p>{P}</p><p>short</p><p>{P}</p>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<form id=aspnetForm><input type=hidden value=x><div id=main-menu><a>x</a></div><div>{BODY}<select><option>no</select></div><div id=comments><p>{P}</p></div></form>",
+        f"<form><fieldset><div>{BODY}</div></fieldset></form><div>{P}</div>",
+        f"<div class='post category-legal'>{BODY}</div><div class=sidebar>{P}</div>",
+        f"<div class='story social-issues'>{BODY}</div><div>left over</div>",
+        f"<div class='post comments-open'>{BODY}</div><div class=comments><p>{P * 9}</p></div>",
+        f"<div class=category-legal>{BODY}</div><div>left over</div>",
+        f"<div class=newsletter>{BODY}</div>",
+    ],
+)
+def test_forms_and_names_are_no_veto(body):
+    assert hd.main_text(page(body)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
+
+
+def test_forms_and_threads_without_the_article_stay_out():
+    both = f"<div>{BODY}</div><form><p>Write</p><input></form><div class=comments-area><p>{P * 5}</p></div><div id=cookie-consent><h2>Cookies</h2><p>{P * 5}</p></div>"
+    assert hd.main_text(page(both)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
+    assert hd.main_text(page("<form>user <input> <button>go</button></form>")) == ""
+
+
+def test_lists_of_links_in_the_article_stay():
+    links = "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(4))
+    kept = "\n\n".join(f"Source {i}" for i in range(4))
+    table = "<table>" + "".join(f"<tr><td><a>cell {i}</a></td></tr>" for i in range(3)) + "</table>"
+    text = hd.main_text(page(f"<article><ul>{links}</ul><h2>Title</h2><p>{P}</p><ul>{links}</ul>{table}<p>{P}</p><ol>{links}</ol><ul class=nav-links>{links}</ul></article>"))
+    assert text == "\n\n".join(["Title", P.strip(), kept, "cell 0\n\ncell 1\n\ncell 2", P.strip(), kept])
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
