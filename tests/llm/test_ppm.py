@@ -76,6 +76,30 @@ def test_sample_is_bounded(spark):
     assert m.languages == ["x"] and np.array_equal(m.cost[0], few.cost[0])
 
 
+def test_rare_languages_keep_their_trees(spark):
+    r = random.Random(3)
+    word = {"aa": "abcdefgh", "bb": "klmnopqr", "cc": "stuvwxyz"}
+    rows = [(i, "".join(r.choice(word[lang]) for _ in range(200)), lang) for lang, n in (("aa", 60), ("bb", 60), ("cc", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small = ppm.train(df, min_count=1, max_grams=700)
+    asked = spark.createDataFrame([(1, "zyx tuv wst"), (2, "abc fgh")], "doc_id long, text string")
+    assert [x.lang_pred for x in ppm.predict(asked, small).orderBy("doc_id").collect()] == ["cc", "aa"]
+    alone = ppm.train(df.where("lang = 'cc'"), min_count=1, max_grams=700)
+    data = utf8(pa.array([t for _, t, lang in rows if lang == "cc"]))
+    assert np.allclose(small.score(*data)[:, 2], alone.score(*data)[:, 0])
+
+
+def test_contexts_are_counted_before_the_cut(spark):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abcde") for _ in range(100)), "aa") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, cut = ppm.train(df, order=3, min_count=1), ppm.train(df, order=3, min_count=1, max_grams=300)
+    for k in range(4):
+        keys = np.array(sorted(set(cut.grams[k].keys) - {ppm._EMPTY}), dtype=np.uint64)
+        assert len(keys) == min(5 ** (k + 1), 300 - 155)
+        assert np.allclose(whole.costs(keys, k), cut.costs(keys, k))
+
+
 def test_nulls_repeats_clashes_empty(spark):
     schema = "doc_id long, text string, lang string, score string"
     rows = [(1, None, "en", "s"), (2, "", "en", None), (3, "123 !?", "en", None), (4, "abc", None, None), (None, "abc abc", "en", "x"), (4, "abc", None, None)]
