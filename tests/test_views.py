@@ -131,6 +131,24 @@ def test_layout_keeps_neighbours(spark, tmp_path):
     assert tables.write_coordinates(out, path) and not tables.write_coordinates(None, path) and spark.read.parquet(path).count() == 400
 
 
+def test_layout_places_a_small_group_beside_a_large_one(spark):
+    r = np.random.default_rng(5)
+    # the small groups are the rows that any sample of 2,000 by this hash leaves out
+    last = [row.id for row in spark.range(2624).orderBy(F.xxhash64("id", F.lit(42)), "id").collect()][-24:]
+    group = np.zeros(2624, dtype=int)
+    group[last[:12]], group[last[12:]] = 1, 2
+    x = np.eye(16)[group] * 6 + 0.3 * r.normal(size=(2624, 16))
+    one, two = np.flatnonzero(group == 0)[:2]
+    x[two] = x[one]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    c = np.array([row.coords for row in mapping.layout(df).orderBy("vec_id").collect()])
+    assert c.shape == (len(x), 3) and (c[one] == c[two]).all() and len(np.unique(c, axis=0)) == len(x) - 1
+    for g in (1, 2):
+        for i in np.flatnonzero(group == g):
+            near = np.argsort(((c - c[i]) ** 2).sum(axis=1))[1:6]
+            assert (group[near] == g).mean() >= 0.8
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([(1, [1.0, -4.0]), (2, [0.0, 2.0])], "vec_id long, coords array<double>")
     assert sorted(map(tuple, mapping.scale(df).collect())) == [(1, 2.5, -10.0, 0.0), (2, 0.0, 5.0, 0.0)]
