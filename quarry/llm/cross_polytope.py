@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.scratch import materialize
+from quarry.scratch import materialize
 
 BLOCK = 4096
 

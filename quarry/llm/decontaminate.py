@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.bytesview import ALNUM_WORD, Words, mix, slices, utf8
-from quarry.llm.scratch import materialize
+from quarry.scratch import materialize
 
 _Q = np.uint64(0xA0761D6478BD642F)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)

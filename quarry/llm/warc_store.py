@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.scratch import materialize, scratch_path
+from quarry.scratch import materialize, scratch_path
 
 _MANIFEST = "file string, offset long, length long, page_id long"
 _EOL = b"\r\n"

@@ -4,7 +4,7 @@ import hashlib
 import pyarrow.fs as pafs
 
 from quarry.llm import warc_store as ws
-from quarry.llm.scratch import scratch_path
+from quarry.scratch import scratch_path
 
 SCHEMA = "page_id long, url string, html string"
 
