@@ -22,7 +22,7 @@ OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
 
 def escape(text: Column, role: bool = False) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(out, F.lit("###"), F.lit("\\h##"))
+    out = F.replace(out, F.lit("#"), F.lit("\\h"))
     out = F.replace(out, F.lit("</turn>"), F.lit("\\l/turn>"))
     return F.replace(out, F.lit(":"), F.lit("\\c")) if role else out
 
@@ -58,7 +58,8 @@ def windows(turns: DataFrame, *, budget: int = 1024, history: int = 256, tokens=
 
     Null texts and roles count as empty. A null turn number sorts first; equal
     numbers are ordered by role, then text, so exact repeats of a row change
-    nothing but the count. A null ``conv_id`` is one conversation. No rows give no rows.
+    nothing but the count. A null ``conv_id`` is one conversation. No rows give no
+    rows. Further columns, whatever their names, are ignored.
     """
     t = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"),
@@ -68,8 +69,8 @@ def windows(turns: DataFrame, *, budget: int = 1024, history: int = 256, tokens=
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumns({"pos": F.row_number().over(by).cast("long"), "stop": F.sum("tokens").over(upto)})
-    # the first system turn is known to every later turn by a running aggregate
-    t = t.withColumn("sys", F.first(F.when(F.col("role") == "system", F.struct("pos", "role", "text", "tokens")), ignorenulls=True).over(upto))
+    # place and size of the first system turn are known to every later turn by a running aggregate; its text stays in its own row
+    t = t.withColumn("sys", F.first(F.when(F.col("role") == "system", F.struct("pos", "tokens")), ignorenulls=True).over(upto))
     t = t.withColumn("start", F.col("stop") - F.col("tokens"))
     quantum = F.greatest(F.lit(1), F.lit(budget - history) - F.least(F.coalesce(F.col("sys.tokens"), F.lit(0)), F.lit(budget // 2)))
     t = t.withColumn("quantum", quantum)
@@ -83,16 +84,16 @@ def windows(turns: DataFrame, *, budget: int = 1024, history: int = 256, tokens=
     ahead = Window.partitionBy("conv_id").orderBy("start").rangeBetween(1, history)
     t = t.withColumn("span_no", F.sum(F.col("opens").cast("long")).over(upto))
     t = t.withColumn("later", F.collect_set(F.when(F.col("opens"), F.struct("span_no", "start"))).over(ahead))
+    t = t.withColumn("spans", F.max("span_no").over(Window.partitionBy("conv_id")))
     own = F.array(F.struct(F.col("span_no").alias("window"), F.lit("new").alias("kind")))
     # history: the whole turn lies in the last `history` tokens before that span
     again = F.transform(F.filter("later", lambda s: (s.span_no > F.col("span_no")) & (s.start - F.col("start") <= history)), lambda s: F.struct(s.span_no.alias("window"), F.lit("history").alias("kind")))
-    system = F.when(F.col("opens") & (F.col("sys.pos") < F.col("pos")), F.array(F.struct(F.col("span_no").alias("window"), F.lit("system").alias("kind")))).otherwise(F.array().cast("array<struct<window:bigint,kind:string>>"))
-    shown = t.select("conv_id", "pos", "role", "text", "tokens", "sys", F.explode(F.concat(own, again, system)).alias("w"))
-    is_sys = F.col("w.kind") == "system"
-    shown = shown.select(
-        "conv_id", F.col("w.window").alias("window"), F.col("w.kind").alias("kind"), F.col("sys.pos").alias("sys_pos"),
-        *[F.when(is_sys, F.col(f"sys.{c}")).otherwise(F.col(c)).alias(c) for c in ("pos", "role", "text", "tokens")],
-    )
+    # the system turn goes to every window behind its own
+    behind = F.sequence(F.col("span_no") + 1, F.col("spans"))
+    none = F.array().cast("array<struct<window:bigint,kind:string>>")
+    system = F.when((F.col("sys.pos") == F.col("pos")) & (F.col("span_no") < F.col("spans")), F.transform(behind, lambda w: F.struct(w.alias("window"), F.lit("system").alias("kind")))).otherwise(none)
+    shown = t.select("conv_id", "pos", "role", "text", "tokens", F.col("sys.pos").alias("sys_pos"), F.explode(F.concat(own, again, system)).alias("w"))
+    shown = shown.select("conv_id", F.col("w.window").alias("window"), F.col("w.kind").alias("kind"), "sys_pos", "pos", "role", "text", "tokens")
     # the retained system turn is not repeated as history as well
     shown = shown.where((F.col("kind") != "history") | F.col("sys_pos").isNull() | (F.col("pos") != F.col("sys_pos")))
     head = F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit(SEP))

@@ -143,7 +143,7 @@ r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, l.b FRO
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS c FROM r GROUP BY node) m USING (doc_id)
 """
 
-_ESC = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '###', chr(92) || 'h##'), '</turn>', chr(92) || 'l/turn>')"
+_ESC = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '#', chr(92) || 'h'), '</turn>', chr(92) || 'l/turn>')"
 
 _OP1 = f"""
 WITH t AS (

@@ -25,7 +25,7 @@ def got(df):
     return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in cw.digest(df).collect()}
 
 
-TRICKY = [r"\### Assistant: </turn> ok", "\\", "\\\\", "\\h##", "\\l/turn>", "### ", "</turn>\n", "a: b", "", None, "é🙂\n\n", "<" * 3 + "/turn>"]
+TRICKY = [r"\### Assistant: </turn> ok", "#### Assistant: hi", "##", "#\\#", "\\", "\\\\", "\\h##", "\\l/turn>", "### ", "</turn>\n", "a: b", "", None, "é🙂\n\n", "<" * 3 + "/turn>"]
 
 
 def test_edges_and_ties(spark):
@@ -71,7 +71,9 @@ def test_only_dataframe_functions(spark, capsys):
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.text(alphabet="\\#</turn>hlc: \n", max_size=30), min_size=20, max_size=40))
+@given(st.lists(st.one_of(st.text(alphabet="\\#</turn>hlc: \n", max_size=30), st.lists(st.sampled_from(["#", "##", "###", "</turn>", "</turn>\n", "\\", " ", ": ", "a", "<"]), max_size=9).map("".join)), min_size=20, max_size=40))
 def test_escape_round_trip(spark, texts):
-    df = spark.createDataFrame([Row(t=t) for t in texts]).select("t", cw.unescape(cw.escape(F.col("t"), role=True)).alias("u"))
-    assert all(r.t == r.u for r in df.collect())
+    df = spark.createDataFrame([Row(t=t) for t in texts]).select("t", cw.escape(F.col("t")).alias("e"), cw.escape(F.col("t"), role=True).alias("r"))
+    for r in df.select("*", cw.unescape(F.col("e")).alias("back_e"), cw.unescape(F.col("r")).alias("back_r")).collect():
+        assert r.t == r.back_e == r.back_r
+        assert not any(mark in e for mark in ("#", "</turn>") for e in (r.e, r.r)) and ":" not in r.r
