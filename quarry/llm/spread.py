@@ -1,0 +1,36 @@
+"""Joins on keys of which some may hold a large share of all rows.
+
+The rows of a hot key are dealt to parts of about ``rows`` rows each, and the
+one row they are joined to is copied to each part. What is sent to every task is
+a table of bucket numbers of hot keys, at most ``BUCKETS`` of them, however many
+rows and keys there are: keys of the same bucket are dealt alike, which costs a
+few copies and changes no result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+BUCKETS = 1 << 18
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("__bucket")
+
+
+def hot_parts(counts: DataFrame, keys: list[str], rows: int = 2048) -> DataFrame:
+    """``__bucket, __parts`` of the keys that ``counts(keys, n)`` gives more than ``rows`` rows."""
+    hot = counts.where(F.col("n") > rows).groupBy(_bucket(keys)).agg(F.max(F.ceil(F.col("n") / rows)).cast("int").alias("__parts"))
+    return F.broadcast(hot)
+
+
+def deal(many: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``many`` with ``part``: a number below its key's parts, by a hash of the columns ``by``."""
+    part = F.coalesce(F.pmod(F.xxhash64(*by, F.lit(5)), F.col("__parts")).cast("int"), F.lit(0))
+    return many.withColumn("__bucket", _bucket(keys)).join(hot, "__bucket", "left").withColumn("part", part).drop("__bucket", "__parts")
+
+
+def copied(one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``one`` with a row for each ``part`` of its key."""
+    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    return one.withColumn("__bucket", _bucket(keys)).join(hot, "__bucket", "left").withColumn("part", F.explode(parts)).drop("__bucket", "__parts")
