@@ -116,8 +116,8 @@ class Model:
         return out
 
 
-def build(languages: list[str], order: int, lang: np.ndarray, k: np.ndarray, key: np.ndarray, count: np.ndarray, n_context: np.ndarray, t_context: np.ndarray) -> Model:
-    """Trees from rows of (language number, order, packed context and byte, count, total and distinct bytes of the context)."""
+def build(languages: list[str], order: int, lang: np.ndarray, k: np.ndarray, key: np.ndarray, count: np.ndarray) -> Model:
+    """Trees from rows of (language number, order, packed context and byte, count)."""
     m, n_lang = Model(languages, order), len(languages)
     for o in range(order + 1):
         here = k == o
@@ -126,8 +126,8 @@ def build(languages: list[str], order: int, lang: np.ndarray, k: np.ndarray, key
         np.add.at(n, (inv, lang[here]), count[here])
         ctx, cinv = np.unique(keys >> np.uint64(8), return_inverse=True)
         total, distinct = np.zeros((len(ctx), n_lang)), np.zeros((len(ctx), n_lang))
-        total[cinv[inv], lang[here]] = n_context[here]
-        distinct[cinv[inv], lang[here]] = t_context[here]
+        np.add.at(total, cinv, n)
+        np.add.at(distinct, cinv, n > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(total > 0, np.log2((total + distinct) / distinct), 0)
             own = np.log2((total + distinct)[cinv] / n)
@@ -153,15 +153,14 @@ def _gram_counts(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return np.unique(keys[whole], return_counts=True)
 
 
-def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, min_count: int = 2, max_grams: int = 1_500_000, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], int, DataFrame | None]:
-    """Languages, order and counts ``lang, k, gram, n, n_context, t_context`` of a bounded sample of labelled rows.
+def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, bytes_per_language: int = 4 << 20, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], int, DataFrame | None]:
+    """Languages, order and counts ``lang, k, gram, n`` of a bounded sample of labelled rows.
 
-    The bound holds for each language by itself: ``docs_per_language`` whole
-    texts, those with the smallest hash of the id, and ``max_grams`` entries.
-    Orders 0 to 2 stay whole and the most frequent entries of higher orders fill
-    the rest. Entries of order 3 and more need ``min_count`` occurrences; totals
-    and distinct bytes of contexts are those before ``max_grams``. Rows with a null
-    text or language are left out; without any the model knows no language.
+    The bounds hold for each language by itself: ``docs_per_language`` whole
+    texts of ``bytes_per_language`` together, taken by the smallest hash of id
+    and text; a language of longer texts only gives one. All that the sample
+    holds is counted. Rows with a null text or language are left out; without
+    any the model knows no language.
     """
     d = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # one row per language
@@ -170,9 +169,12 @@ def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, m
         return [], order, None
     # a share of each language by hash first, a little too many, so that the exact cut sees a small table only
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, (1.5 * docs_per_language + 50) / n[lang]))])
-    place = (F.xxhash64("id").cast("double") / 2.0**64) + 0.5
-    d = d.withColumn("place", place).where(F.col("place") < share[F.col("lang")])
-    d = d.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "text"))).where(F.col("nth") <= docs_per_language)
+    place = (F.xxhash64("id", "text").cast("double") / 2.0**64) + 0.5
+    d = d.withColumn("place", place).where(F.col("place") <= share[F.col("lang")])
+    by = Window.partitionBy("lang").orderBy(F.octet_length("text") > bytes_per_language, "place", "id", "text")
+    d = d.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= docs_per_language)
+    d = d.withColumn("held", F.sum(F.octet_length("text").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = d.where((F.col("held") <= bytes_per_language) | (F.col("nth") == 1))
     # few languages would make few tasks
     d = d.repartition("lang", F.pmod("nth", F.lit(16)))
     number = {lang: i for i, lang in enumerate(languages)}
@@ -188,17 +190,12 @@ def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, m
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, dtype=np.int32)), pa.array(np.full(len(keys), k, dtype=np.int32)), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "k", "gram", "n"])
 
     grams = d.select("lang", "text").mapInArrow(run, "lang int, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    grams = grams.where((F.col("k") < 3) | (F.col("n") >= min_count))
-    context = Window.partitionBy("lang", "k", F.shiftrightunsigned("gram", 8))
-    grams = grams.withColumns({"n_context": F.sum("n").over(context), "t_context": F.count("*").over(context)})
-    first = Window.partitionBy("lang").orderBy(F.col("k") >= 3, F.desc("n"), "k", "gram")
-    grams = grams.withColumn("nth", F.row_number().over(first)).where((F.col("k") < 3) | (F.col("nth") <= max_grams)).drop("nth")
     return languages, order, grams
 
 
 def _from_table(languages: list[str], order: int, top: pa.Table) -> Model:
     column = lambda c: top.column(c).to_numpy()
-    return build(languages, order, column("lang"), column("k"), column("gram").view(np.uint64), column("n"), column("n_context"), column("t_context"))
+    return build(languages, order, column("lang"), column("k"), column("gram").view(np.uint64), column("n"))
 
 
 def train(rows: DataFrame, **bounds) -> Model:
@@ -214,7 +211,7 @@ def train_packed(rows: DataFrame, **bounds) -> bytes:
         return pickle.dumps(Model([], order))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := list(batches):  # max_grams rows a language at most
+        if got := list(batches):  # what a bounded sample of each language holds
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_from_table(languages, order, pa.Table.from_batches(got)))])], ["model"])
 
     made = top.coalesce(1).mapInArrow(make, "model binary").collect()
@@ -228,11 +225,12 @@ def predict(docs: DataFrame, model: Model | bytes, *, text_col: str = "text") ->
     language weighs two to the power of minus its code length; ties go to the
     language first in order. A null text, or one without a letter, or a model
     without languages gives ``und`` with score 0. Columns of these names in
-    ``docs`` are replaced; no other column is looked at.
+    ``docs``, in any case, are replaced; no other column is looked at. Every row
+    gives a row, repeats too; an empty table gives none.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model if isinstance(model, bytes) else pickle.dumps(model))  # bounded: max_grams entries a language
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    sent = spark.sparkContext.broadcast(model if isinstance(model, bytes) else pickle.dumps(model))  # bounded by the sample of each language
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     asked = docs.select(*rest, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,7 +45,7 @@ def test_exact_code_lengths(spark, order, monkeypatch):
     r = random.Random(order)
     word = {"aa": "abcd é", "bb": "cdef ñ"}
     rows = [(i, "".join(r.choice(word[lang]) for _ in range(r.randrange(0, 60))), lang) for i in range(60) for lang in word]
-    m = ppm.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order=order, min_count=1)
+    m = ppm.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order=order)
     trees = {lang: tree([t for _, t, x in rows if x == lang], order) for lang in word}
     asked = ["", "a", "abcabc", "zzz é", "fed" * 50, "ñ", "x"] + [t for _, t, _ in rows[:20]]
     got = m.score(*utf8(pa.array(asked)))
@@ -81,32 +81,31 @@ def test_rare_languages_keep_their_trees(spark):
     word = {"aa": "abcdefgh", "bb": "klmnopqr", "cc": "stuvwxyz"}
     rows = [(i, "".join(r.choice(word[lang]) for _ in range(200)), lang) for lang, n in (("aa", 60), ("bb", 60), ("cc", 2)) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    small = ppm.train(df, min_count=1, max_grams=700)
+    small = ppm.train(df, bytes_per_language=2000)
     asked = spark.createDataFrame([(1, "zyx tuv wst"), (2, "abc fgh")], "doc_id long, text string")
     assert [x.lang_pred for x in ppm.predict(asked, small).orderBy("doc_id").collect()] == ["cc", "aa"]
-    alone = ppm.train(df.where("lang = 'cc'"), min_count=1, max_grams=700)
+    alone = ppm.train(df.where("lang = 'cc'"), bytes_per_language=2000)
     data = utf8(pa.array([t for _, t, lang in rows if lang == "cc"]))
     assert np.allclose(small.score(*data)[:, 2], alone.score(*data)[:, 0])
 
 
-def test_contexts_are_counted_before_the_cut(spark):
-    r = random.Random(4)
-    rows = [(i, "".join(r.choice("abcde") for _ in range(100)), "aa") for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    whole, cut = ppm.train(df, order=3, min_count=1), ppm.train(df, order=3, min_count=1, max_grams=300)
-    for k in range(4):
-        keys = np.array(sorted(set(cut.grams[k].keys) - {ppm._EMPTY}), dtype=np.uint64)
-        assert len(keys) == min(5 ** (k + 1), 300 - 155)
-        assert np.allclose(whole.costs(keys, k), cut.costs(keys, k))
+def test_bytes_are_bounded_by_whole_texts(spark):
+    rows = [(i, "ab" * 50, "aa") for i in range(30)] + [(99, "z" * 5000, "aa"), (None, "q" * 3000, "bb")]
+    m = ppm.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order=0, bytes_per_language=1000)
+    # ten texts of aa, without the one that is too long; bb has no other
+    assert np.allclose(m.score(*utf8(pa.array(["a"])))[:, 0], log2(1002 / 500))
+    assert np.allclose(m.score(*utf8(pa.array(["q"])))[:, 1], log2(3001 / 3000))
 
 
 def test_nulls_repeats_clashes_empty(spark):
     schema = "doc_id long, text string, lang string, score string"
     rows = [(1, None, "en", "s"), (2, "", "en", None), (3, "123 !?", "en", None), (4, "abc", None, None), (None, "abc abc", "en", "x"), (4, "abc", None, None)]
     df = spark.createDataFrame(rows, schema)
-    out = ppm.predict(df, ppm.train(df, min_count=1)).collect()
+    out = ppm.predict(df, ppm.train(df)).collect()
     assert sorted((r.doc_id or 0, r.lang_pred) for r in out) == [(0, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en")]
     assert all((r.score == 0) == (r.lang_pred == "und") for r in out)
     empty = ppm.train(df.limit(0))
     assert {r.lang_pred for r in ppm.predict(df, empty).collect()} == {"und"}
     assert ppm.predict(df.limit(0), empty).count() == 0
+    odd = df.withColumnsRenamed({"score": "Score"}).withColumn("LANG_PRED", F.lit("x"))
+    assert ppm.predict(odd, ppm.train(df)).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
