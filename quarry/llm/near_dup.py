@@ -9,17 +9,17 @@ similarity but for one in a million are dropped by distance.
 What is left is confirmed on full shingle sets.
 
 Copies are joined to one class before that. Rows of a key are first compared
-with the key's smallest row only; components of these links are closed; then
-rows of a key that still lie in different components are compared with each
-other, unless set sizes or the distances from the key's smallest row rule a link
-out. Comparisons inside a component cannot change it, so no link between
-components is lost and no group emits all its pairs.
+with the key's smallest row only, its head; components of these links are
+closed; then rows under one head that still lie in different components are
+compared with each other in blocks, as products of their shingle matrices, and a
+block passes on one link for each two components. Comparisons inside a component
+cannot change it, so no link between components is lost and no group emits all
+its pairs. Keys and heads with many rows are dealt to many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +29,12 @@ from quarry.llm.bytesview import mix
 from quarry.llm.components import components
 from quarry.scratch import materialize, release
 from quarry.llm.shingles import features, shingle_sets
+from quarry.llm.spread import copied, deal, hot_parts, share, with_parts
 
 _SEMI_BUCKETS = 1 << 20
-_TOGETHER = 512
-
-
-def distance_limit(symbols: int, similarity: float, miss: float = 1e-6) -> int:
-    """The signature distance that a pair of that similarity exceeds with probability ``miss`` at most."""
-    p, rest = 1 - similarity, 0.0
-    for d in range(symbols, 0, -1):
-        rest += comb(symbols, d) * p**d * (1 - p) ** (symbols - d)
-        if rest > miss:
-            return d
-    return 0
+#: A block of rows under one head holds about so many rows, and shingles.
+_BLOCK, _BLOCK_SHINGLES = 1024, 1 << 20
+_COLUMNS = 4096
 
 
 def chunk_keys(sig: np.ndarray, chunks: int, width: int) -> np.ndarray:
@@ -83,6 +76,52 @@ def _reaches(shared, x, y, similarity: float):
     return shared * 1000 >= (F.size(x) + F.size(y) - shared) * round(similarity * 1000)
 
 
+def shared_counts(flat: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each row of ``left`` shares with each of ``right``; rows are sets in ``flat`` between offsets ``at``."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    word, number, held = np.unique(flat, return_inverse=True, return_counts=True)
+    often = held > 1  # others are shared by no two rows
+    column = (np.cumsum(often) - 1)[number]
+    use = often[number]
+    row, column = row[use], column[use]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, n = np.zeros((len(left), len(right)), dtype=np.float32), len(at) - 1
+    for c in range(0, int(often.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + _COLUMNS])
+        m = np.zeros((n, min(_COLUMNS, int(column[-1]) + 1 - c)), dtype=np.float32)
+        m[row[lo:hi], column[lo:hi] - c] = 1
+        out += m[left] @ m[right].T  # whole numbers below 2^24: exact
+    return out
+
+
+def _across(similarity: float):
+    def run(rows: pa.Table) -> pa.Table:
+        made = []
+        heads = rows.column("head").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.argsort(heads, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(heads[order])) + 1):
+            part = rows.take(pa.array(mine))
+            component = part.column("component").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+            if component.max(initial=0) == 0:
+                continue
+            sets = part.column("shingles").combine_chunks()
+            flat, size = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+            block, lo, hi = (part.column(c).to_numpy() for c in ("block", "lo", "hi"))
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            shared = shared_counts(flat, np.concatenate([[0], np.cumsum(size)]), left, right).astype(np.float64)
+            linked = (shared * 1000 >= (size[left][:, None] + size[right][None, :] - shared) * round(similarity * 1000)) & (component[left][:, None] != component[right][None, :])
+            i, j = np.nonzero(linked)
+            i, j = left[i], right[j]
+            pair = np.minimum(component[i], component[j]) * len(component) + np.maximum(component[i], component[j])
+            _, first = np.unique(pair, return_index=True)
+            made.append(pa.table({"a": part.column("id").take(pa.array(i[first])), "b": part.column("id").take(pa.array(j[first]))}))
+        kind = rows.schema.field("id").type
+        return pa.concat_tables(made) if made else pa.table({"a": pa.array([], kind), "b": pa.array([], kind)})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, chunks: int = 10, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``.
 
@@ -107,38 +146,34 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, chu
 
 def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, chunks: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """Links ``a, b`` between class representatives that give all components, and the written tables they are read from."""
-    limit = distance_limit(chunks * width, similarity)
     keyed = _keyed(classes, chunks, width)
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("rows")).where("rows > 1")
-    shared = materialize(keyed.join(heads, "key"), "keys")
+    heads = materialize(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    hot = hot_parts(heads, ["key"])
+    shared = deal(keyed, hot, ["key"], ["id"]).join(copied(heads, hot, ["key"]), ["key", "part"])
+    shared = materialize(shared, "keys")
     pairs = materialize(shared.where("id <> head").select("head", "id").distinct(), "pairs")
     sets = _sets(pairs.select(F.explode(F.array("head", "id")).alias("id")), docs, k, id_col, text_col)
-    both = pairs.join(sets.withColumnRenamed("shingles", "y"), "id").join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("x")), "head")
-    same = _shared("x", "y")
-    measured = materialize(both.select("head", "id", (1 - same / (F.size("x") + F.size("y") - same)).alias("distance"), _reaches(same, "x", "y", similarity).alias("linked")), "measured")
-    comp = components(measured.where("linked").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    popular = hot_parts(pairs.groupBy("head").agg(F.count("*").alias("n")), ["head"])
+    both = deal(pairs, popular, ["head"], ["id"]).join(sets.withColumnRenamed("shingles", "y"), "id")
+    own = pairs.select("head").distinct().join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("x")), "head")
+    both = both.join(copied(own, popular, ["head"]), ["head", "part"])
+    linked = materialize(both.where(_reaches(_shared("x", "y"), "x", "y", similarity)).select(F.col("head").alias("a"), F.col("id").alias("b")), "linked")
+    comp = components(linked)
 
     # keys of two rows are settled; of the others, those with rows in several components are compared across them
-    rest = shared.where("rows > 2").select("key", "head", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = shared.where("n > 2").select("key", "part", "head", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    pool = rest.where("id <> head").join(mixed, "key").select("head", "id", "component").distinct()
-    pool = pool.join(measured.drop("linked"), ["head", "id"]).join(classes.select(F.col("rep").alias("id"), "sig"), "id").join(sets, "id")
-    pool = stored = materialize(pool, "pool")
-    release(shared, pairs, sets)
-    # rows with many neighbours under one head are dealt to several tasks
-    parts = pool.groupBy("head").agg(F.ceil(F.count("*") / _TOGETHER).cast("int").alias("parts")).where("parts > 0")
-    pool = pool.join(parts, "head")
-    a, b = (pool.select("head", "parts", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "component", "distance", "sig", "shingles")]) for x in "ab")
-    a = a.withColumn("part", F.pmod(F.xxhash64("a_id"), F.col("parts")).cast("int")).drop("parts")
-    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    # cheap necessary conditions first: set sizes that allow the similarity; much the same distance from the head
-    # (triangle inequality); signatures near enough
-    small, large = F.least(F.size("a_shingles"), F.size("b_shingles")), F.greatest(F.size("a_shingles"), F.size("b_shingles"))
-    agree = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda hit: hit))
-    met = (
-        (a["head"] == b["head"]) & (a["part"] == b["part"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
-        & (small >= similarity * large - 1e-9) & (F.abs(F.col("a_distance") - F.col("b_distance")) <= 1 - similarity + 1e-9)
-        & (chunks * width - agree <= limit) & _reaches(_shared("a_shingles", "b_shingles"), "a_shingles", "b_shingles", similarity)
-    )
-    across = a.join(b, met).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    return across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), [stored, measured]
+    pool = rest.where("id <> head").join(copied(mixed, hot, ["key"]), ["key", "part"]).select("head", "id", "component").distinct()
+    pool = materialize(pool.join(sets, "id"), "pool")
+    release(heads, shared, pairs, sets, linked)
+    size = F.sum(F.size("shingles").cast("long"))
+    blocks = pool.groupBy("head").agg(F.greatest(F.count("*"), F.ceil(size * (_BLOCK / _BLOCK_SHINGLES))).alias("n"))
+    blocked = with_parts(pool, hot_parts(blocks, ["head"], _BLOCK), ["head"]).withColumn("block", share(["id"], F.col("parts")))
+    # every two blocks of a head meet once; heads of one block share a task's work with others
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    blocked = blocked.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    packs = max(1, -(-pool.count() // _BLOCK))
+    blocked = blocked.withColumn("pack", F.when(F.col("parts") > 1, F.xxhash64("head")).otherwise(F.pmod(F.xxhash64("head"), F.lit(packs)).cast("long")))
+    kind = pool.schema["id"].dataType.simpleString()
+    across = blocked.select("pack", "lo", "hi", "block", "head", "id", "component", "shingles").groupBy("pack", "lo", "hi").applyInArrow(_across(similarity), f"a {kind}, b {kind}")
+    return across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), [pool]

@@ -18,19 +18,27 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("__bucket")
 
 
-def hot_parts(counts: DataFrame, keys: list[str], rows: int = 2048) -> DataFrame:
+def hot_parts(counts: DataFrame, keys: list[str], rows: int = 1024) -> DataFrame:
     """``__bucket, __parts`` of the keys that ``counts(keys, n)`` gives more than ``rows`` rows."""
     hot = counts.where(F.col("n") > rows).groupBy(_bucket(keys)).agg(F.max(F.ceil(F.col("n") / rows)).cast("int").alias("__parts"))
     return F.broadcast(hot)
 
 
+def with_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``parts``, in how many its key is dealt."""
+    return df.withColumn("__bucket", _bucket(keys)).join(hot, "__bucket", "left").withColumn("parts", F.coalesce("__parts", F.lit(1))).drop("__bucket", "__parts")
+
+
+def share(by: list[str], n: Column) -> Column:
+    """A number from 0 to below ``n`` by a hash of the columns ``by``."""
+    return F.pmod(F.xxhash64(*by, F.lit(5)), n).cast("int")
+
+
 def deal(many: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """``many`` with ``part``: a number below its key's parts, by a hash of the columns ``by``."""
-    part = F.coalesce(F.pmod(F.xxhash64(*by, F.lit(5)), F.col("__parts")).cast("int"), F.lit(0))
-    return many.withColumn("__bucket", _bucket(keys)).join(hot, "__bucket", "left").withColumn("part", part).drop("__bucket", "__parts")
+    return with_parts(many, hot, keys).withColumn("part", share(by, F.col("parts"))).drop("parts")
 
 
 def copied(one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """``one`` with a row for each ``part`` of its key."""
-    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
-    return one.withColumn("__bucket", _bucket(keys)).join(hot, "__bucket", "left").withColumn("part", F.explode(parts)).drop("__bucket", "__parts")
+    return with_parts(one, hot, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")

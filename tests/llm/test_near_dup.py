@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import near_dup as nd
 from quarry.llm.components import components
+from quarry.llm.spread import hot_parts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -76,6 +78,25 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
 
 
-def test_distance_limit():
-    assert nd.distance_limit(50, 0.8) > 19  # beyond what the chunks guarantee
-    assert nd.distance_limit(50, 1.0) == 0
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(nd, "_COLUMNS", 3)
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 40, r.integers(0, 30))) for _ in range(20)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    left, right = np.arange(0, 20, 2), np.arange(5, 20)
+    got = nd.shared_counts(np.concatenate(sets), at, left, right)
+    assert all(got[x, y] == len(set(sets[i]) & set(sets[j])) for x, i in enumerate(left) for y, j in enumerate(right) if i != j)
+
+
+@pytest.mark.parametrize("rows", [3, 1024])
+def test_hot_keys_and_blocks(spark, monkeypatch, rows):
+    """Near copies of one text, most too far from the head and from most others; keys, heads and blocks are split."""
+    monkeypatch.setattr(nd, "_BLOCK", rows)
+    monkeypatch.setattr(nd, "hot_parts", lambda counts, keys, n=rows: hot_parts(counts, keys, n))
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(i * 3, " ".join(x if r.random() > 0.045 else f"n{r.randrange(4)}" for x in base)) for i in range(160)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    expected = brute(docs, 2)
+    assert got(nd.near_duplicates(df, k=2)) == expected
+    assert 1 < len({c for _, c, _ in expected.values()}) < 150
