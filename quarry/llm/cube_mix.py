@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.llm.spread import hot_parts, with_parts
 from quarry.scratch import materialize
 
 BLOCK = 2000
@@ -127,19 +128,22 @@ def mix(docs: DataFrame, *, weights: list[float] = (3, 1, 2), share: float = 1.5
 
     A document is taken whole, ``floor(target / source_size)`` times and once
     more if the sample includes it, so never more than ``most`` times (an
-    integer) its size. Results depend on ids, sizes and the seed only. Null texts and
-    texts without words have size 0 and are not sampled; null sources are one
-    source; rows with a null id and repeated rows count and are sampled as any
-    other; an empty table gives no rows; further columns are ignored.
+    integer) its size. Results depend on ids, sizes and the seed only, but where
+    more than a block of rows share an id (null too): these are dealt to blocks
+    by their place in the files. Null texts and texts without words have size 0
+    and are not sampled; null sources are one source; rows with a null id and
+    repeated rows count and are sampled as any other; an empty table gives no
+    rows; further columns are ignored.
     """
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sized = materialize(sized, "sizes")
+    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")  # numbered once, as written
     goal = materialize(targets(sized, list(weights), share, most), "targets")
     largest = goal.agg(F.max("n")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = sized.join(goal, sized.source.eqNullSafe(goal.source), "left").select("id", "size", "source_no", "n", "source_size", "target", rate.alias("rate"))
+    units = sized.join(goal, sized.source.eqNullSafe(goal.source), "left").select("id", "row", "size", "source_no", "n", "source_size", "target", rate.alias("rate"))
     units = units.withColumn("copies", F.floor(F.col("rate") + _EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("copies")))
-    units = units.withColumn("place", F.xxhash64("id", F.lit(seed)))
+    units = with_parts(units, hot_parts(sized.groupBy("id").agg(F.count("*").alias("n")), ["id"], BLOCK), ["id"])
+    units = units.withColumn("place", F.xxhash64("id", F.lit(seed), F.pmod("row", "parts"))).drop("row", "parts")
     units = units.withColumn("block", F.pmod("place", F.ceil(F.col("n") / BLOCK).cast("long"))).drop("n", "rate")
     sampled = (F.col("p") > _EPS) & (F.col("size") > 0)
     fixed = units.where(~sampled)

@@ -55,17 +55,19 @@ def _keyed(classes: DataFrame, chunks: int, width: int) -> DataFrame:
                 ids = part.column("id").take(pa.array(np.repeat(np.arange(len(part)), keys.shape[1])))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), ids], ["key", "id"])
 
-    rows = classes.select(F.col("rep").alias("id"), "sig")
-    return rows.mapInArrow(run, f"key long, id {rows.schema['id'].dataType.simpleString()}")
+    return classes.select(F.col("no").alias("id"), "sig").mapInArrow(run, "key long, id long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, shingles`` of the rows whose id is in ``ids``, written."""
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, shingles`` of the classes whose number is in ``ids``, written."""
     # at most _SEMI_BUCKETS numbers, however many ids: small enough to send to every task, and texts need no shuffle
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_SEMI_BUCKETS)).cast("int")
-    wanted = F.broadcast(ids.select(bucket("id").alias("bucket")).distinct())
+    asked = classes.select("no", F.col("rep").alias("id"), "set_key").join(ids.select(F.col("id").alias("no")).distinct(), "no", "left_semi")
+    wanted = F.broadcast(asked.select(bucket("id").alias("bucket")).distinct())
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("bucket", bucket("id")).join(wanted, "bucket", "left_semi")
-    return materialize(shingle_sets(some, k, "id").join(ids.distinct(), "id", "left_semi"), "sets")
+    # an id may stand for several texts, and a text for several rows of an id
+    found = shingle_sets(some, k, "id").join(asked, ["id", "set_key"]).groupBy(F.col("no").alias("id")).agg(F.first("shingles").alias("shingles"))
+    return materialize(found, "sets")
 
 
 def _shared(x, y):
@@ -116,8 +118,7 @@ def _across(similarity: float):
             pair = np.minimum(component[i], component[j]) * len(component) + np.maximum(component[i], component[j])
             _, first = np.unique(pair, return_index=True)
             made.append(pa.table({"a": part.column("id").take(pa.array(i[first])), "b": part.column("id").take(pa.array(j[first]))}))
-        kind = rows.schema.field("id").type
-        return pa.concat_tables(made) if made else pa.table({"a": pa.array([], kind), "b": pa.array([], kind)})
+        return pa.concat_tables(made) if made else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     return run
 
@@ -128,31 +129,41 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, chu
     Links join rows whose sets of distinct ``k``-word shingles have a Jaccard
     similarity of ``similarity`` or more. Texts are lower-cased (A-Z) and split
     at ASCII white space, whole. Fewer than ``k`` words make one shingle; null
-    or blank texts have none and link with nothing. Repeated rows share their
-    component. A null id takes no part (component null, kept). Further columns
-    are ignored; an empty table gives no rows. With the default chunks a pair
-    at exactly the similarity is missed with a probability of about 2e-6.
+    or blank texts have none and link with nothing. Every row gives a row: equal
+    rows share their component, and rows of one id with different texts are
+    judged each by its own text. A null id takes no part (component null, kept).
+    Further columns are ignored; an empty table gives no rows. With the default
+    chunks a pair at exactly the similarity is missed with a probability of
+    about 2e-6.
     """
     f = materialize(features(docs, k, chunks * width, id_col, text_col), "features")
-    classes = f.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "classes")
+    classes = f.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+    classes = materialize(classes.withColumn("no", F.monotonically_increasing_id()), "classes")  # numbered once, as written
     found, done = _links(docs, classes, k=k, similarity=similarity, chunks=chunks, width=width, id_col=id_col, text_col=text_col)
     comp = components(found)
     release(*done)
-    out = f.drop("sig").join(classes.drop("sig"), "set_key", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+    member = classes.select("no", "set_key", "rep").join(comp.withColumnRenamed("node", "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
+    least = member.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    hot = hot_parts(least, ["component"])
+    member = deal(member, hot, ["component"], ["no"]).join(copied(least, hot, ["component"]), ["component", "part"]).select("set_key", "component_id")
+    # one text may be that of many rows
+    copies = hot_parts(classes.select("set_key", F.col("rows").alias("n")), ["set_key"])
+    rows = deal(f.where("set_key is not null").select("id", "n_shingles", "set_key"), copies, ["set_key"], ["id"])
+    out = rows.join(copied(member, copies, ["set_key"]), ["set_key", "part"], "left").select("id", "n_shingles", "component_id")
+    out = out.unionByName(f.where("set_key is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, chunks: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
-    """Links ``a, b`` between class representatives that give all components, and the written tables they are read from."""
+    """Links ``a, b`` between class numbers that give all components, and the written tables they are read from."""
     keyed = _keyed(classes, chunks, width)
     heads = materialize(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
     hot = hot_parts(heads, ["key"])
     shared = deal(keyed, hot, ["key"], ["id"]).join(copied(heads, hot, ["key"]), ["key", "part"])
     shared = materialize(shared, "keys")
     pairs = materialize(shared.where("id <> head").select("head", "id").distinct(), "pairs")
-    sets = _sets(pairs.select(F.explode(F.array("head", "id")).alias("id")), docs, k, id_col, text_col)
+    sets = _sets(pairs.select(F.explode(F.array("head", "id")).alias("id")), classes, docs, k, id_col, text_col)
     popular = hot_parts(pairs.groupBy("head").agg(F.count("*").alias("n")), ["head"])
     both = deal(pairs, popular, ["head"], ["id"]).join(sets.withColumnRenamed("shingles", "y"), "id")
     own = pairs.select("head").distinct().join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("x")), "head")
@@ -174,6 +185,5 @@ def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, ch
     blocked = blocked.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     packs = max(1, -(-pool.count() // _BLOCK))
     blocked = blocked.withColumn("pack", F.when(F.col("parts") > 1, F.xxhash64("head")).otherwise(F.pmod(F.xxhash64("head"), F.lit(packs)).cast("long")))
-    kind = pool.schema["id"].dataType.simpleString()
-    across = blocked.select("pack", "lo", "hi", "block", "head", "id", "component", "shingles").groupBy("pack", "lo", "hi").applyInArrow(_across(similarity), f"a {kind}, b {kind}")
+    across = blocked.select("pack", "lo", "hi", "block", "head", "id", "component", "shingles").groupBy("pack", "lo", "hi").applyInArrow(_across(similarity), "a long, b long")
     return across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), [pool]

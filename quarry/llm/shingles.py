@@ -64,6 +64,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     return rows, rows.schema["id"].dataType.simpleString()
 
 
+def _digests(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A digest of each row's set; null for an empty one."""
+    return pa.array([hashlib.blake2b(flat[a:b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
 def features(docs: DataFrame, k: int, m: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``id, n_shingles, set_key`` (digest of the set; null if empty) and ``sig array<smallint>``."""
 
@@ -71,24 +76,23 @@ def features(docs: DataFrame, k: int, m: int, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, "text", 1 << 19):
                 flat, at = distinct(part.column("text"), k)
-                keys = [hashlib.blake2b(flat[a:b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
                 sig = signatures(flat, at, m)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * m, pa.int32()), pa.array(sig.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), pa.array(keys, pa.binary()), lists], ["id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(at)), _digests(flat, at), lists], ["id", "n_shingles", "set_key", "sig"])
 
     rows, kind = _rows(docs, id_col, text_col)
     return rows.mapInArrow(run, f"id {kind}, n_shingles long, set_key binary, sig array<smallint>")
 
 
 def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``id`` and the full set ``shingles array<bigint>``."""
+    """Per row ``id, set_key`` and the full set ``shingles array<bigint>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 flat, at = distinct(part.column("text"), k)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), _digests(flat, at), lists], ["id", "set_key", "shingles"])
 
     rows, kind = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"id {kind}, shingles array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, set_key binary, shingles array<bigint>")

@@ -72,6 +72,14 @@ def test_nulls_repeats_clashes_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    rows = [(5, "a b c"), (5, "x y z"), (1, "a b c"), (5, "x y z"), (7, "X Y  z")]
+    out = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out.collect()) == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False)]
+    named = nd.near_duplicates(spark.createDataFrame([(f"n{i}", t) for i, t in rows], "doc_id string, text string"), k=2)
+    assert {(r.doc_id, r.component_id) for r in named.collect()} == {("n1", "n1"), ("n5", "n1"), ("n5", "n5"), ("n7", "n5")}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501), (600, 600)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
