@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline as cp
 import duckdb
 import pytest
@@ -35,16 +37,50 @@ def test_run_chains_the_stages(spark, sf_dir):
     assert sorted(map(str, docs.collect())) == sorted(map(str, cp.run(spark, sf_dir).collect()))
 
 
-def test_stages_stand_odd_rows(spark, sf_dir):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, rep int, tag string"
-    text = "some words that are long enough to be a document of its own here"
-    rows = [(1, text, "en", None, None, "x", 1, "t"), (1, text, "en", None, None, "x", 1, "t"), (2, None, None, "s", 0, None, None, None), (None, text, "en", "s", 1, None, None, None), (3, "", "en", "s", 0, None, None, None)]
-    for part in (rows, []):
-        docs = spark.createDataFrame(part, schema)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, rep int, Score string, kept string"
+WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+OWN = [" ".join(f"{w}{x}" for w in WORDS) for x in "abcdefgh"]
+ODD = [
+    (5, OWN[0], "en", "s", 1, "x", 1, "t", None), (5, OWN[1], "en", "s", 1, "x", 1, "t", None), (1, OWN[0], "en", "t", 1, None, 1, "t", None),  # an id with two texts, one a copy
+    (7, OWN[2], "en", "s", 1, "x", 1, "t", None), (7, OWN[2], "en", "s", 1, "x", 1, "t", None), (7, OWN[2], "en", "r", 1, "x", 1, "t", None),  # repeated rows
+    (None, OWN[3], "en", "s", 1, "x", 1, "t", None), (None, OWN[4], "en", None, 1, "x", 1, "t", None), (None, OWN[2], "en", "s", 1, "x", 1, "t", None),  # null ids
+    (-4, OWN[5], "en", "s", 1, "x", 1, "t", None), (3, OWN[5], "en", "s", 1, "x", 1, "t", None), (8, None, "en", "s", 0, None, None, None, None),
+    (9, "", None, "s", 0, None, None, None, None), (9, "", None, "s", 0, None, None, None, None),
+]
+
+
+def test_no_row_is_lost_or_repeated(spark, tmp_path):
+    docs = spark.createDataFrame(ODD, SCHEMA).repartition(3)
+    spark.createDataFrame([(1, OWN[1] + " more"), (2, OWN[4])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = lambda df: sorted(map(str, df.collect()))
+    expect = lambda keep: rows(spark.createDataFrame(keep, SCHEMA))
+
+    assert rows(cp.language_id(spark, docs, "")) == expect([r for r in ODD if r[1]])
+    one = cp.near_duplicates(spark, docs, "")
+    kept = [ODD[2], ODD[1], ODD[6], ODD[7], ODD[9], ODD[11], ODD[12]]
+    assert one.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in one.collect()) == sorted((r[0] or 0, r[1] or "") for r in [*kept, ODD[3]])
+    assert {str(r) for r in one.collect()} <= set(rows(docs))
+    bad = {OWN[4]}  # thirteen words of the other item are more than the text has
+    assert rows(cp.decontamination(spark, docs, str(tmp_path))) == expect([r for r in ODD if r[1] not in bad])
+
+    mixed = cp.mixing(spark, docs, "").collect()
+    assert len({x.lower() for x in mixed[0].asDict()}) == len(mixed[0]) and "Score" in mixed[0].asDict()
+    key = lambda r: (r.doc_id, r.text, r.source)
+    have = Counter((r[0], r[1], r[3]) for r in ODD)
+    taken = Counter(map(key, mixed))
+    assert all(taken[k] <= have[k] for k in taken) and all(r.taken == 12 * r.times and r.times in (1, 2) for r in mixed)
+    assert sum(r.taken for r in mixed) == pytest.approx(1.5 * 12 * sum(bool(r[1]) for r in ODD), abs=24)
+    assert any(r.doc_id is None for r in mixed)
+
+
+def test_stages_chain_over_odd_and_empty_rows(spark, sf_dir):
+    for part in (ODD, []):
+        docs = spark.createDataFrame(part, SCHEMA)
         for name, stage in cp.STAGES:
             out = stage(spark, docs, sf_dir)
             assert name == "mixing" or out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.isEmpty() == (not part)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
