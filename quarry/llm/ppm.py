@@ -14,6 +14,7 @@ languages, so scoring a text is a table lookup per byte.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -193,33 +194,56 @@ def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, b
     return languages, order, grams
 
 
-def _from_table(languages: list[str], order: int, top: pa.Table) -> Model:
-    column = lambda c: top.column(c).to_numpy()
-    return build(languages, order, column("lang"), column("k"), column("gram").view(np.uint64), column("n"))
+def _packed(languages: list[str], order: int, counts: pa.Table) -> bytes:
+    """Counts as compressed bytes, a few for each entry."""
+    lang, k, gram, n = (counts.column(c).to_numpy() for c in ("lang", "k", "gram", "n"))
+    at = np.lexsort((gram, k, lang))
+    # neighbours in this order differ little
+    fields = [lang[at].astype(np.int32), k[at].astype(np.int8), np.diff(gram[at], prepend=np.int64(0)), n[at].astype(np.int64)]
+    return pickle.dumps((languages, order, [(x.dtype.str, len(x), pa.compress(x.tobytes(), codec="zstd", asbytes=True)) for x in fields]))
 
 
-def train(rows: DataFrame, **bounds) -> Model:
-    """Fit trees on a bounded sample (see :func:`_counts` for the bounds and their defaults)."""
-    languages, order, top = _counts(rows, **bounds)
-    return Model([], order) if top is None else _from_table(languages, order, top.toArrow())
+def unpack(packed: bytes) -> Model:
+    """The trees of a packed model."""
+    languages, order, fields = pickle.loads(packed)
+    if not fields:
+        return Model([], order)
+    lang, k, gram, n = (np.frombuffer(pa.decompress(x, length * np.dtype(kind).itemsize, codec="zstd"), dtype=kind) for kind, length, x in fields)
+    return build(languages, order, lang, k, np.cumsum(gram, dtype=np.int64).view(np.uint64), n)
+
+
+_unpacked: dict[bytes, Model] = {}
+
+
+def _held(packed: bytes, name: bytes) -> Model:
+    """The model of that name, unpacked once in a worker process."""
+    if name not in _unpacked:
+        _unpacked.clear()
+        _unpacked[name] = unpack(packed)
+    return _unpacked[name]
 
 
 def train_packed(rows: DataFrame, **bounds) -> bytes:
-    """As :func:`train`, but the trees are built in one task and come back packed, which spares the driver their making."""
-    languages, order, top = _counts(rows, **bounds)
-    if top is None:
-        return pickle.dumps(Model([], order))
+    """Fit trees on a bounded sample (see :func:`_counts` for the bounds and their defaults); its counts come back packed by one task."""
+    languages, order, counts = _counts(rows, **bounds)
+    if counts is None:
+        return pickle.dumps(([], order, []))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if got := list(batches):  # what a bounded sample of each language holds
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_from_table(languages, order, pa.Table.from_batches(got)))])], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(languages, order, pa.Table.from_batches(got))])], ["model"])
+
+    made = counts.coalesce(1).mapInArrow(pack, "model binary").collect()
+    return bytes(made[0].model) if made else pickle.dumps(([], order, []))
 
-    made = top.coalesce(1).mapInArrow(make, "model binary").collect()
-    return bytes(made[0].model) if made else pickle.dumps(Model([], order))
+
+def train(rows: DataFrame, **bounds) -> Model:
+    """As :func:`train_packed`, with the trees made here."""
+    return unpack(train_packed(rows, **bounds))
 
 
-def predict(docs: DataFrame, model: Model | bytes, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` under a trained or packed model.
+def predict(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` under a packed model.
 
     The whole text is scored. ``score`` is the share of the winner when each
     language weighs two to the power of minus its code length; ties go to the
@@ -229,12 +253,13 @@ def predict(docs: DataFrame, model: Model | bytes, *, text_col: str = "text") ->
     gives a row, repeats too; an empty table gives none.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model if isinstance(model, bytes) else pickle.dumps(model))  # bounded by the sample of each language
+    sent = spark.sparkContext.broadcast(model)  # bounded by the sample of each language
+    name = hashlib.blake2b(model, digest_size=16).digest()
     rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     asked = docs.select(*rest, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pickle.loads(sent.value)
+        m = _held(sent.value, name)
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 langs, score = ["und"] * len(part), np.zeros(len(part))

