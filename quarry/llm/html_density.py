@@ -9,7 +9,8 @@ threshold the node with the largest sum is content, and the smallest subtree
 around all content is the article. Parts that say by tag or role that they are
 menus, notices and the like never count. A form, or a class or id that says so,
 is evidence only: such a part counts all the same if it holds a heading or
-paragraphs and most of the page's text outside links.
+paragraphs and most of the page's text outside links, and a name that merely
+holds such a word (``legal-analysis``) counts against a part of links only.
 """
 
 from __future__ import annotations
@@ -37,12 +38,16 @@ _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split())
-NEVER = frozenset("head script style noscript template iframe object embed svg canvas math nav footer aside button select option datalist input textarea dialog menu audio video map title".split())
+#: Elements that stand inside a line, shown or not: they end no block.
+FLOWING = INLINE | frozenset("script style noscript template iframe object embed svg canvas button select option optgroup datalist input textarea audio video map area picture source track output progress meter label slot math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
+NEVER = frozenset("head script style noscript template iframe object embed svg canvas annotation annotation-xml nav footer aside button select option datalist input textarea dialog menu audio video map title".split())
 FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 ALWAYS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup paywall comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager".split())
 PARTS = frozenset("sidebar sidebars aside nav navbar navbars navigation menu menus masthead footer related recommended recommendations share sharing social widget widgets toolbar login search skip alert copyright legal tags adslot adunit adcontainer outbrain taboola".split())
 CONTENT = frozenset("article content main post entry story body text".split())
+#: Last words of names that say what kind of box it is, not what is in it.
+BOXES = frozenset("area bar block body bottom box button buttons card cards col column container content entry form frame group header holder icon icons info inner item items left link links list main message module outer panel popup post region right row section side slot story text title top unit wrap wrapper zone".split())
 MODIFIERS = frozenset("with has no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -51,36 +56,44 @@ SCOPE = frozenset("table ul ol dl select div section article body main td th blo
 
 
 # How an element speaks against itself, and the share of the page's text outside links that outweighs it.
-WEAK, STRONG, NEVER_COUNTS = 1, 2, 3
+HINT, WEAK, STRONG, NEVER_COUNTS = 1, 2, 3, 4
 SHARE = {WEAK: 0.5, STRONG: 0.9}
 #: So many characters directly in one element are a paragraph without ``p``.
 PARAGRAPH = 80
 
 
-def _names_mark(names: list[str]) -> int:
+def _names_mark(names: list[str], declared: bool = False) -> int:
     """What an element's classes and ids together say against it.
 
     ``post-header`` and ``with-sidebar`` say nothing. A name made of noise words
-    (``sidebar``) or with a word of ALWAYS is strong, one among other words
-    (``category-legal``) weak. Beside a name that says content (``post``) only
-    names made of words of ALWAYS count.
+    (``sidebar``), or that ends in a word of ALWAYS or in a box of one
+    (``comment-list``), is strong; one that ends in another noise word or its
+    box (``category-legal``) weak; any other name with such a word
+    (``legal-analysis``, ``cookie-recipe``) a hint. Beside a name that says
+    content (``post``) only names made of words of ALWAYS count. Of a
+    ``declared`` article only names with words of ALWAYS do.
     """
     mark, plain, content = 0, 0, False
     for name in names:
-        words = {x.lower() for x in _PART.findall(name)}
+        order = [x.lower() for x in _PART.findall(name)]
+        words, end = set(order), [x for x in order if not x.isdigit()][-1:]
         joined = "".join(c for c in name.lower() if c.isalpha())
         if words & MODIFIERS:
             continue
+        boxed = end and (end[0] in BOXES or len(end[0]) == 1)
         if words & ALWAYS or joined in ALWAYS:
-            mark = STRONG
             if words <= ALWAYS or joined in ALWAYS:
-                plain = STRONG
+                mark = plain = STRONG
+            else:
+                mark = max(mark, STRONG if boxed or end[0] in ALWAYS else WEAK if end[0] in PARTS else HINT)
+        elif declared:
+            continue
         elif words & PARTS or joined in PARTS:
-            mark = max(mark, STRONG if words <= PARTS or joined in PARTS else WEAK)
+            mark = max(mark, STRONG if words <= PARTS or joined in PARTS else WEAK if boxed or end[0] in PARTS else HINT)
         elif words & CONTENT:
             content = True
         elif "header" in words:
-            mark = max(mark, WEAK)
+            mark = max(mark, WEAK if end == ["header"] or boxed else HINT)
     return plain if content else mark
 
 
@@ -138,24 +151,26 @@ class Page:
             link[i] = link[up[i]] or self.tag[i] == "a"
         self.sizes = [0 if never[node] else len("".join(text.split())) for node, _, text in self.runs]
         self.plain = plain = [0] * n  # characters outside links
+        linked = [0] * n
         for (node, _, _), size in zip(self.runs, self.sizes, strict=True):
-            if not link[node]:
-                plain[node] += size
+            (linked if link[node] else plain)[node] += size
         self.prose = prose = [x >= PARAGRAPH for x in plain]  # holds a heading or a paragraph
         for i in range(n - 1, 0, -1):
             if not never[i]:
                 prose[i] = prose[i] or plain[i] > 0 and (self.tag[i] == "p" or self.tag[i] in HEADINGS)
                 plain[up[i]] += plain[i]
+                linked[up[i]] += linked[i]
                 prose[up[i]] = prose[up[i]] or prose[i]
         for i in range(1, n):
             mark = self.mark[i]
-            self.noise.append(never[i] or self.noise[up[i]] or mark > 0 and not (prose[i] and (not self.names or plain[i] > SHARE[mark] * plain[0])))
+            stays = mark == 0 or prose[i] and (not self.names or (linked[i] <= plain[i] if mark == HINT else plain[i] > SHARE.get(mark, 1) * plain[0]))
+            self.noise.append(never[i] or self.noise[up[i]] or not stays)
 
     def _shut(self, open_: list[int]) -> None:
         node = open_.pop()
         self.end[node] = len(self.tag)
         self.count[self.tag[node]] -= 1
-        if self.tag[node] not in INLINE:
+        if self.tag[node] not in FLOWING and not self.count.get("svg"):
             self.block += 1
 
     def _close(self, open_: list[int], name: str) -> None:
@@ -188,7 +203,7 @@ class Page:
         self.parent.append(up)
         self.end.append(node + 1)
         self._mark(name, attrs)
-        if name not in INLINE:
+        if name not in FLOWING and not self.count.get("svg"):
             self.block += 1
         if name not in VOID:
             open_.append(node)
@@ -198,7 +213,7 @@ class Page:
         mark, named = WEAK if name in FORMS else 0, 0
         if name in NEVER or name == "header" and not (self.count.get("article") or self.count.get("main")):
             mark = NEVER_COUNTS
-        elif attrs and name not in ("html", "body", "article", "main", "header"):
+        elif attrs and name not in ("html", "body", "main", "header"):
             names = []
             for m in _ATTR.finditer(attrs):
                 key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "")
@@ -208,7 +223,7 @@ class Page:
                     mark = max(mark, NEVER_COUNTS if value.lower() in ROLES else WEAK if value.lower() == "form" else 0)
                 elif key in ("class", "id"):
                     names += value.split()
-            named = _names_mark(names)
+            named = _names_mark(names, declared=name == "article")
             mark = max(mark, named if self.names else 0)
         self.mark.append(mark)
         self.named.append(named)
@@ -276,15 +291,23 @@ def article(page: Page) -> int:
     for m in marked[1:]:
         while not root <= m < page.end[root]:
             root = page.parent[root]
-    # an element that declares the article holds its title and short paragraphs too
+    # an element that declares the article may hold its title and short paragraphs too, if it adds no lists of links
     up = root
-    while up >= 0:
-        if page.tag[up] in ("article", "main"):
+    while up > 0:
+        if page.tag[up] in ("article", "main") and page.link_chars[up] - page.link_chars[root] <= 0.5 * (page.chars[up] - page.chars[root]):
             return up
         up = page.parent[up]
     return _with_title(page, root, body)
 
 
+def _parts(page: Page, root: int) -> list[int]:
+    """The article, and what stands beside it as a further part: article elements of prose with few links and no less than a fifth of its text."""
+    if root <= 0 or page.tag[root] != "article":
+        return [root]
+    own = lambda i: page.parent[i] == page.parent[root] and page.tag[i] == "article" and not page.noise[i] and page.prose[i]
+    return [i for i in range(page.parent[root] + 1, page.end[page.parent[root]]) if i == root or own(i) and page.link_chars[i] <= 0.2 * page.chars[i] and page.chars[i] >= 0.2 * page.chars[root]]
+
+
 def _with_title(page: Page, root: int, body: int) -> int:
     """The nearest node around ``root`` that adds the title, if it adds little else and few links."""
     titled = lambda i: any(page.tag[j] in ("h1", "h2") and page.chars[j] and not page.noise[j] for j in range(i, page.end[i]))
@@ -323,10 +346,13 @@ def main_text(source: str) -> str:
         root = article(page)
     if root < 0:
         return ""
-    _drop_menus(page, root)
     blocks: dict[int, list[str]] = {}
+    inside = [False] * len(page.tag)
+    for part in _parts(page, root):
+        _drop_menus(page, part)
+        inside[part : page.end[part]] = [True] * (page.end[part] - part)
     for node, block, text in page.runs:
-        if root <= node < page.end[root] and not page.noise[node]:
+        if inside[node] and not page.noise[node]:
             blocks.setdefault(block, []).append(text)
     return "\n\n".join(t for b in sorted(blocks) if (t := " ".join("".join(blocks[b]).split())))
 

@@ -65,6 +65,30 @@ def test_forms_and_threads_without_the_article_stay_out():
     assert hd.main_text(page("<form>user <input> <button>go</button></form>")) == ""
 
 
+@pytest.mark.parametrize("name", ["legal-analysis", "login-howto", "cookie-recipe", "related-work", "social-issues", "ad-hoc-query", "menuPlanning"])
+def test_a_word_in_a_name_drops_no_prose(name):
+    inner = f"<h2>Title</h2><p>{P}</p><div class={name}><p>short</p></div><p>{P}</p>"
+    for body in (f"<article>{inner}</article>", f"<div>{inner}</div>"):
+        assert hd.main_text(page(body)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
+
+
+def test_comments_marked_as_articles_stay_out():
+    comment = f"<article class=comment><p>{P}</p></article>"
+    for body in (f"<article>{BODY}{comment}{comment}</article>", f"{comment}<div>{BODY}</div>", f"<article class='post'>{BODY}</article>{comment}{comment}", f"<article>{BODY}</article><div class=comment-list><article id=comment-12><p>{P}</p></article></div>"):
+        assert hd.main_text(page(body)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
+
+
+def test_sibling_articles_are_one():
+    both = f"<nav>n</nav><div><article><h2>Title</h2><p>{P}</p></article><article class='part legal'><p>short</p><p>{P}</p></article><article class=promo><p>{P}</p></article></div>"
+    assert hd.main_text(page(both)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
+
+
+def test_formulas_stay_in_their_sentence():
+    formula = "<math><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mn>4</mn></mrow><annotation>x^2=4</annotation></math>"
+    assert hd.main_text(page(f"<article><p>{P}If {formula} holds.</p></article>")) == P + "If x2=4 holds."
+    assert hd.main_text(page(f"<article><p>{P}Here <svg><path d=x></svg>is<script>1</script> <button>b</button>one.</p></article>")) == P + "Here is one."
+
+
 def test_lists_of_links_in_the_article_stay():
     links = "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(4))
     kept = "\n\n".join(f"Source {i}" for i in range(4))
