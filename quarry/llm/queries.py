@@ -91,7 +91,7 @@ _HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 _OP6 = f"""
-WITH p AS (SELECT DISTINCT page_id, url, page_id * 37 % 730 AS day, rtrim(lower({_HOST}), '.') AS host, lower({_PATH}) AS path FROM pages),
+WITH p AS (SELECT DISTINCT page_id, url, page_id * 37 % 730 AS day, rtrim(lower({_HOST}), '.') AS host, {_PATH} AS path FROM pages),
 raw AS (SELECT {_HOST} AS host, {_PATH} AS path FROM pages WHERE {_HOST} <> ''),
 h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS c FROM (SELECT DISTINCT host FROM raw)),
 x AS (SELECT value, CAST('0x' || substr(md5(value), 1, 6) AS BIGINT) AS c FROM (SELECT DISTINCT host || regexp_extract(path, '^/[^/]+', 0) AS value FROM raw) WHERE value LIKE '%/%'),
@@ -100,8 +100,8 @@ e AS (
   UNION ALL SELECT 'spam', 'domain', lower(host), 0, c % 300 + 120 FROM h WHERE c % 5 = 0 AND c % 2 = 0
   UNION ALL SELECT 'spam', 'domain', lower(host), 1, c % 300 + 300 FROM h WHERE c % 5 = 0 AND c % 4 = 0
   UNION ALL SELECT 'legal', 'host', lower(host), 1, c % 500 FROM h WHERE c % 7 = 1
-  UNION ALL SELECT 'paused', 'prefix', lower(value), 1, c % 400 FROM x WHERE c % 3 = 0
-  UNION ALL SELECT 'paused', 'prefix', lower(value), 0, c % 400 + 200 FROM x WHERE c % 3 = 0),
+  UNION ALL SELECT 'paused', 'prefix', lower(split_part(value, '/', 1)) || substr(value, strpos(value, '/')), 1, c % 400 FROM x WHERE c % 3 = 0
+  UNION ALL SELECT 'paused', 'prefix', lower(split_part(value, '/', 1)) || substr(value, strpos(value, '/')), 0, c % 400 + 200 FROM x WHERE c % 3 = 0),
 m AS (
   SELECT p.page_id, p.url, e.list, e.kind, e.value, arg_max(e.act, e.day * 2 + e.act) AS act FROM p JOIN e ON e.day <= p.day AND p.host <> '' AND (
     (e.kind = 'host' AND p.host = e.value) OR (e.kind = 'domain' AND (p.host = e.value OR ends_with(p.host, '.' || e.value)))

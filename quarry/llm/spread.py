@@ -42,3 +42,8 @@ def deal(many: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> Dat
 def copied(one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """``one`` with a row for each ``part`` of its key."""
     return with_parts(one, hot, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def listed(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``many`` without most rows whose key ``few`` lacks, by bucket numbers sent to every task; no shuffle of ``many``."""
+    return many.withColumn("__bucket", _bucket(keys)).join(F.broadcast(few.select(_bucket(keys)).distinct()), "__bucket", "left_semi").drop("__bucket")

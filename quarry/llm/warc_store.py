@@ -1,8 +1,9 @@
 """WARC archives as a chunked record table.
 
-Payloads travel as rows of record and chunk number; the writer streams them into
-one gzip member per record, the reader streams them out again, and both carry
-the payload's SHA-256 from chunk to chunk. No task holds a whole record. Each
+A payload is cut into rows of record and chunk number where it is read; the
+writer streams them into one gzip member per record, the reader streams them out
+again as such rows, and both carry the payload's SHA-256 from chunk to chunk.
+Only the cell of the input that holds it is ever as large as a record. Each
 writing task names its own file and reports it in a manifest; what a lost
 attempt leaves behind is in no manifest and is never read.
 """
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.llm.spread import copied, deal, hot_parts
 from quarry.scratch import materialize, scratch_path
 
 _MANIFEST = "file string, offset long, length long, page_id long"
@@ -37,16 +39,23 @@ def plan_records(pages: DataFrame, min_dedup_bytes: int = 100) -> DataFrame:
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    first = p.where(F.col("payload_bytes") >= min_dedup_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(first, "payload_digest", "left").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
+    # copies are found on numbers and digests alone; no payload moves with those of its copies
+    ids = p.where(F.col("payload_bytes") >= min_dedup_bytes).select("page_id", "payload_digest")
+    first = ids.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    hot = hot_parts(first, ["payload_digest"])
+    again = deal(ids, hot, ["payload_digest"], ["page_id"]).join(copied(first.drop("n"), hot, ["payload_digest"]), ["payload_digest", "part"])
+    again = materialize(again.where("refers_to < page_id").select("page_id", "payload_digest", "refers_to").distinct(), "warc-revisits")
+    return p.join(again, ["page_id", "payload_digest"], "left")
 
 
 def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18) -> DataFrame:
     """One row per chunk of a payload, in order; a revisit or an empty payload has one empty chunk."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk_bytes)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    none = F.array(F.lit(b""))
-    return records.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", F.posexplode(F.when(F.col("refers_to").isNull(), parts).otherwise(none)).alias("chunk_no", "data"))
+    own = F.col("refers_to").isNull()
+    last = F.when(own, F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / chunk_bytes))).otherwise(F.lit(1)).cast("int") - 1
+    rows = records.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    # a chunk is cut as its row is made: one copy of it at a time beside the payload itself
+    data = F.when(own, F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    return rows.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", data.alias("data"))
 
 
 def _head(row: dict, date: str) -> tuple[bytes, int]:
@@ -75,18 +84,19 @@ def write_archives(chunks: DataFrame, path: str, *, date: str = "2024-01-01T00:0
         done: list[dict] = []
         try:
             for batch in batches:
-                for i in range(len(batch)):
-                    now = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                chunk, rest = batch.column("data"), batch.drop_columns(["data"])
+                for i, number in enumerate(batch.column("chunk_no").to_pylist()):
+                    data = chunk[i].as_buffer()
                     if sink is None:
                         sink = fs.open_output_stream(f"{base}/{name}", compression=None)
-                    if now["chunk_no"] == 0:
-                        row, begun, zipper, digest = now, at, zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha256()
-                        head, left = _head(now, date)
+                    if number == 0:
+                        row, begun, zipper, digest = rest.slice(i, 1).to_pylist()[0], at, zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha256()
+                        head, left = _head(row, date)
                         at += sink.write(zipper.compress(head)) or 0
                         at = sink.tell()
-                    digest.update(now["data"])
-                    left -= len(now["data"])
-                    sink.write(zipper.compress(now["data"]))
+                    digest.update(data)
+                    left -= data.size
+                    sink.write(zipper.compress(data))
                     if left == 0:
                         if row["refers_to"] is None and digest.hexdigest() != row["payload_digest"]:
                             raise ValueError("chunks of a record are out of order")

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from quarry.llm import url_filters as uf
+from quarry.llm.spread import hot_parts
 
 T0 = datetime(2024, 1, 1)
 CAP, ENT = "page_id long, url string, fetched_at timestamp", "list string, kind string, value string, action string, at timestamp"
@@ -16,11 +17,12 @@ def brute(captures, entries):
             net = rest.replace("?", "/").replace("#", "/").split("/", 1)[0]
             host = net.rsplit("@", 1)[-1].split(":")[0].lower().rstrip(".")
             path = rest.split("#")[0].split("?")[0].partition("/")[2]
-            parts = [x for x in path.lower().split("/") if x]
+            parts = [x for x in path.split("/") if x]
             state = {}
             for lst, kind, value, action, when in sorted(entries, key=lambda e: (e[4], e[3] == "add")):
                 if when <= at:
-                    state[lst, kind, value.lower()] = action == "add"
+                    a, slash, b = value.partition("/")
+                    state[lst, kind, a.lower() + slash + b if kind == "prefix" else value.lower()] = action == "add"
             for (lst, kind, value), on in state.items():
                 hit = kind == "host" and host == value or kind == "domain" and (host == value or host.endswith("." + value)) or kind == "prefix" and any(host + "/" + "/".join(parts[: i + 1]) == value for i in range(len(parts)))
                 if on and hit and host:
@@ -38,11 +40,19 @@ def test_against_brute_force(spark):
     hosts = ["a.com", "x.a.com", "y.x.a.com", "b.org", "ba.com"]
     urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(['', 'u:p@', ''])}{r.choice(hosts).upper()}{r.choice(['', ':80', '.'])}{r.choice(['', '/', '/p', '/p/q/', '/P/q?x=/p', '#p'])}" for _ in range(300)]
     caps = [(i, u, T0 + timedelta(days=r.randrange(60))) for i, u in enumerate(urls)]
-    keys = [("domain", "a.com"), ("domain", "x.a.com"), ("host", "b.org"), ("host", "a.com"), ("prefix", "b.org/p"), ("prefix", "x.a.com/p/q")]
+    keys = [("domain", "a.com"), ("domain", "x.a.com"), ("host", "b.org"), ("host", "a.com"), ("prefix", "B.org/p"), ("prefix", "x.a.com/p/q"), ("prefix", "b.org/P")]
     ents = [(f"l{r.randrange(3)}", *r.choice(keys), r.choice(["add", "remove"]), T0 + timedelta(days=r.randrange(60))) for _ in range(80)]
     assert got(uf.active_lists(spark.createDataFrame(caps, CAP), spark.createDataFrame(ents, ENT))) == brute(caps, ents)
 
 
+def test_hot_domain_is_split(spark, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(uf, "hot_parts", lambda counts, keys: hot_parts(counts, keys, 20))
+    caps = [(i, f"http://h{i % 50}.a.com/x", T0 + timedelta(days=r.randrange(60))) for i in range(400)]
+    ents = [("l", "domain", "a.com", r.choice(["add", "remove"]), T0 + timedelta(days=r.randrange(60))) for _ in range(30)]
+    assert got(uf.active_lists(spark.createDataFrame(caps, CAP), spark.createDataFrame(ents, ENT))) == brute(caps, ents)
+
+
 def test_interval_ends(spark):
     day = lambda n: T0 + timedelta(days=n)
     ents = [("l", "host", "h", "add", day(1)), ("l", "host", "h", "add", day(2)), ("l", "host", "h", "remove", day(5)), ("l", "host", "h", "remove", day(7)), ("l", "host", "h", "add", day(7)), ("l", "host", "H", "other", day(8))]
