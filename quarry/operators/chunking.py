@@ -26,18 +26,24 @@ def chunk_count(n: Column, max_tokens: int, overlap: int) -> Column:
     return F.when(n == 0, 0).when(n <= max_tokens, 1).otherwise(1 + F.ceil((n - max_tokens) / step)).cast("int")
 
 
+def _step(max_tokens: int, overlap: int) -> int:
+    if overlap >= max_tokens or overlap < 0 or max_tokens < 1:
+        raise ValueError("overlap must be at least 0 and below max_tokens")
+    return max_tokens - overlap
+
+
 def chunk(docs: DataFrame, *, text_col: str = "text", max_tokens: int = 800, overlap: int = 200, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
     """Replace the text of each row by its chunks: ``chunk_index, text, n_tokens``.
 
     Chunk ``i`` holds tokens from ``i * (max_tokens - overlap)`` on; the last is
-    the first that reaches the end. Empty or null texts give no chunk. No shuffle:
-    a row's chunks are cut from its own token list.
+    the first that reaches the end. ``tokenize`` gives the tokens of a text,
+    which joined give the text back. Empty or null texts give no chunk. No
+    shuffle: a row's chunks are cut from its own token list.
     """
-    if overlap >= max_tokens or overlap < 0 or max_tokens < 1:
-        raise ValueError("overlap must be at least 0 and below max_tokens")
-    step = max_tokens - overlap
+    step = _step(max_tokens, overlap)
     rest = [c for c in docs.columns if c != text_col]
-    t = docs.select(*rest, tokenize(F.col(text_col)).alias("__t")).where(F.size("__t") > 0)
+    # a text is empty if its token list is; asking the text keeps the list from being made twice
+    t = docs.where(F.length(text_col) > 0).select(*rest, tokenize(F.col(text_col)).alias("__t"))
     last = chunk_count(F.size("__t"), max_tokens, overlap) - 1
     parts = F.transform(
         F.sequence(F.lit(0), last),
@@ -49,6 +55,31 @@ def chunk(docs: DataFrame, *, text_col: str = "text", max_tokens: int = 800, ove
     return t.select(*rest, F.inline(parts))
 
 
+def chunk_bytes(docs: DataFrame, ends: Callable[[Column], Column], *, text_col: str = "text", max_tokens: int = 800, overlap: int = 200) -> DataFrame:
+    """As :func:`chunk`, for tokens that are bytes and may end inside a character.
+
+    ``ends`` gives the byte offsets at which a text's tokens end (see
+    :func:`quarry.functions.bpe.token_ends`). Half characters at the edges of a
+    chunk become U+FFFD.
+    """
+    step = _step(max_tokens, overlap)
+    rest = [c for c in docs.columns if c != text_col]
+    t = docs.where(F.length(text_col) > 0).select(*rest, F.col(text_col).cast("binary").alias("__b"), ends(F.col(text_col)).alias("__e"))
+    last = chunk_count(F.size("__e"), max_tokens, overlap) - 1
+    t = t.select(*rest, "__b", "__e", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    n = F.least(F.lit(max_tokens), F.size("__e") - F.col("chunk_index") * step)
+    begin = F.when(F.col("chunk_index") == 0, 0).otherwise(F.try_element_at("__e", F.col("chunk_index") * step))
+    stop = F.element_at("__e", F.col("chunk_index") * step + n)
+    return t.select(*rest, "chunk_index", F.make_valid_utf8(F.substring("__b", begin + 1, stop - begin).cast("string")).alias("text"), n.alias("n_tokens"))
+
+
+def chunk_totals(docs: DataFrame, n_tokens: Column, *, max_tokens: int = 800, overlap: int = 200) -> DataFrame:
+    """``docs`` with ``n_chunks`` and ``chunk_tokens``, the tokens of all chunks, from the number of tokens alone."""
+    _step(max_tokens, overlap)
+    n = docs.withColumn("__n", n_tokens).withColumn("n_chunks", chunk_count(F.col("__n"), max_tokens, overlap).cast("long"))
+    return n.withColumn("chunk_tokens", F.when(F.col("n_chunks") > 0, F.col("__n") + overlap * (F.col("n_chunks") - 1)).otherwise(0).cast("long")).drop("__n")
+
+
 def pack_counts(counts: list[int], limit: int) -> list[tuple[int, int, int, int]]:
     """Greedy batches in order: ``(batch_no, item, piece_no, n_tokens)``.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -13,17 +14,28 @@ from pyspark.sql import DataFrame, functions as F
 Embedder = Callable[[list[str]], np.ndarray]
 
 
-def hashing_embedder(texts: list[str], width: int = 768, seed: int = 0) -> np.ndarray:
-    """Signed feature hashing of words, scaled to unit length; a text without words gives zeros."""
-    out = np.zeros((len(texts), width), dtype=np.float32)
+_WORD = re.compile("[^ \t\n\r\f\v]+")
+_LOWER = {upper: upper + 32 for upper in range(65, 91)}
+
+
+def hashing_embedder(texts: list[str], width: int = 768) -> np.ndarray:
+    """Signed feature hashing of words, scaled to unit length; a text without words gives zeros.
+
+    Words lie between ASCII white space, A-Z in lower case. The first four bytes
+    of a word's MD5 give its place, their first bit its sign.
+    """
+    out = np.zeros((len(texts), width))
+    places: dict[str, tuple[int, int]] = {}
     for row, text in zip(out, texts, strict=True):
-        for word in text.lower().split():
-            h = crc32(word.encode(), seed)
-            row[h % width] += 1 if h >> 31 else -1
-        norm = np.linalg.norm(row)
-        if norm:
-            row /= norm
-    return out
+        for word in _WORD.findall(text.translate(_LOWER)):
+            if word not in places:
+                h = int.from_bytes(md5(word.encode()).digest()[:4], "big")
+                places[word] = h % width, 1 if h >> 31 else -1
+            at, sign = places[word]
+            row[at] += sign
+        if (square := row @ row) > 0:
+            row /= np.sqrt(square)
+    return out.astype(np.float32)
 
 
 def embed(chunks: DataFrame, embedder: Callable[[], Embedder] | None = None, *, text_col: str = "text", width: int = 768, batch: int = 256) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry import schemas
 from quarry.functions.text import display_name, suffix
 from quarry.operators.chunking import chunk, pages_to_text
-
+from quarry.operators.embedding import Embedder, embed
 
 
 
@@ -18,12 +20,14 @@ def check_events(events: DataFrame, bucket: str, value_col: str = "value") -> Da
     ``reason``. The number 0 is no generation, the text ``"0"`` is one.
     """
     raw = F.col(value_col)
-    has_data = F.get_json_object(raw, "$.data").isNotNull() | raw.rlike(r'^\s*\{\s*"data"\s*:')
-    body = F.when(has_data, F.coalesce(F.get_json_object(raw, "$.data"), F.lit("null"))).otherwise(raw)
-    e = events.withColumn("__b", body)
-    is_object = F.col("__b").rlike(r"^\s*\{") & F.try_parse_json("__b").isNotNull()
+    wrapped = F.array_contains(F.json_object_keys(raw), "data")  # a null under it counts too
+    body = F.when(wrapped, F.coalesce(F.get_json_object(raw, "$.data"), F.lit("null"))).otherwise(raw)
+    e = events.withColumn("__b", body).withColumn("__v", F.try_parse_json("__b"))
+    is_object = F.col("__b").rlike(r"^\s*\{") & F.col("__v").isNotNull()
     text = lambda k: F.get_json_object("__b", f"$.{k}")
-    zero = F.col("__b").rlike(r'"generation"\s*:\s*-?0(\.0*)?\s*[,}]')
+    # of the object's own field: numbers and false count as nothing, texts do not
+    own = F.expr("try_variant_get(__v, '$.generation', 'variant')")
+    zero = F.coalesce((F.schema_of_variant(own) != "STRING") & ((F.expr("try_cast(get_json_object(__b, '$.generation') as double)") == 0) | (text("generation") == "false")), F.lit(False))
     number = F.when(text("generation").rlike(r"^[+-]?[0-9]+$"), F.expr("try_cast(get_json_object(__b, '$.generation') as bigint)"))
     missing = lambda k: F.coalesce(text(k), F.lit("")) == ""
     reason = (
@@ -31,7 +35,7 @@ def check_events(events: DataFrame, bucket: str, value_col: str = "value") -> Da
         .when(missing("generation") | zero, "missing generation").when(number.isNull(), "generation is not an integer").when(text("bucket") != bucket, "other bucket")
     )
     outcome = F.when(reason.isNull(), "accepted").when(reason == "other bucket", "ignored").otherwise("rejected")
-    return e.select(*events.columns, text("bucket").alias("bucket"), text("name").alias("name"), number.alias("generation"), outcome.alias("outcome"), reason.alias("reason")).drop("__b")
+    return e.select(*events.columns, text("bucket").alias("bucket"), text("name").alias("name"), number.alias("generation"), outcome.alias("outcome"), reason.alias("reason"))
 
 
 def route(suffix_: Column) -> Column:
@@ -112,11 +116,17 @@ def renumber_pages(batches: DataFrame) -> DataFrame:
     return p.groupBy("doc_id").agg(F.max(F.col("pages").isNull()).alias("failed"), F.flatten(F.transform(lists, lambda b: F.coalesce(b.pages, F.array().cast(schemas.PAGE_ARRAY)))).alias("pages"))
 
 
-def process(documents: DataFrame, *, max_tokens: int = 800, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
+def embedded_chunks(texts: DataFrame, *, max_tokens: int = 800, overlap: int = 200, embedder: Callable[[], Embedder] | None = None, width: int = 768) -> DataFrame:
+    """Chunks with their vectors, as the chunk table holds them, of ``texts(doc_id, text)``."""
+    return embed(chunk(texts, max_tokens=max_tokens, overlap=overlap), embedder, width=width).select("doc_id", "chunk_index", "text", "embedding")
+
+
+def process(documents: DataFrame, **making) -> tuple[DataFrame, DataFrame]:
     """``(results, chunks)`` of loaded documents ``(id, path, text, pages, failure)``.
 
     Text files bring ``text``, others ``pages``. Unsupported types and failed
-    extractions fail; an empty text is Ready without chunks.
+    extractions fail; an empty text is Ready without chunks. ``making``: what
+    :func:`embedded_chunks` takes.
     """
     kind = route(suffix(F.col("path")))
     d = documents.withColumn("__kind", kind)
@@ -126,11 +136,10 @@ def process(documents: DataFrame, *, max_tokens: int = 800, overlap: int = 200)
     d = d.select("id", "path", "__kind", text.alias("text"), error.alias("error_message"))
     processed = F.when((F.col("__kind") == "pages") & F.col("error_message").isNull(), F.concat(F.lit("processed/"), F.col("id"), F.lit(".json")))
     results = d.select("id", F.when(F.col("error_message").isNull(), "Ready").otherwise("Failed").alias("status"), "error_message", processed.alias("processed_path"))
-    chunks = chunk(d.where("error_message is null").select(F.col("id").alias("doc_id"), "text"), max_tokens=max_tokens, overlap=overlap)
-    return results, chunks
+    return results, embedded_chunks(d.where("error_message is null").select(F.col("id").alias("doc_id"), "text"), **making)
 
 
-def process_messages(messages: DataFrame, *, max_tokens: int = 800, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
+def process_messages(messages: DataFrame, **making) -> tuple[DataFrame, DataFrame]:
     """``(registry rows with results, chunks)`` of text messages ``(task_id, title, content, ts)``. Empty content fails."""
     path = F.concat(F.lit("text://"), F.col("task_id"))
     empty = F.coalesce("content", F.lit("")) == ""
@@ -138,7 +147,7 @@ def process_messages(messages: DataFrame, *, max_tokens: int = 800, overlap: int
         document_id(path, F.lit(0)).alias("id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("filename"), path.alias("original_path"), F.lit(None).cast("string").alias("processed_path"),
         F.lit(0).cast("long").alias("generation"), F.col("ts").alias("created_at"), F.when(empty, "Failed").otherwise("Ready").alias("status"), F.when(empty, "No content provided").alias("error_message"), F.col("content").alias("text"),
     ).dropDuplicates(["original_path", "generation"])
-    return m.drop("text"), chunk(m.where("status = 'Ready'").select(F.col("id").alias("doc_id"), "text"), max_tokens=max_tokens, overlap=overlap)
+    return m.drop("text"), embedded_chunks(m.where("status = 'Ready'").select(F.col("id").alias("doc_id"), "text"), **making)
 
 
 def summary(results: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -147,18 +156,17 @@ def summary(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return r.crossJoin(F.broadcast(chunks.agg(F.count("*").alias("total_chunks"))))  # two one-row aggregates
 
 
-def ingest_new(objects: DataFrame, registry: DataFrame, created_at: Column, **limits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_new(objects: DataFrame, registry: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(registry rows, chunks, results)`` of those ``objects(path, generation, metadata, text, pages, failure)`` the registry does not know."""
     new, _ = split_known(objects, registry)
     loaded = new.withColumn("id", document_id(F.col("path"), F.col("generation"))).where(route(suffix(F.col("path"))) != "none")
-    results, made = process(loaded, **limits)
-    made = made.select("doc_id", "chunk_index", "text", F.lit(None).cast("array<float>").alias("embedding"))
+    results, made = process(loaded, **making)
     return apply_results(register(new, created_at), results), made, results
 
 
-def run_batch(objects: DataFrame, registry: DataFrame, chunks: DataFrame, created_at: Column, **limits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(registry, chunks, results)`` after ingesting ``objects``. A rerun changes nothing."""
-    rows, made, results = ingest_new(objects, registry, created_at, **limits)
+def run_batch(objects: DataFrame, registry: DataFrame, chunks: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(registry, chunks, results)`` after ingesting ``objects``. A rerun changes nothing. ``making``: what :func:`embedded_chunks` takes."""
+    rows, made, results = ingest_new(objects, registry, created_at, **making)
     touched = results.where("status = 'Ready'").select(F.col("id").alias("doc_id"))
     return registry.unionByName(rows), replace_chunks(chunks, touched, made), results
 
@@ -167,5 +175,3 @@ def latest(rows: DataFrame, by: str, order: list[Column], n: int | None) -> Data
     """The first ``n`` rows of each ``by`` in the given order (all for None), with ``position`` from 1."""
     ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return ranked if n is None else ranked.where(F.col("position") <= n)
-
-

@@ -15,9 +15,9 @@ OTHER = 0.5
 BLOCK_VALUES = 4_000_000
 
 
-def threshold(query_type: Column) -> Column:
-    pairs = F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, query_type), F.lit(OTHER))
+def threshold(query_type: Column, by_type: dict[str, float] = THRESHOLDS, other: float = OTHER) -> Column:
+    pairs = F.create_map(*[F.lit(x) for kv in by_type.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, query_type), F.lit(other))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -26,8 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, least: float | None = None, width: int | None = None, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
-    """``query_id, <id>, similarity, rank``: the ``limit`` most similar chunks at or above each query's threshold (or ``least``).
+def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, least: float | Column | None = None, width: int | None = None, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+    """``query_id, <id>, similarity, rank``: the ``limit`` most similar chunks at or above each query's threshold (or ``least``, a number or a column of the queries).
 
     ``queries(query_id, query_type, embedding)`` are dealt to blocks of bounded
     size; a block meets a slice of the chunks as one matrix product, and only
@@ -36,7 +36,7 @@ def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, lea
     first = queries.select(F.size("embedding")).first()
     dim = width or (first[0] if first else 1)
     blocks = max(1, -(-queries.count() * dim // BLOCK_VALUES))
-    q = queries.select("query_id", F.col("embedding").alias("q"), (threshold(F.col("query_type")) if least is None else F.lit(float(least))).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    q = queries.select("query_id", F.col("embedding").alias("q"), (threshold(F.col("query_type")) if least is None else least if isinstance(least, Column) else F.lit(float(least))).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
     q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q", "least")).alias("qs"))  # BLOCK_VALUES numbers at most
     slices = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() * dim // BLOCK_VALUES))
     c = chunks.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("cid"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(slices)).alias("slice"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.text import is_web_url, preview, scraped_file_name
-from quarry.operators.chunking import chunk
+from quarry.operators.ingest import document_id, embedded_chunks, replace_chunks, summary
 
 NOT_FOUND = "Content element not found"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -142,9 +142,36 @@ def check_urls(urls: DataFrame, url_col: str = "url") -> DataFrame:
     return urls.withColumn("reason", F.when(F.coalesce(F.trim(url_col), F.lit("")) == "", "empty").when(~is_web_url(F.col(url_col)), "not an http or https URL with a host"))
 
 
-def pages_to_chunks(captures: DataFrame, sites: dict[str, list[Selector]], *, max_tokens: int = 800, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
-    """``(results, chunks)`` of captured pages, in the shapes the registry and chunk table take."""
-    got = extract_content(captures, sites)
-    doc_id = F.sha2(F.col("url"), 256)
-    results = got.select(doc_id.alias("id"), "url", F.when(F.col("status") == "ok", "Ready").otherwise("Failed").alias("status"), F.col("error").alias("error_message"))
-    return results, chunk(got.where("status = 'ok'").select(doc_id.alias("doc_id"), F.col("content").alias("text")), max_tokens=max_tokens, overlap=overlap)
+def page_titles(captures: DataFrame) -> DataFrame:
+    """``captures`` with ``title``: the text of the page's title element, else of its first ``h1``; null without both."""
+    first = lambda tag: F.regexp_extract("html", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
+    plain = lambda raw: F.trim(F.regexp_replace(F.regexp_replace(raw, "<[^>]*>", ""), r"\s+", " "))
+    return captures.withColumn("title", F.coalesce(F.nullif(plain(first("title")), F.lit("")), F.nullif(plain(first("h1")), F.lit(""))))
+
+
+def pages_to_chunks(captures: DataFrame, sites: dict[str, list[Selector]], **making) -> tuple[DataFrame, DataFrame]:
+    """``(results, chunks)`` of captured pages, one for each url, in the shapes the registry and chunk table take.
+
+    ``results(id, url, title, status, error_message)``. ``making``: what
+    :func:`quarry.operators.ingest.embedded_chunks` takes.
+    """
+    got = extract_content(page_titles(captures.select("url", "html")), sites)
+    got = got.groupBy("url").agg(F.min(F.struct(F.col("status") != "ok", "content", "title", "status", "error")).alias("g")).select("url", "g.*")  # captures that worked first
+    got = got.withColumn("id", document_id(F.col("url"), F.lit(0)))
+    results = got.select("id", "url", "title", F.when(F.col("status") == "ok", "Ready").otherwise("Failed").alias("status"), F.col("error").alias("error_message"))
+    return results, embedded_chunks(got.where("status = 'ok'").select(F.col("id").alias("doc_id"), F.col("content").alias("text")), **making)
+
+
+def ingest_pages(captures: DataFrame, sites: dict[str, list[Selector]], registry: DataFrame, chunks: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(registry, chunks, summary)`` after taking in captured pages; pages the registry knows are skipped.
+
+    A page is the version 0 of its url; its title is its file name.
+    """
+    known = registry.where("generation = 0").select(F.col("original_path").alias("url")).distinct()
+    results, made = pages_to_chunks(captures.join(known, "url", "left_anti"), sites, **making)
+    rows = results.select(
+        "id", F.coalesce("title", "url").alias("filename"), F.col("url").alias("original_path"), F.lit(None).cast("string").alias("processed_path"),
+        F.lit(0).cast("long").alias("generation"), created_at.alias("created_at"), "status", "error_message",
+    )
+    ready = results.where("status = 'Ready'").select(F.col("id").alias("doc_id"))
+    return registry.unionByName(rows), replace_chunks(chunks, ready, made), summary(results, made)

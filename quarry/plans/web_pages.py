@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry import schemas
 from quarry.functions import text as tx
 from quarry.operators import web
+from quarry.plans.documents import EPOCH, PLACES, TOK, _places_sql
+from quarry.scratch import scratch_path
 from quarry.streaming import queue
 
 SITES = {"default": web.site(".main-content"), "titles": web.site("h1", [])}
@@ -25,9 +28,21 @@ def h3_site_selectors(spark, sf_dir):
     return got.select("page_id", "matched", F.length("content").alias("n_chars"))
 
 
+def _taken_in(spark, sf_dir):
+    """Pages into an empty chunk table and a registry that knows every ninth url."""
+    known = captures(spark, sf_dir).where("page_id % 9 = 0").select(F.md5("url").alias("id"), F.col("url").alias("filename"), F.col("url").alias("original_path"), F.lit(None).cast("string").alias("processed_path"), F.lit(0).cast("long").alias("generation"), F.expr(EPOCH).alias("created_at"), F.lit("Ready").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    pages = captures(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 7 != 0, F.col("html")))
+    return web.ingest_pages(pages, SITES, known, spark.createDataFrame([], schemas.CHUNKS), F.expr(EPOCH))
+
+
 def h4_pages_to_chunks(spark, sf_dir):
-    _, chunks = web.pages_to_chunks(captures(spark, sf_dir), SITES)
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("chunk_tokens"))
+    rows, chunks, _ = _taken_in(spark, sf_dir)
+    n = chunks.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.expr(PLACES)).alias("places"))
+    return rows.join(n, "id", "left").select(F.col("original_path").alias("url"), "filename", "status", F.coalesce("error_message", F.lit("")).alias("error_message"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_chars", "places")])
+
+
+def h4_summary(spark, sf_dir):
+    return _taken_in(spark, sf_dir)[2]
 
 
 def j9_choose_capture(spark, sf_dir):
@@ -48,7 +63,7 @@ def a12_scrape_summary(spark, sf_dir):
 
 def s6_saved_pages(spark, sf_dir):
     saved = web.saved_pages(web.extract_content(captures(spark, sf_dir), SITES))
-    return saved.select("url", "file_name", F.substring("body", 1, 30).alias("head"))
+    return saved.select("url", "file_name", F.md5("body").alias("body_md5"), F.length("body").alias("n_chars"))
 
 
 def p9_url_lines(spark, sf_dir):
@@ -101,9 +116,43 @@ def t5_dead_letters(spark, sf_dir):
     return queue.split_dead(d)[1]
 
 
-QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t3_current_status, t4_drop_redelivered, t5_dead_letters)}
+def t6_dead_letters_written(spark, sf_dir):
+    """Failed events as a stream of dead letters, written as JSON files and read back."""
+    events, root = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value"), scratch_path(spark, "dead")
+    events.write.parquet(f"{root}/events")
+    dead = spark.readStream.schema(events.schema).parquet(f"{root}/events").where("event_type = 'error'").drop("event_type")
+    queue.write_dead_letters(dead, f"{root}/letters", f"{root}/checkpoint", every=None).awaitTermination()
+    return spark.read.schema(dead.schema).json(f"{root}/letters")
+
+
+QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, h4_summary, t6_dead_letters_written, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t3_current_status, t4_drop_redelivered, t5_dead_letters)}
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _visible(inner: str) -> str:
+    """Text nodes of markup, each trimmed, one a line."""
+    plain = "replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+    return f"array_to_string([y for y in [trim({plain}, {_SPACE}) for x in string_split_regex({inner}, '<[^>]*>')] if y <> ''], chr(10))"
+
+
+_ARTICLE = _visible("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")
+_HEADING = _visible("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+_TITLE = _visible("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
 
 ORACLES = {
+    "h1_h2_main_content": f"WITH t AS (SELECT page_id, {_ARTICLE} AS t FROM pages) SELECT page_id, 'ok' AS status, CAST(2 AS INT) AS matched, md5(t) AS content_md5, CAST(length(t) AS INT) AS n_chars FROM t",
+    "h3_site_selectors": f"SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 0 ELSE 2 END AS INT) AS matched, CAST(length(CASE WHEN page_id % 2 = 0 THEN {_HEADING} ELSE {_ARTICLE} END) AS INT) AS n_chars FROM pages",
+    "s6_saved_pages": f"WITH t AS (SELECT url, 'URL: ' || url || chr(10) || chr(10) || {_ARTICLE} AS t FROM pages) SELECT url, replace(split_part(url, '/', -1), '.html', '.txt') AS file_name, md5(t) AS body_md5, CAST(length(t) AS INT) AS n_chars FROM t",
+    "h4_pages_to_chunks": f"""WITH p AS (SELECT url, page_id % 9 = 0 AS known, page_id % 7 <> 0 AS good, regexp_replace(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', '', 'g')), '[ ]+', ' ', 'g') AS title, {_ARTICLE} AS t FROM pages),
+      k AS (SELECT *, regexp_extract_all(t, {TOK}) AS toks, len(toks) AS n, CASE WHEN known OR NOT good OR n = 0 THEN 0 WHEN n <= 800 THEN 1 ELSE 1 + CAST(ceil((n - 800) / 600.0) AS INT) END AS m FROM p),
+      x AS (SELECT url, toks, unnest(range(m)) AS i FROM k WHERE m > 0), y AS (SELECT url, i AS chunk, array_to_string(toks[i * 600 + 1 : i * 600 + 800], '') AS text FROM x), {_places_sql("y", "url, chunk")},
+      z AS (SELECT url, CAST(sum((i + 1) * sign(n)) AS BIGINT) AS places FROM places GROUP BY url), c AS (SELECT url, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM y GROUP BY url)
+      SELECT url, CASE WHEN known OR NOT good THEN url ELSE title END AS filename, CASE WHEN known OR good THEN 'Ready' ELSE 'Failed' END AS status, CASE WHEN known OR good THEN '' ELSE 'Content element not found' END AS error_message,
+      CAST(m AS BIGINT) AS n_chunks, coalesce(n_chars, 0) AS n_chars, coalesce(places, 0) AS places FROM k LEFT JOIN z USING (url) LEFT JOIN c USING (url)""",
+    "h4_summary": f"""WITH p AS (SELECT page_id % 7 <> 0 AS good, len(regexp_extract_all({_ARTICLE}, {TOK})) AS n FROM pages WHERE page_id % 9 <> 0)
+      SELECT count(*) FILTER (good) AS processed_count, count(*) FILTER (NOT good) AS failed_count, CAST(coalesce(sum(CASE WHEN n = 0 THEN 0 WHEN n <= 800 THEN 1 ELSE 1 + ceil((n - 800) / 600.0) END) FILTER (good), 0) AS BIGINT) AS total_chunks FROM p""",
+    "t6_dead_letters_written": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error'",
     "j9_choose_capture": """WITH s AS (SELECT url || '#' || page_id AS url, page_id % 3 <> 0 AS a, page_id % 2 <> 0 AS b FROM pages)
       SELECT url, CASE WHEN a OR b THEN 'ok' ELSE 'error' END AS status, CASE WHEN a THEN 'first' WHEN b THEN 'second' ELSE 'none' END AS used, CASE WHEN a OR b THEN '' ELSE 'Content element not found; Content element not found' END AS error FROM s""",
     "a12_scrape_summary": "SELECT CASE WHEN page_id % 5 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n, (SELECT count(*) FROM pages) AS total FROM pages GROUP BY 1",

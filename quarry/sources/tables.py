@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry import schemas
@@ -16,8 +18,9 @@ def read_objects(spark: SparkSession, root: str, manifest: DataFrame, *, glob: s
     exist is rejected with a reason and must not be registered.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    files = files.select(F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", ""), f"^\\Q{base}\\E/", "").alias("path"), "content", "length")
+    place = "^[A-Za-z0-9]+:(//[^/]*)?"  # scheme and host, with which stores may or may not name their files
+    base = re.sub(place, "", root.rstrip("/"))
+    files = files.select(F.regexp_replace(F.regexp_replace("path", place, ""), f"^\\Q{base}\\E/", "").alias("path"), "content", "length")
     found = manifest.join(files, "path")
     rejected = manifest.join(files.select("path"), "path", "left_anti").withColumn("reason", F.lit("object not found"))
     return found, rejected

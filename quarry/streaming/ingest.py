@@ -37,15 +37,15 @@ def events_with_content(events: DataFrame, objects: DataFrame, bucket: str) -> D
     return ok.join(objects, ["name", "generation"]).select(F.concat(F.lit("gs://"), F.col("bucket"), F.lit("/"), "name").alias("path"), "generation", "metadata", "text", "pages", "failure")
 
 
-def ingest_stream(events: DataFrame, objects: DataFrame, root: str, bucket: str, *, ts_col: str = "ts", every: str | None = None, **limits: int):
-    """Start the query. ``events(value, ts)`` stream in; redeliveries within the retention are dropped, later ones meet the registry."""
+def ingest_stream(events: DataFrame, objects: DataFrame, root: str, bucket: str, *, ts_col: str = "ts", every: str | None = None, **making):
+    """Start the query. ``events(value, ts)`` stream in; redeliveries within the retention are dropped, later ones meet the registry. ``making``: how chunks and vectors are made, as in a batch."""
     spark = objects.sparkSession
     registry, chunks = BatchLog(spark, f"{root}/registry", schemas.REGISTRY), BatchLog(spark, f"{root}/chunks", schemas.CHUNKS)
 
     def each(batch: DataFrame, number: int) -> None:
         objs = events_with_content(batch.select("value"), objects, bucket)
         created = F.lit("1970-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(number).cast("decimal(18,6)"))
-        rows, made, _ = ingest_new(objs, registry.before(number), created, **limits)
+        rows, made, _ = ingest_new(objs, registry.before(number), created, **making)
         chunks.write(made, number)
         registry.write(rows, number)
 

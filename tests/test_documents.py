@@ -1,11 +1,12 @@
 import random
 from datetime import datetime
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.functions import text as tx
+from quarry.functions import bpe, text as tx
 from quarry.operators import chunking, embedding, ingest
 from quarry.sources import tables
 
@@ -60,6 +61,27 @@ def test_chunks_as_the_loop(spark, size, overlap):
         assert got.get(i, []) == [("".join(c), len(c)) for c in reference_chunks(toks[i], size, overlap)]
 
 
+def test_byte_pair_chunks_as_the_loop(spark):
+    files = pytest.importorskip("public_tokenizers")
+    ranks, pattern = files.path("byte_bpe_50k.tiktoken"), files.PATTERN
+    enc = bpe.encoding(ranks, pattern)
+    texts = {1: "Hello world, " * 9, 2: "日本語のテキスト🙂 " * 6, 3: "", 4: None, 5: "x", 6: "<|endoftext|> is text\n\n\ttabs"}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    for size, overlap in ((7, 3), (5, 0), (800, 200)):
+        got = {}
+        for r in sorted(chunking.chunk_bytes(df, partial(bpe.token_ends, ranks=ranks, pattern=pattern), max_tokens=size, overlap=overlap).collect(), key=lambda r: (r.id, r.chunk_index)):
+            got.setdefault(r.id, []).append((r.text, r.n_tokens))
+        for i, t in texts.items():
+            assert got.get(i, []) == [(enc.decode(c), len(c)) for c in reference_chunks(enc.encode_ordinary(t or ""), size, overlap)]
+
+
+def test_chunk_totals(spark):
+    df = spark.createDataFrame([(n, "w " * n) for n in (0, 1, 7, 8, 11, 12, 100)], "n int, text string")
+    want = {r.n: (r.c, r.t) for r in chunking.chunk(df, max_tokens=7, overlap=3).groupBy("n").agg(F.count("*").alias("c"), F.sum("n_tokens").alias("t")).collect()}
+    got = {r.n: (r.n_chunks, r.chunk_tokens) for r in chunking.chunk_totals(df, tx.token_count(F.col("text")), max_tokens=7, overlap=3).collect()}
+    assert got == {0: (0, 0)} | want
+
+
 def test_bad_overlap(spark):
     with pytest.raises(ValueError):
         chunking.chunk(spark.createDataFrame([], "id int, text string"), max_tokens=5, overlap=5)
@@ -98,6 +120,7 @@ def test_event_checks(spark):
     cases = {
         ok % "5": ("accepted", None), '{"data":%s}' % (ok % '"0"'): ("accepted", None), ok % "0": ("rejected", "missing generation"), ok % '"x"': ("rejected", "generation is not an integer"), ok % '"1_0"': ("rejected", "generation is not an integer"),
         "[1]": ("rejected", "not an object"), "nope": ("rejected", "not an object"), '{"data":7}': ("rejected", "not an object"), '{"name":"n","generation":1}': ("rejected", "missing bucket"), '{"bucket":"b","name":"","generation":1}': ("rejected", "missing name"),
+        '{"bucket":"b","name":"n","generation":"5","x":{"generation":0}}': ("accepted", None), '{"x":1,"data":null,"bucket":"b","name":"n","generation":1}': ("rejected", "not an object"), ok % "0.0": ("rejected", "missing generation"), ok % "false": ("rejected", "missing generation"), ok % "null": ("rejected", "missing generation"),
         '{"bucket":"c","name":"n","generation":1}': ("ignored", "other bucket"), '{"bucket":"b","name":"n"}': ("rejected", "missing generation"),
     }
     df = ingest.check_events(spark.createDataFrame([(k,) for k in cases], "value string"), "b")
@@ -122,6 +145,8 @@ def test_batch_ingest_and_rerun(spark):
         ("g/f.pdf", 1): ("f.pdf", "Failed", "ValueError: bad"), ("g/old.txt", 1): ("old.txt", "Failed", "x"), ("g/old.txt", 2): ("old.txt", "Ready", None),
     }
     assert sorted(r.text for r in chunks.collect()) == ["a b", "new", "one two"]
+    vectors = {r.text: list(r.embedding) for r in chunks.collect()}
+    assert vectors == {t: v.tolist() for t, v in zip(vectors, embedding.hashing_embedder(list(vectors)), strict=True)}
     assert tuple(ingest.summary(results, chunks).first()) == (4, 2, 3)
     again = ingest.run_batch(objs, reg, chunks, now(), max_tokens=5, overlap=1)
     assert sorted(map(str, again[0].collect())) == sorted(map(str, reg.collect())) and sorted(map(str, again[1].collect())) == sorted(map(str, chunks.collect()))
