@@ -49,13 +49,20 @@ def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, lea
         if not len(qf) or not len(cf):
             return pd.DataFrame({x: [] for x in cols})
         qs = [r for rows in qf["qs"] for r in rows]
-        queries_ = unit(pd.Series([r["q"] for r in qs]))
+        queries_, floor = unit(pd.Series([r["q"] for r in qs])), np.array([r["least"] for r in qs])
+        names = np.array([r["query_id"] for r in qs])
         ids, rows, out = cf["cid"].to_numpy(), unit(cf["v"]), []
         for at in range(0, len(qs), 256):
-            for i, s in enumerate(queries_[at : at + 256] @ rows.T):
-                top = np.lexsort((ids, -np.round(s, 9)))[:limit]
-                out += [(qs[at + i]["query_id"], ids[j], float(s[j]), float(qs[at + i]["least"])) for j in top if s[j] >= qs[at + i]["least"]]
-        return pd.DataFrame(out, columns=cols)
+            s = queries_[at : at + 256] @ rows.T
+            near = np.round(s, 9)
+            last = np.partition(near, -limit, axis=1)[:, -limit:][:, :1] if limit < s.shape[1] else -np.inf
+            i, j = np.nonzero((near >= last) & (s >= floor[at : at + 256, None]))  # the best with all ties of the last
+            order = np.lexsort((ids[j], -near[i, j], i))
+            i, j = i[order], j[order]
+            top = np.arange(len(i)) - np.searchsorted(i, i) < limit
+            i, j = i[top], j[top]
+            out.append(pd.DataFrame({"query_id": names[at + i], "cid": ids[j], "similarity": s[i, j], "least": floor[at + i]}))
+        return pd.concat(out)
 
     met = q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice")).applyInPandas(run, f"query_id {kinds[0]}, cid {kinds[1]}, similarity double, least double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "cid")
