@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.spread import copied, deal, hot_parts
+from quarry.spread import copied, deal, hot_parts
 from quarry.scratch import materialize
 
 BLOCK = 4096

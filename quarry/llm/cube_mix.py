@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.spread import hot_parts, with_parts
+from quarry.spread import hot_parts, with_parts
 from quarry.scratch import materialize
 
 BLOCK = 2000

@@ -29,7 +29,7 @@ from quarry.llm.bytesview import mix
 from quarry.llm.components import components
 from quarry.scratch import materialize, release
 from quarry.llm.shingles import features, shingle_sets
-from quarry.llm.spread import copied, deal, hot_parts, share, with_parts
+from quarry.spread import copied, deal, hot_parts, share, with_parts
 
 _SEMI_BUCKETS = 1 << 20
 #: A block of rows under one head holds about so many rows, and shingles.

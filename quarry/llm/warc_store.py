@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.spread import copied, deal, hot_parts
+from quarry.spread import copied, deal, hot_parts
 from quarry.scratch import materialize, scratch_path
 
 _MANIFEST = "file string, offset long, length long, page_id long"

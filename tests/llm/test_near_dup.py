@@ -6,7 +6,7 @@ import pytest
 
 from quarry.llm import near_dup as nd
 from quarry.llm.components import components
-from quarry.llm.spread import hot_parts
+from quarry.spread import hot_parts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}

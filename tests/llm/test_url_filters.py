@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from quarry.llm import url_filters as uf
-from quarry.llm.spread import hot_parts
+from quarry.spread import hot_parts
 
 T0 = datetime(2024, 1, 1)
 CAP, ENT = "page_id long, url string, fetched_at timestamp", "list string, kind string, value string, action string, at timestamp"
