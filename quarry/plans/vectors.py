@@ -80,7 +80,7 @@ def v4_neighbours(spark, sf_dir):
 def v5_fuzzy_weights(spark, sf_dir):
     v = vectors(spark, sf_dir)
     k = mapping.neighbour_count(v.count())
-    return mapping.fuzzy_weights(mapping.knn_graph(v, k=k), k)
+    return mapping.fuzzy_weights(mapping.knn_graph(v, k=k), k).withColumn("weight", F.round("weight", 5))
 
 
 def v6_layout(spark, sf_dir):
@@ -124,6 +124,8 @@ _HITS = """WITH q AS (SELECT vec_id AS query_id, {least} AS least, CAST(embeddin
   s AS (SELECT query_id, chunk_id, doc_id, least, list_cosine_similarity(q.e, c.e) AS sim FROM q, c),
   h AS (SELECT query_id, chunk_id, doc_id, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, chunk_id) AS INT) AS rank FROM s WHERE sim >= least QUALIFY rank <= 10)
 """
+_NEAR = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS neighbour, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE round(1 - list_cosine_similarity(a.e, b.e), 9) END AS distance FROM e a, e b),
+  near AS (SELECT vec_id, neighbour, distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, vec_id <> neighbour, neighbour) AS INT) AS rank FROM d QUALIFY rank <= (SELECT least(15, greatest(2, count(*) - 1)) FROM e))"""
 _LOW = _HITS.format(least="0.0")
 ORACLES = {
     "p11_thresholds": f"SELECT vec_id AS query_id, CAST({_T} AS DOUBLE) AS threshold FROM embeddings WHERE vec_id % 25 = 0",
@@ -133,8 +135,17 @@ ORACLES = {
     "a13_quality": _LOW + "SELECT query_id, count(*) AS hits, count(DISTINCT doc_id) AS documents, max(similarity) AS max_similarity, round(avg(similarity), 4) AS mean_similarity, count(*) >= 3 AS enough_context FROM h GROUP BY query_id",
     "a14_contexts": _LOW + "SELECT query_id, string_agg('text ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS sources FROM h GROUP BY query_id",
     "v2_standardise": "WITH u AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT i, avg(v) AS a, stddev_pop(v) AS s FROM u GROUP BY i) SELECT vec_id, i, round(CASE WHEN s > 1e-12 THEN (v - a) / s ELSE 0 END, 4) + 0.0 AS v FROM u JOIN m USING (i)",
-    "v4_neighbours": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS neighbour, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE round(1 - list_cosine_similarity(a.e, b.e), 9) END AS distance FROM e a, e b)
-      SELECT vec_id, neighbour, round(distance, 5) AS distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, vec_id <> neighbour, neighbour) AS INT) AS rank FROM d QUALIFY rank <= (SELECT least(15, greatest(2, count(*) - 1)) FROM e)""",
+    "v4_neighbours": f"WITH {_NEAR} SELECT vec_id, neighbour, round(distance, 5) AS distance, rank FROM near",
+    "v5_fuzzy_weights": f"""WITH RECURSIVE {_NEAR},
+      l AS (SELECT vec_id AS i, list(distance ORDER BY distance, neighbour) AS d, list(neighbour ORDER BY distance, neighbour) AS j, coalesce(min(distance) FILTER (distance > 0), 0) AS rho FROM near WHERE vec_id <> neighbour GROUP BY vec_id),
+      g AS (SELECT log2(least(15, greatest(2, count(*) - 1))) AS goal FROM e),
+      s AS (SELECT i, d, rho, CAST(1 AS DOUBLE) AS sigma, CAST(0 AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, 0 AS step FROM l
+        UNION ALL SELECT i, d, rho, CASE WHEN t > goal THEN (lo + sigma) / 2 WHEN isinf(hi) THEN sigma * 2 ELSE (sigma + hi) / 2 END, CASE WHEN t > goal THEN lo ELSE sigma END, CASE WHEN t > goal THEN sigma ELSE hi END, step + 1
+        FROM (SELECT s.*, goal, list_sum([exp(-greatest(0, x - rho) / sigma) for x in d]) AS t FROM s, g WHERE step < 64) WHERE abs(t - goal) >= 1e-9),
+      f AS (SELECT i, arg_max(sigma, step) AS sigma FROM s GROUP BY i),
+      w AS (SELECT i, unnest(j) AS j, unnest([exp(-greatest(0, x - rho) / greatest(sigma, 1e-3 * list_avg(d))) for x in d]) AS w FROM l JOIN f USING (i)),
+      m AS (SELECT least(i, j) AS a, greatest(i, j) AS b, coalesce(max(w) FILTER (i < j), 0) AS p, coalesce(max(w) FILTER (i > j), 0) AS q FROM w GROUP BY 1, 2)
+      SELECT a, b, round(p + q - p * q, 5) AS weight FROM m""",
     "v7_scale": "WITH c AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), m AS (SELECT max(greatest(abs(x), abs(y))) AS m FROM c) SELECT vec_id, round(x * (10 / m), 6) AS x, round(y * (10 / m), 6) AS y, CAST(0 AS DOUBLE) AS z FROM c, m",
     "s5_coordinates": "WITH c AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), m AS (SELECT max(greatest(abs(x), abs(y))) AS m FROM c) SELECT vec_id, round(x * (10 / m), 6) AS x, round(y * (10 / m), 6) AS y, CAST(0 AS DOUBLE) AS z FROM c, m",
     "v8_map_extent": "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, CAST(10 AS DOUBLE) AS extent, CAST(0 AS BIGINT) AS lost FROM embeddings",

@@ -10,10 +10,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: set[str] = set()
+_paths: list[str] = []  # in the order in which they were given out
 _own: dict[str, str] = {}  # folders of local sessions that name none
 
 
@@ -34,7 +36,8 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     if base not in _made:
         _made.add(base)
         atexit.register(_remove, spark, base)
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+    _paths.append(f"{base}/{tag}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -53,6 +56,17 @@ def release(*tables: DataFrame) -> None:
         drop_path(table.sparkSession, table.scratch_path)
 
 
+def settle(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Write what ``make`` gives, read it back, and delete the tables that were written on the way."""
+    given = len(_paths)
+    out = materialize(make(), tag)
+    for path in _paths[given:]:
+        if path != out.scratch_path:
+            drop_path(out.sparkSession, path)
+    del _paths[given:]
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system, wherever it lives."""
     jvm = spark.sparkContext._jvm
