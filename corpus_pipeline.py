@@ -13,10 +13,12 @@ table in every stage.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.llm import cube_mix, decontaminate, near_dup, ppm
-from quarry.scratch import materialize
+from quarry.scratch import materialize, release, settle
 
 #: No SQL twin: trained language models and hashed sampling are not SQL.
 ORACLE_SQL = None
@@ -101,7 +103,9 @@ STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settle(partial(stage, spark, docs, sf_dir), name)
+        if before is not first:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
