@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.bytesview import ALNUM_WORD, Words, mix, slices, utf8
 from quarry.scratch import materialize
+from quarry.spread import copied, deal, hot_parts
 
 _Q = np.uint64(0xA0761D6478BD642F)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -145,10 +146,12 @@ def overlaps(docs: DataFrame, items: DataFrame, *, window: int = 13, k: int = 5,
     have further columns.
     """
     spark = docs.sparkSession
-    bench = _item_grams(items, k, window, item_col, item_text_col)
-    # equal surroundings make one entry, however many items hold the passage
-    bench = bench.groupBy("size", "h", "slot", "left", "gram", "right").agg(F.collect_set(F.col("id").cast("string")).alias("items"))
-    bench = materialize(bench, "benchmark-grams")
+    own = _item_grams(items, k, window, item_col, item_text_col)
+    # equal surroundings are one entry with a name of its own, however many items hold the passage
+    own = own.withColumn("name", F.md5(F.to_json(F.struct("size", "h", "left", "gram", "right"))))
+    own = materialize(own, "item-grams")
+    bench = materialize(own.groupBy("name").agg(*[F.first(c).alias(c) for c in ("size", "h", "slot", "left", "gram", "right")]), "benchmark-grams")
+    holders = own.where("id is not null").select("name", F.col("id").cast("string").alias("item")).distinct()
     slots = bench.select("slot").distinct().toArrow().column("slot").to_numpy()  # 2^22 small numbers at most
     sizes = sorted(-r.size for r in bench.where("size < 0").select("size").distinct().collect())  # window - 1 numbers at most
     bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
@@ -170,14 +173,22 @@ def overlaps(docs: DataFrame, items: DataFrame, *, window: int = 13, k: int = 5,
     # rows without hits stay in the same plan; their join keys differ, so they don't meet in one task
     flat = read.select("id", "tag", "n_words", F.explode_outer("hits").alias("x")).select("id", "tag", "n_words", "x.*")
     flat = flat.withColumns({"h": F.coalesce("h", F.xxhash64("id", "tag")), "size": F.coalesce("size", F.lit(0))})
-    b = bench.select("size", "h", F.col("left").alias("b_left"), F.col("gram").alias("b_gram"), F.col("right").alias("b_right"), "items")
+    b = bench.select("size", "h", F.col("left").alias("b_left"), F.col("gram").alias("b_gram"), F.col("right").alias("b_right"), "name")
     met = flat.join(b, ["size", "h"], "left")
     to_left, to_right = _equal_prefix(F.col("left"), F.col("b_left")), _equal_prefix(F.col("right"), F.col("b_right"))
     length = F.abs("size") + to_left + to_right
     true_hit = (F.col("gram") == F.col("b_gram")) & ((F.col("size") < 0) | (length >= window))
     span = F.struct((F.col("pos") - to_left).alias("start"), (F.col("pos") + F.abs("size") + to_right).alias("stop"))
-    met = met.select("id", "tag", "n_words", F.when(true_hit, span).alias("span"), F.when(true_hit, F.col("items")).alias("items"))
-    by = met.groupBy("id", "tag").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    met = met.select("id", "tag", "n_words", F.when(true_hit, span).alias("span"), F.when(true_hit, F.col("name")).alias("name"))
+    by = met.groupBy("id", "tag").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("name").alias("names"))
+    by = materialize(by, "hits")
+    # names become items once a document, and a passage that many documents hold is dealt to several tasks
+    found = by.select("id", "tag", F.explode("names").alias("name"))
+    hot = hot_parts(found.groupBy("name").agg(F.count("*").alias("n")), ["name"])
+    found = deal(found, hot, ["name"], ["id", "tag"]).join(copied(holders, hot, ["name"]), ["name", "part"])
+    found = found.groupBy(F.col("id").alias("hit_id"), F.col("tag").alias("hit_tag")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    by = by.join(found, by["id"].eqNullSafe(found["hit_id"]) & by["tag"].eqNullSafe(found["hit_tag"]), "left")
+    by = by.select("id", "tag", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
 
     def join_up(done: Column, s: Column) -> Column:
