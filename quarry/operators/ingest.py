@@ -156,14 +156,18 @@ def summary(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return r.crossJoin(F.broadcast(chunks.agg(F.count("*").alias("total_chunks"))))  # two one-row aggregates
 
 
-def ingest_new(objects: DataFrame, registry: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(registry rows, chunks, results)`` of those ``objects(path, generation, metadata, text, pages, failure)`` the registry does not know."""
-    new, _ = split_known(objects, registry)
+def ingest_loaded(new: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(registry rows, chunks, results)`` of ``new(path, generation, metadata, text, pages, failure)``, each version once and none known."""
     loaded = new.withColumn("id", document_id(F.col("path"), F.col("generation"))).where(route(suffix(F.col("path"))) != "none")
     results, made = process(loaded, **making)
     return apply_results(register(new, created_at), results), made, results
 
 
+def ingest_new(objects: DataFrame, registry: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`ingest_loaded`, of those ``objects`` the registry does not know."""
+    return ingest_loaded(split_known(objects, registry)[0], created_at, **making)
+
+
 def run_batch(objects: DataFrame, registry: DataFrame, chunks: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(registry, chunks, results)`` after ingesting ``objects``. A rerun changes nothing. ``making``: what :func:`embedded_chunks` takes."""
     rows, made, results = ingest_new(objects, registry, created_at, **making)

@@ -70,7 +70,7 @@ def v2_standardise(spark, sf_dir):
 
 
 def v3_pca(spark, sf_dir):
-    return mapping.pca(mapping.standardise(vectors(spark, sf_dir))).select("vec_id", F.transform("coords", lambda x: F.round(x, 6)).alias("coords"))
+    return mapping.pca(mapping.standardise(vectors(spark, sf_dir))).select("vec_id", F.transform("coords", lambda x: F.round(x, 5) + 0.0).alias("coords"))
 
 
 def v4_neighbours(spark, sf_dir):
@@ -124,6 +124,17 @@ _HITS = """WITH q AS (SELECT vec_id AS query_id, {least} AS least, CAST(embeddin
   s AS (SELECT query_id, chunk_id, doc_id, least, list_cosine_similarity(q.e, c.e) AS sim FROM q, c),
   h AS (SELECT query_id, chunk_id, doc_id, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, chunk_id) AS INT) AS rank FROM s WHERE sim >= least QUALIFY rank <= 10)
 """
+
+
+def _axis(n: int, m: str) -> str:
+    """The first principal axis ``w{n}`` of the matrix in ``m``, by squaring it until one axis is left, and ``m{n}``, the matrix without it."""
+    trace = "[m[k][k] for k in range(1, len(m) + 1)]"
+    return f"""p{n} AS (SELECT 0 AS t, m FROM {m} UNION ALL SELECT t + 1, [[list_dot_product(r, c) / (s * s) for c in m] for r in m] FROM (SELECT t, m, list_sum({trace}) AS s FROM p{n}) WHERE t < 16),
+  b{n} AS (SELECT m[list_position({trace}, list_max({trace}))] AS r FROM p{n} WHERE t = 16),
+  w{n} AS (SELECT [x / sqrt(list_dot_product(r, r)) * CASE WHEN list_max(r) >= -list_min(r) THEN 1 ELSE -1 END for x in r] AS v FROM b{n}),
+  m{n} AS (SELECT [[m[i][j] - l * v[i] * v[j] for j in range(1, len(m) + 1)] for i in range(1, len(m) + 1)] AS m FROM (SELECT m, v, list_dot_product(v, [list_dot_product(x, v) for x in m]) AS l FROM {m}, w{n}))"""
+
+
 _NEAR = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS neighbour, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE round(1 - list_cosine_similarity(a.e, b.e), 9) END AS distance FROM e a, e b),
   near AS (SELECT vec_id, neighbour, distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, vec_id <> neighbour, neighbour) AS INT) AS rank FROM d QUALIFY rank <= (SELECT least(15, greatest(2, count(*) - 1)) FROM e))"""
 _LOW = _HITS.format(least="0.0")
@@ -135,6 +146,10 @@ ORACLES = {
     "a13_quality": _LOW + "SELECT query_id, count(*) AS hits, count(DISTINCT doc_id) AS documents, max(similarity) AS max_similarity, round(avg(similarity), 4) AS mean_similarity, count(*) >= 3 AS enough_context FROM h GROUP BY query_id",
     "a14_contexts": _LOW + "SELECT query_id, string_agg('text ' || chunk_id, chr(10) || chr(10) ORDER BY rank) AS context, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS sources FROM h GROUP BY query_id",
     "v2_standardise": "WITH u AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT i, avg(v) AS a, stddev_pop(v) AS s FROM u GROUP BY i) SELECT vec_id, i, round(CASE WHEN s > 1e-12 THEN (v - a) / s ELSE 0 END, 4) + 0.0 AS v FROM u JOIN m USING (i)",
+    "v3_pca": f"""WITH RECURSIVE u AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), mo AS (SELECT i, avg(v) AS a, stddev_pop(v) AS s FROM u GROUP BY i),
+      y AS (SELECT vec_id, i, CASE WHEN s > 1e-12 THEN (v - a) / s ELSE 0 END AS v FROM u JOIN mo USING (i)), z AS (SELECT vec_id, list(v ORDER BY i) AS z FROM y GROUP BY vec_id), q AS (SELECT i, list(v ORDER BY vec_id) AS c FROM y GROUP BY i),
+      m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT a.i, list(list_dot_product(a.c, b.c) / len(a.c) ORDER BY b.i) AS r FROM q a, q b GROUP BY a.i)), {_axis(1, "m0")}, {_axis(2, "m1")}, {_axis(3, "m2")}
+      SELECT vec_id, [{", ".join(f"round(list_dot_product(z, w{n}.v), 5) + 0.0" for n in (1, 2, 3))}] AS coords FROM z, w1, w2, w3""",
     "v4_neighbours": f"WITH {_NEAR} SELECT vec_id, neighbour, round(distance, 5) AS distance, rank FROM near",
     "v5_fuzzy_weights": f"""WITH RECURSIVE {_NEAR},
       l AS (SELECT vec_id AS i, list(distance ORDER BY distance, neighbour) AS d, list(neighbour ORDER BY distance, neighbour) AS j, coalesce(min(distance) FILTER (distance > 0), 0) AS rho FROM near WHERE vec_id <> neighbour GROUP BY vec_id),

@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from quarry import schemas
-from quarry.operators.ingest import check_events, ingest_new
+from quarry.operators.ingest import check_events, ingest_loaded, split_known
 from quarry.streaming.queue import drop_redelivered
 
 
@@ -31,10 +31,20 @@ class BatchLog:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
 
-def events_with_content(events: DataFrame, objects: DataFrame, bucket: str) -> DataFrame:
-    """Accepted events with what their object holds: ``path, generation, metadata, text, pages, failure``."""
+def accepted_keys(events: DataFrame, bucket: str) -> DataFrame:
+    """``path, name, generation`` of accepted events."""
     ok = check_events(events, bucket).where("outcome = 'accepted'")
-    return ok.join(objects, ["name", "generation"]).select(F.concat(F.lit("gs://"), F.col("bucket"), F.lit("/"), "name").alias("path"), "generation", "metadata", "text", "pages", "failure")
+    return ok.select(F.concat(F.lit("gs://"), F.col("bucket"), F.lit("/"), "name").alias("path"), "name", "generation")
+
+
+def with_content(keys: DataFrame, objects: DataFrame) -> DataFrame:
+    """Keys of objects with what these hold: ``path, generation, metadata, text, pages, failure``."""
+    return keys.join(objects, ["name", "generation"]).select("path", "generation", "metadata", "text", "pages", "failure")
+
+
+def events_with_content(events: DataFrame, objects: DataFrame, bucket: str) -> DataFrame:
+    """Accepted events with what their object holds."""
+    return with_content(accepted_keys(events, bucket), objects)
 
 
 def ingest_stream(events: DataFrame, objects: DataFrame, root: str, bucket: str, *, ts_col: str = "ts", every: str | None = None, **making):
@@ -43,9 +53,10 @@ def ingest_stream(events: DataFrame, objects: DataFrame, root: str, bucket: str,
     registry, chunks = BatchLog(spark, f"{root}/registry", schemas.REGISTRY), BatchLog(spark, f"{root}/chunks", schemas.CHUNKS)
 
     def each(batch: DataFrame, number: int) -> None:
-        objs = events_with_content(batch.select("value"), objects, bucket)
+        # repeats and known versions go by their keys, before any content is read
+        new, _ = split_known(accepted_keys(batch.select("value"), bucket), registry.before(number))
         created = F.lit("1970-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(number).cast("decimal(18,6)"))
-        rows, made, _ = ingest_new(objs, registry.before(number), created, **making)
+        rows, made, _ = ingest_loaded(with_content(new, objects), created, **making)
         chunks.write(made, number)
         registry.write(rows, number)
 
