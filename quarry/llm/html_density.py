@@ -47,7 +47,7 @@ ALWAYS = frozenset("ad ads adbox adsense advert adverts advertisement advertisin
 PARTS = frozenset("sidebar sidebars aside nav navbar navbars navigation menu menus masthead footer related recommended recommendations share sharing social widget widgets toolbar login search skip alert copyright legal tags adslot adunit adcontainer outbrain taboola".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 #: Last words of names that say what kind of box it is, not what is in it.
-BOXES = frozenset("area bar block body bottom box button buttons card cards col column container content entry form frame group header holder icon icons info inner item items left link links list main message module outer panel popup post region right row section side slot story text title top unit wrap wrapper zone".split())
+BOXES = frozenset("area articles backdrop background bar big block body bottom box button buttons card cards closed cloud col column container content copy counter cta desktop dropdown embed entry feed first fixed float form frame full global group header heading headline hero holder horizontal icon icons image info inline inner item items large left level link links list long main message mobile module more nested network networks next now open outer pane panel parent placeholder policy popup post posts prev previous primary prompt rail reading region right row second secondary section side single sized skin slot small square sticky stories story strip stub subtitle tab tabs teaser text thread thumb thumbnail tile title toggle tools tooltip top trail trigger unit vertical view visible wide wrap wrapper zone".split())
 MODIFIERS = frozenset("with has no without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
