@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarry.scratch import materialize
 from quarry.spread import copied, deal, hot_parts, listed
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: Captures of a key that meet its intervals in one group.
+PART = 256
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -61,13 +64,13 @@ def active_lists(captures: DataFrame, entries: DataFrame, *, id_col: str = "page
     one row; an empty list table blocks nothing; further columns are ignored.
     """
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(at_col).alias("at"))
-    iv = intervals(entries)
+    iv = materialize(intervals(entries), "intervals")  # read for its keys, its ends and their copies
     ends = iv.select("list", "kind", "value", F.col("valid_from").alias("at"), F.lit(True).alias("on"))
     ends = ends.unionByName(iv.where("valid_to is not null").select("list", "kind", "value", F.col("valid_to").alias("at"), F.lit(False).alias("on")))
     names = iv.select("kind", "value", "list").distinct()
     # only keys that some list has; the rest goes before anything is shuffled
     asked = listed(c.where("at is not null").select("id", "url", "at", F.explode(keys(F.col("url"))).alias("key")).select("id", "url", "at", "key.kind", "key.value"), names, ["kind", "value"])
-    hot = hot_parts(asked.groupBy("kind", "value").agg(F.count("*").alias("n")), ["kind", "value"])
+    hot = hot_parts(asked.groupBy("kind", "value").agg(F.count("*").alias("n")), ["kind", "value"], PART)
     asked = deal(asked, hot, ["kind", "value"], ["id", "url", "at"]).join(copied(names, hot, ["kind", "value"]), ["kind", "value", "part"])
     line = asked.select("list", "kind", "value", "part", "at", F.lit(True).alias("asks"), F.lit(None).cast("boolean").alias("on"), "id", "url")
     line = line.unionByName(copied(ends, hot, ["kind", "value"]).withColumn("asks", F.lit(False)), allowMissingColumns=True)

@@ -2,7 +2,6 @@ import random
 from datetime import datetime, timedelta
 
 from quarry.llm import url_filters as uf
-from quarry.spread import hot_parts
 
 T0 = datetime(2024, 1, 1)
 CAP, ENT = "page_id long, url string, fetched_at timestamp", "list string, kind string, value string, action string, at timestamp"
@@ -47,7 +46,7 @@ def test_against_brute_force(spark):
 
 def test_hot_domain_is_split(spark, monkeypatch):
     r = random.Random(4)
-    monkeypatch.setattr(uf, "hot_parts", lambda counts, keys: hot_parts(counts, keys, 20))
+    monkeypatch.setattr(uf, "PART", 20)
     caps = [(i, f"http://h{i % 50}.a.com/x", T0 + timedelta(days=r.randrange(60))) for i in range(400)]
     ents = [("l", "domain", "a.com", r.choice(["add", "remove"]), T0 + timedelta(days=r.randrange(60))) for _ in range(30)]
     assert got(uf.active_lists(spark.createDataFrame(caps, CAP), spark.createDataFrame(ents, ENT))) == brute(caps, ents)
