@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,45 +28,59 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def _hits(names: np.ndarray, queries: np.ndarray, floor: np.ndarray, frame: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """The best ``limit`` rows of ``frame(cid, v)`` for each query, at or above its floor; queries are unit rows."""
+    ids, rows, out = frame["cid"].to_numpy(), unit(frame["v"]), []
+    for at in range(0, len(queries), 256):
+        s = queries[at : at + 256] @ rows.T
+        near = np.round(s, 9)
+        last = np.partition(near, -limit, axis=1)[:, -limit:][:, :1] if limit < s.shape[1] else -np.inf
+        i, j = np.nonzero((near >= last) & (s >= floor[at : at + 256, None]))  # the best with all ties of the last
+        order = np.lexsort((ids[j], -near[i, j], i))
+        i, j = i[order], j[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < limit
+        i, j = i[top], j[top]
+        out.append(pd.DataFrame({"query_id": names[at + i], "cid": ids[j], "similarity": s[i, j]}))
+    return pd.concat(out)
+
+
 def vector_search(queries: DataFrame, chunks: DataFrame, *, limit: int = 10, least: float | Column | None = None, width: int | None = None, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, <id>, similarity, rank``: the ``limit`` most similar chunks at or above each query's threshold (or ``least``, a number or a column of the queries).
 
-    ``queries(query_id, query_type, embedding)`` are dealt to blocks of bounded
-    size; a block meets a slice of the chunks as one matrix product, and only
-    ``limit`` rows for each query and slice are shuffled for the final ranking.
+    Queries of ``BLOCK_VALUES`` numbers together are sent to every task, which
+    passes over its chunks where they are. More queries are dealt to blocks of
+    that size, and a block meets a slice of the chunks as one matrix product.
+    Only ``limit`` rows for each query and batch are shuffled for the ranking.
     """
+    spark = chunks.sparkSession
     first = queries.select(F.size("embedding")).first()
     dim = width or (first[0] if first else 1)
     blocks = max(1, -(-queries.count() * dim // BLOCK_VALUES))
-    q = queries.select("query_id", F.col("embedding").alias("q"), (threshold(F.col("query_type")) if least is None else least if isinstance(least, Column) else F.lit(float(least))).alias("least"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q", "least")).alias("qs"))  # BLOCK_VALUES numbers at most
-    slices = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-chunks.count() * dim // BLOCK_VALUES))
-    c = chunks.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("cid"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(slices)).alias("slice"))
-    q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("block", "slice", "qs")
-    c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = queries.select("query_id", F.col("embedding").alias("q"), (threshold(F.col("query_type")) if least is None else least if isinstance(least, Column) else F.lit(float(least))).alias("least"))
+    c = chunks.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("cid"), F.col(vec_col).alias("v"))
     kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema[id_col].dataType.simpleString()
-
-    def run(qf: pd.DataFrame, cf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", "cid", "similarity", "least"]
-        if not len(qf) or not len(cf):
-            return pd.DataFrame({x: [] for x in cols})
-        qs = [r for rows in qf["qs"] for r in rows]
-        queries_, floor = unit(pd.Series([r["q"] for r in qs])), np.array([r["least"] for r in qs])
-        names = np.array([r["query_id"] for r in qs])
-        ids, rows, out = cf["cid"].to_numpy(), unit(cf["v"]), []
-        for at in range(0, len(qs), 256):
-            s = queries_[at : at + 256] @ rows.T
-            near = np.round(s, 9)
-            last = np.partition(near, -limit, axis=1)[:, -limit:][:, :1] if limit < s.shape[1] else -np.inf
-            i, j = np.nonzero((near >= last) & (s >= floor[at : at + 256, None]))  # the best with all ties of the last
-            order = np.lexsort((ids[j], -near[i, j], i))
-            i, j = i[order], j[order]
-            top = np.arange(len(i)) - np.searchsorted(i, i) < limit
-            i, j = i[top], j[top]
-            out.append(pd.DataFrame({"query_id": names[at + i], "cid": ids[j], "similarity": s[i, j], "least": floor[at + i]}))
-        return pd.concat(out)
-
-    met = q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice")).applyInPandas(run, f"query_id {kinds[0]}, cid {kinds[1]}, similarity double, least double")
+    found = f"query_id {kinds[0]}, cid {kinds[1]}, similarity double"
+    if blocks == 1:
+        few = q.toPandas()  # BLOCK_VALUES numbers at most
+        sent = spark.sparkContext.broadcast((few["query_id"].to_numpy(), unit(few["q"]) if len(few) else np.zeros((0, dim)), few["least"].to_numpy(dtype=float)))
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame) and len(sent.value[0]):
+                    yield _hits(*sent.value, frame, limit)
+
+        met = c.mapInPandas(scan, found)
+    else:
+        slices = max(spark.sparkContext.defaultParallelism, -(-chunks.count() * dim // BLOCK_VALUES))
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        c = c.withColumn("slice", F.pmod(F.xxhash64("cid"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def tile(qf: pd.DataFrame, cf: pd.DataFrame) -> pd.DataFrame:
+            if not len(qf) or not len(cf):
+                return pd.DataFrame({"query_id": [], "cid": [], "similarity": []})
+            return _hits(qf["query_id"].to_numpy(), unit(qf["q"]), qf["least"].to_numpy(dtype=float), cf, limit)
+
+        met = q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice")).applyInPandas(tile, found)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "cid")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", F.col("cid").alias(id_col), "similarity", "rank")
 

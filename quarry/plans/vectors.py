@@ -70,7 +70,7 @@ def v2_standardise(spark, sf_dir):
 
 
 def v3_pca(spark, sf_dir):
-    return mapping.pca(mapping.standardise(vectors(spark, sf_dir))).select("vec_id", F.transform("coords", lambda x: F.round(x, 5) + 0.0).alias("coords"))
+    return mapping.pca(mapping.standardise(vectors(spark, sf_dir))).select("vec_id", *[(F.round(F.col("coords")[n - 1], 5) + 0.0).alias(f"axis_{n}") for n in (1, 2, 3)])
 
 
 def v4_neighbours(spark, sf_dir):
@@ -149,7 +149,7 @@ ORACLES = {
     "v3_pca": f"""WITH RECURSIVE u AS (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), mo AS (SELECT i, avg(v) AS a, stddev_pop(v) AS s FROM u GROUP BY i),
       y AS (SELECT vec_id, i, CASE WHEN s > 1e-12 THEN (v - a) / s ELSE 0 END AS v FROM u JOIN mo USING (i)), z AS (SELECT vec_id, list(v ORDER BY i) AS z FROM y GROUP BY vec_id), q AS (SELECT i, list(v ORDER BY vec_id) AS c FROM y GROUP BY i),
       m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT a.i, list(list_dot_product(a.c, b.c) / len(a.c) ORDER BY b.i) AS r FROM q a, q b GROUP BY a.i)), {_axis(1, "m0")}, {_axis(2, "m1")}, {_axis(3, "m2")}
-      SELECT vec_id, [{", ".join(f"round(list_dot_product(z, w{n}.v), 5) + 0.0" for n in (1, 2, 3))}] AS coords FROM z, w1, w2, w3""",
+      SELECT vec_id, {", ".join(f"round(list_dot_product(z, w{n}.v), 5) + 0.0 AS axis_{n}" for n in (1, 2, 3))} FROM z, w1, w2, w3""",
     "v4_neighbours": f"WITH {_NEAR} SELECT vec_id, neighbour, round(distance, 5) AS distance, rank FROM near",
     "v5_fuzzy_weights": f"""WITH RECURSIVE {_NEAR},
       l AS (SELECT vec_id AS i, list(distance ORDER BY distance, neighbour) AS d, list(neighbour ORDER BY distance, neighbour) AS j, coalesce(min(distance) FILTER (distance > 0), 0) AS rho FROM near WHERE vec_id <> neighbour GROUP BY vec_id),

@@ -56,8 +56,9 @@ def test_names(spark):
     assert [one(tx.is_web_url(F.lit(u))) for u in ("http://h", "HTTPS://h/x?y", "http:///x", "ftp://h", "h", "http://h /x")] == [True, True, False, False, False, False]
 
 
-def test_vector_search_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK_VALUES", 24)
+@pytest.mark.parametrize("values", [24, 4_000_000])
+def test_vector_search_blocks(spark, monkeypatch, values):
+    monkeypatch.setattr(retrieval, "BLOCK_VALUES", values)
     r = np.random.default_rng(0)
     x = r.normal(size=(60, 8))
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [0.0] * 8)], "chunk_id long, embedding array<float>")
