@@ -183,7 +183,8 @@ def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, ch
     # every two blocks of a head meet once; heads of one block share a task's work with others
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocked = blocked.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    packs = max(1, -(-pool.count() // _BLOCK))
+    held = pool.agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("size")).first()
+    packs = max(1, -(-held["n"] // _BLOCK), -(-held["size"] // _BLOCK_SHINGLES))
     blocked = blocked.withColumn("pack", F.when(F.col("parts") > 1, F.xxhash64("head")).otherwise(F.pmod(F.xxhash64("head"), F.lit(packs)).cast("long")))
     across = blocked.select("pack", "lo", "hi", "block", "head", "id", "component", "shingles").groupBy("pack", "lo", "hi").applyInArrow(_across(similarity), "a long, b long")
     return across.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), [pool]
