@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import chat_windows, cross_polytope, cube_mix, decontaminate, html_density, near_dup, ppm, token_counts, url_filters, warc_store
+from quarry.llm import centroids, chat_windows, cross_polytope, cube_mix, decontaminate, html_density, near_dup, ppm, token_counts, url_filters, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +85,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, salt="2:"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts, op11_centroid_clusters)}
 
 _HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -169,4 +173,22 @@ g AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows FROM f JOIN g USING (conv_id)
 """
 
-ORACLES: dict[str, str] = {"op1_chat_windows": _OP1, "op2_winnowing_decontamination": _OP2, "op3_warc_round_trip": _OP3, "op6_url_filters": _OP6, "op9_minhash_near_dup": _OP9}
+def _op11(k: int, rounds: int) -> str:
+    """Every round as a table of its own; sums below 2^53 are exact in doubles."""
+    steps = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS cluster, q AS c FROM v QUALIFY cluster < {k})"""]
+    near = "SELECT row, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT row, cluster, list_inner_product(q, q) + list_inner_product(c, c) - 2 * list_inner_product(q, c) AS d FROM v, c{}) GROUP BY row"
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(i)})")
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT cluster, list(m ORDER BY i) AS m FROM (SELECT cluster, i, floor(sum(x) / count(*)) AS m FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS i FROM a{i} JOIN v USING (row)) GROUP BY ALL) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    steps.append(f"a{rounds} AS MATERIALIZED ({near.format(rounds)})")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (row) JOIN c{rounds} USING (cluster)"""
+
+
+ORACLES: dict[str, str] = {"op1_chat_windows": _OP1, "op2_winnowing_decontamination": _OP2, "op3_warc_round_trip": _OP3, "op6_url_filters": _OP6, "op9_minhash_near_dup": _OP9, "op11_centroid_clusters": _op11(40, 5)}
