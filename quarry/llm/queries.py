@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import centroids, chat_windows, cross_polytope, cube_mix, decontaminate, html_density, near_dup, ppm, token_counts, url_filters, warc_store
+from quarry.llm import centroids, chat_windows, cross_polytope, cube_mix, decontaminate, html_density, near_dup, phrases, ppm, token_counts, url_filters, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digest(centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, salt="2:"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts, op11_centroid_clusters)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), top=2000, least=10, inside=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts, op11_centroid_clusters, op12_collocations)}
 
 _HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -173,6 +177,26 @@ g AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows FROM f JOIN g USING (conv_id)
 """
 
+_OP12 = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^ \\t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM d)),
+x AS (SELECT lang, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM (SELECT lang, id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM p) WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, 1 AS k, x AS g, count(*) AS f FROM x GROUP BY ALL UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM x WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM x WHERE z IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.g, c.k, c.a, j, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.k = c.j AND l.g = array_to_string(c.w[1 : c.j], ' ') JOIN f r ON r.lang = c.lang AND r.k = c.k - c.j AND r.g = array_to_string(c.w[c.j + 1 :], ' ')),
+s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+held AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, array_to_string(w[1:2], ' ') AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
+left_over AS (SELECT s.* FROM s LEFT JOIN held ON s.k = 2 AND held.lang = s.lang AND held.g = s.g WHERE held.a IS NULL OR 100 * held.a < 50 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, n, score FROM left_over JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def _op11(k: int, rounds: int) -> str:
     """Every round as a table of its own; sums below 2^53 are exact in doubles."""
     steps = [f"""
@@ -191,4 +215,4 @@ SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS dist
 FROM a{rounds} JOIN v USING (row) JOIN c{rounds} USING (cluster)"""
 
 
-ORACLES: dict[str, str] = {"op1_chat_windows": _OP1, "op2_winnowing_decontamination": _OP2, "op3_warc_round_trip": _OP3, "op6_url_filters": _OP6, "op9_minhash_near_dup": _OP9, "op11_centroid_clusters": _op11(40, 5)}
+ORACLES: dict[str, str] = {"op1_chat_windows": _OP1, "op2_winnowing_decontamination": _OP2, "op3_warc_round_trip": _OP3, "op6_url_filters": _OP6, "op9_minhash_near_dup": _OP9, "op11_centroid_clusters": _op11(40, 5), "op12_collocations": _OP12}
