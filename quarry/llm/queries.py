@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import centroids, chat_windows, cross_polytope, cube_mix, decontaminate, html_density, near_dup, phrases, ppm, token_counts, url_filters, warc_store
+from quarry.llm import centroids, chat_windows, cross_polytope, cube_mix, decontaminate, html_density, near_dup, packing, phrases, ppm, token_counts, url_filters, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +93,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"), top=2000, least=10, inside=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts, op11_centroid_clusters, op12_collocations)}
+def op13_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as files
+
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), files.path("word_bpe_49k.json"), capacity=2048, end=0)
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_winnowing_decontamination, op3_warc_round_trip, op4_cube_mix, op5_html_density, op6_url_filters, op7_cross_polytope_search, op8_ppm_language_id, op9_minhash_near_dup, op10_token_counts, op11_centroid_clusters, op12_collocations, op13_pack_sequences)}
 
 _HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
