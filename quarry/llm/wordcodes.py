@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from quarry.llm.bytesview import LOWER, utf8
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 @dataclass
