@@ -216,15 +216,33 @@ def s3_page_json(spark, sf_dir):
 
 
 def t7_streaming_ingest(spark, sf_dir):
-    """Events for all objects as a stream, each twice: the registry and the number of chunks that come of it."""
+    """Events for all objects in two runs of a stream: the registry, its chunks, and what was rejected.
+
+    Each event comes twice, after one of the same name and generation in another
+    bucket and one with the number 0. Every fourth comes in the second run only,
+    years late by its time, with all others once more; every tenth has an event
+    beside it whose object is gone.
+    """
     objs, root = objects(spark, sf_dir), scratch_path(spark, "stream")
-    event = F.to_json(F.struct(F.lit("raw").alias("bucket"), "name", F.col("generation").cast("string").alias("generation")))  # the number 0 is none
-    objs.select(event.alias("value"), F.expr(EPOCH).alias("ts"), F.explode(F.array(F.lit(0), F.lit(1))).alias("again")).drop("again").write.parquet(f"{root}/events")
-    events = spark.readStream.schema("value string, ts timestamp").parquet(f"{root}/events")
-    stream.ingest_stream(events, objs.drop("doc_id", "path"), f"{root}/out", "raw").awaitTermination()
-    rows, chunks = (stream.BatchLog(spark, f"{root}/out/{name}", kind).before(1 << 40) for name, kind in (("registry", schemas.REGISTRY), ("chunks", schemas.CHUNKS)))
-    n = chunks.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_chunks"), F.sum(F.expr(PLACES)).alias("places"))
-    return rows.join(n, "id", "left").select("original_path", "generation", "filename", "status", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("places", F.lit(0)).alias("places"))
+
+    def event(bucket, name, generation):  # as JSON; the number 0 is no generation, the text is one
+        return F.to_json(F.struct(F.lit(bucket).alias("bucket"), name.alias("name"), generation.alias("generation")))
+
+    own = event("raw", F.col("name"), F.col("generation").cast("string"))
+    foreign, number = event("other", F.col("name"), F.col("generation").cast("string")), event("raw", F.col("name"), F.lit(0))
+    gone = F.when(F.col("doc_id") % 10 == 0, event("raw", F.concat(F.lit("gone/"), "name"), F.col("generation") + 1))
+    late = F.col("doc_id") % 4 == 3
+    for part, rows in enumerate((F.when(late, F.array(foreign, number, gone)).otherwise(F.array(foreign, number, own, own, gone)), F.array(own, own, gone))):
+        values = objs.select(F.explode(rows).alias("value"), F.when(late, F.lit("2019-01-01")).otherwise(F.lit("2024-01-01")).cast("timestamp").alias("ts"))
+        values.where("value is not null").write.mode("append").parquet(f"{root}/events/part={part}")
+        events = spark.readStream.schema("value string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{root}/events")
+        stream.ingest_stream(events, objs.drop("doc_id", "path"), f"{root}/out", "raw", buckets=8, merge_after=1).awaitTermination()
+    made = stream.Tables.at(spark, f"{root}/out", buckets=8)
+    n = made.chunks.read().groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_chunks"), F.sum(F.expr(PLACES)).alias("places"))
+    rows = made.registry.read().join(n, "id", "left").select("original_path", "generation", "filename", "status", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("places", F.lit(0)).alias("places"))
+    refused = made.rejected.read().select(F.col("path").alias("original_path"), "generation", "reason").distinct()
+    zero = F.lit(0).cast("long")
+    return rows.unionByName(refused.select("original_path", "generation", F.col("reason").alias("filename"), F.lit("Rejected").alias("status"), zero.alias("n_chunks"), zero.alias("places")))
 
 
 # the knowledge-base list
@@ -372,7 +390,8 @@ ORACLES = {
     "t7_streaming_ingest": _INGEST_SQL + f""", x AS (SELECT path, generation, toks, unnest(range(m)) AS i FROM r WHERE suffix IN ('.txt', '.pdf', '.docx') AND m > 0),
       y AS (SELECT path, generation, i AS chunk, array_to_string(toks[i * 600 + 1 : i * 600 + 800], '') AS text FROM x), {_places_sql("y", "path, generation, chunk")},
       z AS (SELECT path, generation, CAST(sum((i + 1) * sign(n)) AS BIGINT) AS places FROM places GROUP BY ALL)
-      SELECT path AS original_path, generation, filename, done AS status, CAST(CASE WHEN done = 'Ready' THEN m ELSE 0 END AS BIGINT) AS n_chunks, coalesce(places, 0) AS places FROM r LEFT JOIN z USING (path, generation) WHERE suffix <> ''""",
+      SELECT path AS original_path, generation, filename, done AS status, CAST(CASE WHEN done = 'Ready' THEN m ELSE 0 END AS BIGINT) AS n_chunks, coalesce(places, 0) AS places FROM r LEFT JOIN z USING (path, generation) WHERE suffix <> ''
+      UNION ALL SELECT 'gs://raw/gone/' || name, generation + 1, 'object not found', 'Rejected', 0, 0 FROM o WHERE doc_id % 10 = 0""",
     "s2_decode_bytes": "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5 FROM documents",
     "c7_text_messages": f"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN coalesce(text, '') ELSE '' END AS text FROM documents), k AS (SELECT doc_id, text, regexp_extract_all(text, {TOK}) AS toks, len(toks) AS n FROM m),
       c AS (SELECT *, CASE WHEN n = 0 THEN 0 WHEN n <= 800 THEN 1 ELSE 1 + CAST(ceil((n - 800) / 600.0) AS INT) END AS m FROM k), x AS (SELECT doc_id, toks, unnest(range(m)) AS i FROM c WHERE m > 0),

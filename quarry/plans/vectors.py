@@ -109,7 +109,7 @@ def s5_coordinates(spark, sf_dir):
     tables.write_coordinates(mapping.scale(c, to=1.0), path)
     tables.write_coordinates(mapping.scale(c), path)
     tables.write_coordinates(None, path)
-    return spark.read.parquet(path).select("vec_id", *[F.round(a, 6).alias(a) for a in "xyz"])
+    return tables.read_coordinates(spark, path).select("vec_id", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
 def s4_embedding_text(spark, sf_dir):

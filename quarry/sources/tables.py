@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quarry import schemas
 from quarry.functions.text import decode_bytes, embedding_from_text, embedding_to_text
 from quarry.operators.web import saved_pages
+from quarry.sources.versions import Versions
 
 
 def read_objects(spark: SparkSession, root: str, manifest: DataFrame, *, glob: str = "*") -> tuple[DataFrame, DataFrame]:
@@ -48,13 +49,17 @@ def embeddings_from_text(rows: DataFrame, vec_col: str = "embedding") -> DataFra
 
 
 def write_coordinates(coords: DataFrame | None, path: str) -> bool:
-    """Replace the coordinate table as a whole; None keeps the old one."""
+    """Replace the coordinate table as a whole, in one commit; None keeps the old one. A write that fails leaves the old table readable."""
     if coords is None:
         return False
-    coords.write.mode("overwrite").parquet(path)
+    Versions(coords.sparkSession, path).replace(coords)
     return True
 
 
+def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
+    return Versions(spark, path).read()
+
+
 def write_scraped(extracted: DataFrame, path: str) -> None:
     """Successful captures, as a table keyed by url."""
     saved_pages(extracted).write.mode("overwrite").parquet(path)

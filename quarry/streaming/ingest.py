@@ -2,39 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.utils import AnalysisException
 
 from quarry import schemas
 from quarry.operators.ingest import check_events, ingest_loaded, split_known
-from quarry.streaming.queue import drop_redelivered
-
-
-class BatchLog:
-    """An append-only table with a folder per micro-batch; a repeated batch replaces what it wrote."""
+from quarry.streaming.keylog import KeyedLog
+from quarry.streaming.queue import RETENTION, drop_redelivered
+from quarry.streaming.state import start
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
 
-    def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(StructType([*self.schema.fields, StructField("batch", LongType())])).parquet(self.path)
-        except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0).cast("long"))
+@dataclass
+class Tables:
+    """What a stream of events leaves below ``root``: the registry, the chunks, and accepted events without an object."""
 
-    def before(self, batch: int) -> DataFrame:
-        """Rows of earlier batches; the folders of others are not read."""
-        return self.read().where(F.col("batch") < batch).drop("batch")
+    registry: KeyedLog
+    chunks: KeyedLog
+    rejected: KeyedLog
 
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    @classmethod
+    def at(cls, spark: SparkSession, root: str, **sizes) -> Tables:
+        return cls(
+            KeyedLog(spark, f"{root}/registry", schemas.REGISTRY, ["original_path", "generation"], **sizes),
+            KeyedLog(spark, f"{root}/chunks", schemas.CHUNKS, ["doc_id"], **sizes),
+            KeyedLog(spark, f"{root}/rejected", schemas.REJECTED, ["path", "generation"], **sizes),
+        )
 
 
 def accepted_keys(events: DataFrame, bucket: str) -> DataFrame:
-    """``path, name, generation`` of accepted events."""
+    """``bucket, path, name, generation`` of accepted events."""
     ok = check_events(events, bucket).where("outcome = 'accepted'")
-    return ok.select(F.concat(F.lit("gs://"), F.col("bucket"), F.lit("/"), "name").alias("path"), "name", "generation")
+    return ok.select("bucket", F.concat(F.lit("gs://"), F.col("bucket"), F.lit("/"), "name").alias("path"), "name", "generation")
 
 
 def with_content(keys: DataFrame, objects: DataFrame) -> DataFrame:
@@ -47,20 +47,40 @@ def events_with_content(events: DataFrame, objects: DataFrame, bucket: str) -> D
     return with_content(accepted_keys(events, bucket), objects)
 
 
-def ingest_stream(events: DataFrame, objects: DataFrame, root: str, bucket: str, *, ts_col: str = "ts", every: str | None = None, **making):
-    """Start the query. ``events(value, ts)`` stream in; redeliveries within the retention are dropped, later ones meet the registry. ``making``: how chunks and vectors are made, as in a batch."""
+def ingest_stream(events: DataFrame, objects: DataFrame, root: str, bucket: str, *, retention: timedelta = RETENTION, every: str | None = None, buckets: int = 64, merge_after: int = 32, **making):
+    """Start the query over ``events(value)``, a stream.
+
+    Events are checked first, and only accepted ones count from there on, so
+    neither another bucket's event nor a rejected one stands in for a valid one.
+    Redeliveries within the retention are dropped by bucket, name and
+    generation; everything later meets the registry, of which a batch reads the
+    buckets its keys fall in. An event whose object is not there (as of the
+    start of the query) is written to ``rejected`` with a reason, leaves no
+    registry row and is tried again when it is redelivered. ``making``: how
+    chunks and vectors are made, as in a batch.
+    """
     spark = objects.sparkSession
-    registry, chunks = BatchLog(spark, f"{root}/registry", schemas.REGISTRY), BatchLog(spark, f"{root}/chunks", schemas.CHUNKS)
+    tables = Tables.at(spark, root, buckets=buckets, merge_after=merge_after)
 
     def each(batch: DataFrame, number: int) -> None:
-        # repeats and known versions go by their keys, before any content is read
-        new, _ = split_known(accepted_keys(batch.select("value"), bucket), registry.before(number))
-        created = F.lit("1970-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(number).cast("decimal(18,6)"))
-        rows, made, _ = ingest_loaded(with_content(new, objects), created, **making)
-        chunks.write(made, number)
-        registry.write(rows, number)
-
-    keyed = events.withColumns({"name": F.coalesce(F.get_json_object("value", "$.data.name"), F.get_json_object("value", "$.name")), "generation": F.coalesce(F.get_json_object("value", "$.data.generation"), F.get_json_object("value", "$.generation"))})
-    once = drop_redelivered(keyed, keys=("name", "generation"), ts_col=ts_col)
-    w = once.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint")
-    return (w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)).start()
+        for log in (tables.registry, tables.chunks, tables.rejected):
+            log.merge(number)
+        keys = batch.persist()
+        try:
+            there = keys.where("not missing")
+            # known versions go by their keys, before any content is read
+            new, _ = split_known(there, tables.registry.before(number, there, ["path", "generation"]))
+            created = F.lit("1970-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(number).cast("decimal(18,6)"))
+            rows, made, _ = ingest_loaded(with_content(new, objects), created, **making)
+            tables.chunks.write(made, number)
+            gone = keys.where("missing").dropDuplicates(["path", "generation"])
+            tables.rejected.write(gone.select("path", "generation", F.lit("object not found").alias("reason")), number)
+            tables.registry.write(rows, number)
+        finally:
+            keys.unpersist()
+
+    known = objects.select("name", "generation", F.lit(False).alias("missing")).distinct()
+    keyed = accepted_keys(events.select("value"), bucket).join(known, ["name", "generation"], "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
+    first = drop_redelivered(keyed, keys=("bucket", "name", "generation"), retention=retention, unless="missing")
+    w = first.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint")
+    return start(w, spark, every)

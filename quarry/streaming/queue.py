@@ -6,11 +6,14 @@ Every function takes a batch or a streaming DataFrame alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.streaming import state
+
 ATTEMPTS = 5
-RETENTION = "7 days"
+RETENTION = timedelta(days=7)
 
 
 def decode(messages: DataFrame, value_col: str = "value") -> DataFrame:
@@ -48,23 +51,35 @@ def current_status(updates: DataFrame, *, task_col: str = "task_id", at: Column
     return updates.groupBy(task_col).agg(F.max_by("status", order).alias("status"), F.max_by("error", order).alias("error"), F.max("ts").alias("updated_at"))
 
 
-def drop_redelivered(events: DataFrame, *, keys: tuple[str, ...] = ("path", "generation"), ts_col: str = "ts", retention: str = RETENTION) -> DataFrame:
-    """Each key once; in a stream within the retention, as state older than that is forgotten."""
+def drop_redelivered(events: DataFrame, *, keys: tuple[str, ...] = ("path", "generation"), retention: timedelta = RETENTION, unless: str | None = None) -> DataFrame:
+    """Each key once. Give it checked events only: what is not accepted must not use up a key.
+
+    In a stream a key is known until ``retention`` after it was first seen; a
+    later redelivery passes, as does every late event, and meets the registry,
+    which is exact. See :func:`quarry.streaming.state.once` for ``unless``.
+    """
     if not events.isStreaming:
         return events.dropDuplicates(list(keys))
-    return events.withWatermark(ts_col, retention).dropDuplicatesWithinWatermark(list(keys))
+    return state.once(events, list(keys), retention, unless=unless)
 
 
 def split_dead(deliveries: DataFrame, *, key: str = "task_id", attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
-    """``(live, dead)`` keys with their number of ``attempts``, by failed deliveries (``ok`` false)."""
+    """``(live, dead)`` keys of a batch with their number of ``attempts``, by failed deliveries (``ok`` false). For streams see :func:`dead_letters`."""
     n = deliveries.groupBy(key).agg(F.count_if(~F.col("ok")).alias("attempts"))
     return n.where(F.col("attempts") < attempts), n.where(F.col("attempts") >= attempts)
 
 
+def dead_letters(deliveries: DataFrame, *, key: str = "task_id", attempts: int = ATTEMPTS, retention: timedelta = RETENTION) -> DataFrame:
+    """``key, attempts`` of the keys whose failed deliveries reach ``attempts``: in a stream once, with that delivery, and forgotten after the retention."""
+    if not deliveries.isStreaming:
+        return split_dead(deliveries, key=key, attempts=attempts)[1]
+    return state.dead_letters(deliveries, key, attempts, retention)
+
+
 def write_dead_letters(dead: DataFrame, path: str, checkpoint: str, *, every: str | None = "300 seconds", rows_per_file: int = 10_000):
     """Stream dead letters to JSON files, one roll every ``every`` (None: all that is there, then stop)."""
     w = dead.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file)
-    return (w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)).start()
+    return state.start(w, dead.sparkSession, every)
 
 
 def run_routes(tasks: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, *, every: str | None = None):
@@ -79,4 +94,4 @@ def run_routes(tasks: DataFrame, handlers: dict[str, Callable[[DataFrame, int],
             batch.unpersist()
 
     w = tasks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)).start()
+    return state.start(w, tasks.sparkSession, every)

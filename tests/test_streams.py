@@ -2,11 +2,14 @@ import base64
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry import schemas
 from quarry.operators import ingest
-from quarry.streaming import ingest as stream, queue
+from quarry.sources.versions import Versions
+from quarry.streaming import ingest as stream, queue, state
+from quarry.streaming.keylog import KeyedLog
 
 T0 = datetime(2024, 1, 1)
 EVENT = "value string, ts timestamp"
@@ -40,9 +43,127 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     flat = spark.createDataFrame([e for b in batches for e in b], EVENT)
     want = ingest.run_batch(stream.events_with_content(flat, objects, "raw"), spark.createDataFrame([], schemas.REGISTRY), spark.createDataFrame([], schemas.CHUNKS), F.lit(T0), max_tokens=2, overlap=0)
     pick = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
-    reg, chunks = (stream.BatchLog(spark, f"{root}/{n}", s).before(10**9) for n, s in (("registry", schemas.REGISTRY), ("chunks", schemas.CHUNKS)))
+    made = stream.Tables.at(spark, root)
+    reg, chunks = made.registry.before(10**9), made.chunks.before(10**9)
     assert pick(reg, "id", "status") == pick(want[0], "id", "status") and reg.count() == 4
     assert pick(chunks, "doc_id", "chunk_index", "text") == pick(want[1], "doc_id", "chunk_index", "text")
+    assert pick(made.rejected.before(10**9), "path", "generation", "reason") == [("gs://raw/gone.txt", 1, "object not found")]
+
+
+KIND = "name string, generation long, metadata map<string,string>, text string, pages array<struct<page:int,header:string,body:string>>, failure string"
+
+
+def said(name, generation, bucket="raw"):
+    return json.dumps({"bucket": bucket, "name": name, "generation": generation})
+
+
+def ran(spark, tmp_path, batches, objects, **given):
+    """The tables after one run of the stream for each list of ``(value, ts)`` events."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        events = spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        stream.ingest_stream(events, objects[min(i, len(objects) - 1)], str(tmp_path / "out"), "raw", buckets=4, max_tokens=2, overlap=0, **given).awaitTermination()
+    return stream.Tables.at(spark, str(tmp_path / "out"), buckets=4)
+
+
+def test_only_accepted_events_use_up_a_key(spark, tmp_path):
+    """Another bucket's event and a rejected one first, then the valid ones; one long after all others by its time."""
+    objects = spark.createDataFrame([(f"{x}.txt", 1, {}, x, None, None) for x in "abc"], KIND)
+    old = T0 - timedelta(days=900)
+    first = [(said("a.txt", 1, "other"), T0), (said("b.txt", 0), T0), (said("b.txt", "1x"), T0), (said("x.txt", 1, "other"), T0 + timedelta(days=30))]
+    made = ran(spark, tmp_path, [first, [(said("a.txt", 1), T0), (said("b.txt", 1), T0), (said("c.txt", 1), old)], [(said("c.txt", 1), old), (said("a.txt", 1), T0)]], [objects])
+    assert sorted((r.original_path, r.status) for r in made.registry.read().collect()) == [(f"gs://raw/{x}.txt", "Ready") for x in "abc"]
+    assert made.chunks.read().count() == 3 and made.rejected.read().count() == 0
+
+
+def test_object_that_comes_later(spark, tmp_path):
+    none = spark.createDataFrame([], KIND)
+    there = spark.createDataFrame([("a.txt", 1, {}, "one", None, None)], KIND)
+    event = [(said("a.txt", 1), T0), (said("a.txt", 1), T0)]
+    made = ran(spark, tmp_path, [event, event, event], [none, there])
+    assert [(r.path, r.reason, r.batch) for r in made.rejected.read().collect()] == [("gs://raw/a.txt", "object not found", 0)]
+    assert [(r.original_path, r.status, r.batch) for r in made.registry.read().collect()] == [("gs://raw/a.txt", "Ready", 1)]
+
+
+def test_redelivery_after_the_retention_meets_the_registry(spark, tmp_path):
+    """The key is forgotten at once, so only the registry can stop the repeats."""
+    objects = spark.createDataFrame([("a.txt", 1, {}, "one", None, None)], KIND)
+    made = ran(spark, tmp_path, [[(said("a.txt", 1), T0)]] * 3, [objects], retention=timedelta(milliseconds=1))
+    assert made.registry.read().count() == 1 and made.chunks.read().count() == 1
+
+
+def test_once_forgets_after_the_retention(spark, tmp_path):
+    import time
+
+    def keys(i, retention):
+        spark.createDataFrame([("k", False), ("k", False), ("m", True), ("m", True)], "k string, missing boolean").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        rows = spark.readStream.schema("k string, missing boolean").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = queue.drop_redelivered(rows, keys=("k",), retention=retention, unless="missing")
+        state.start(out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")), spark, None).awaitTermination()
+        found = [r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+        return found.count("k"), found.count("m")
+
+    assert keys(0, timedelta(seconds=1)) == (1, 2)
+    time.sleep(1.5)
+    assert keys(1, timedelta(days=7)) == (2, 4)
+    assert keys(2, timedelta(days=7)) == (2, 6)
+
+
+def test_dead_letters_of_a_stream(spark, tmp_path):
+    """Once, on the fifth failure; successes do not count, and a forgotten key starts anew."""
+    import time
+
+    def letters(i, rows, retention=timedelta(days=7)):
+        spark.createDataFrame(rows, "task_id string, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        deliveries = spark.readStream.schema("task_id string, ok boolean").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = queue.dead_letters(deliveries, retention=retention)
+        state.start(out.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")), spark, None).awaitTermination()
+        return sorted((r.task_id, r.attempts) for r in spark.read.schema("task_id string, attempts long").json(str(tmp_path / "out")).collect())
+
+    assert letters(0, [("a", False)] * 4 + [("b", False)] * 6 + [("c", True)] * 9) == [("b", 5)]
+    assert letters(1, [("a", False), ("a", None), ("b", False)], timedelta(seconds=1)) == [("a", 5), ("b", 5)]
+    time.sleep(1.5)
+    assert letters(2, [("z", True)]) == [("a", 5), ("b", 5)]
+    assert letters(3, [("a", False)] * 5) == [("a", 5), ("a", 5), ("b", 5)]
+
+
+def test_log_reads_touched_buckets_and_merges(spark, tmp_path):
+    log = KeyedLog(spark, str(tmp_path / "log"), schemas.REJECTED, ["path", "generation"], buckets=8, merge_after=2)
+    rows = lambda *names: spark.createDataFrame([(n, 1, "r") for n in names], schemas.REJECTED)
+    assert log.read().count() == 0 and log.before(5, rows("a")).count() == 0
+    for batch in range(3):
+        assert not log.merge(batch)
+        log.write(rows(*[f"p{batch}-{i}" for i in range(40)]), batch)
+    log.write(rows("p2-0", "late"), 2)  # a repeated batch replaces what it wrote
+    near = rows("p1-7")
+    found = log.before(9, near)
+    files = lambda df: {r[0].rsplit("/", 2)[1] for r in df.select(F.input_file_name()).distinct().collect()}
+    assert len(files(found)) == 1 and found.where("path = 'p1-7'").count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    before = sorted(r.path for r in log.before(3).collect())
+    log.write(rows("cut short"), 3)  # of a batch that died; it runs again after the merge
+    assert log.merge(3) and sorted(r.path for r in log.before(9).collect()) == before and len(before) == 82
+    log.write(rows("new"), 3)
+    assert sorted(r.path for r in log.before(9).collect()) == sorted([*before, "new"]) and {r.batch for r in log.read().select("batch").distinct().collect()} == {2, 3}
+    assert len(files(log.before(9, near))) == 1
+
+
+def test_versions_survive_a_failed_write(spark, tmp_path):
+    table = Versions(spark, str(tmp_path / "t"))
+    assert table.read("x long").count() == 0
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.replace(spark.range(3))
+    with pytest.raises(Exception, match="half-way"):
+        table.replace(spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("half-way"))).otherwise(F.col("id")).alias("id")))
+    assert table.read().count() == 3
+    (tmp_path / "t/_versions/000000000001").write_bytes(b"")  # a writer that died before it named its folder
+    assert table.read().count() == 3
+    reader = table.read()
+    assert table.replace(spark.range(5)) == 2 and table.read().count() == 5 and reader.count() == 3
+    table.replace(spark.range(6))
+    assert [n for n, _ in table.log()] == [2, 3] and table.read().count() == 6
 
 
 def test_status_stream_equals_batch(spark, tmp_path):

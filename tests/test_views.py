@@ -129,7 +129,7 @@ def test_layout_keeps_neighbours(spark, tmp_path):
     few = mapping.map_all(df.limit(5)).collect()
     assert len(few) == 5
     path = str(tmp_path / "coords")
-    assert tables.write_coordinates(out, path) and not tables.write_coordinates(None, path) and spark.read.parquet(path).count() == 400
+    assert tables.write_coordinates(out, path) and not tables.write_coordinates(None, path) and tables.read_coordinates(spark, path).count() == 400
 
 
 def test_layout_places_a_small_group_beside_a_large_one(spark):
