@@ -38,19 +38,55 @@ def hashing_embedder(texts: list[str], width: int = 768) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def embed(chunks: DataFrame, embedder: Callable[[], Embedder] | None = None, *, text_col: str = "text", width: int = 768, batch: int = 256) -> DataFrame:
-    """Add ``embedding array<float>``, one vector per text. ``embedder`` makes the function, once per partition; its width is checked."""
+def token_groups(counts: list[int], budget: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts of ``budget`` tokens together and ``most`` texts at the utmost; a text above the budget stands alone."""
+    out, start, used = [], 0, 0
+    for i, n in enumerate(counts):
+        if i > start and (used + n > budget or i - start >= most):
+            out.append((start, i))
+            start, used = i, 0
+        used += n
+    return [*out, (start, len(counts))] if counts else []
+
+
+def _vectors(model: Embedder, texts: list[str], width: int) -> list[np.ndarray]:
+    found = np.asarray(model(texts), dtype=np.float32)
+    if found.shape != (len(texts), width):
+        raise ValueError(f"the embedder gave {found.shape}, not {(len(texts), width)}")
+    return list(found)
+
+
+def _each(model: Embedder, texts: list[str], width: int) -> tuple[list[np.ndarray | None], list[str | None]]:
+    """Vectors and errors; a group that fails is tried text by text, so that a fault stays with its text."""
+    try:
+        return _vectors(model, texts, width), [None] * len(texts)
+    except Exception as fault:
+        if len(texts) == 1:
+            return [None], [f"{type(fault).__name__}: {fault}"]
+        one_by_one = [_each(model, [t], width) for t in texts]
+        return [v for vs, _ in one_by_one for v in vs], [e for _, es in one_by_one for e in es]
+
+
+def embed(chunks: DataFrame, embedder: Callable[[], Embedder] | None = None, *, text_col: str = "text", width: int = 768, batch: int = 256, budget: int = 17_000, errors: bool = False) -> DataFrame:
+    """Add ``embedding array<float>``, one vector per text. ``embedder`` makes the function, once per partition; its width is checked.
+
+    The function gets ``budget`` tokens and ``batch`` texts at the utmost
+    (tokens as ``n_tokens`` says, else between white space). With ``errors``, a
+    text it raises on gets no vector but ``error``, ``"{type}: {message}"``;
+    without, the job fails.
+    """
     make = embedder or (lambda: partial(hashing_embedder, width=width))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                vectors = np.asarray(model(part[text_col].fillna("").tolist()), dtype=np.float32)
-                if vectors.shape != (len(part), width):
-                    raise ValueError(f"the embedder gave {vectors.shape}, not {(len(part), width)}")
-                yield part.assign(embedding=list(vectors))
-
-    rows = chunks.drop("embedding")
-    return rows.mapInPandas(run, rows.select("*", F.array().cast("array<float>").alias("embedding")).schema)
+            texts = frame[text_col].fillna("").tolist()
+            counts = frame["n_tokens"].tolist() if "n_tokens" in frame else [len(t.split()) for t in texts]
+            for a, b in token_groups(counts, budget, batch):
+                found, faults = _each(model, texts[a:b], width) if errors else (_vectors(model, texts[a:b], width), None)
+                out = frame.iloc[a:b].assign(embedding=found)
+                yield out.assign(error=faults) if errors else out
+
+    rows = chunks.drop("embedding", "error") if errors else chunks.drop("embedding")
+    new = [(F.lit(None) if errors else F.array()).cast("array<float>").alias("embedding"), *([F.lit(None).cast("string").alias("error")] if errors else [])]
+    return rows.mapInPandas(run, rows.select("*", *new).schema)

@@ -10,7 +10,7 @@ from quarry import schemas
 from quarry.functions.text import display_name, suffix
 from quarry.operators.chunking import chunk, pages_to_text
 from quarry.operators.embedding import Embedder, embed
-
+from quarry.scratch import materialize
 
 
 def check_events(events: DataFrame, bucket: str, value_col: str = "value") -> DataFrame:
@@ -116,17 +116,33 @@ def renumber_pages(batches: DataFrame) -> DataFrame:
     return p.groupBy("doc_id").agg(F.max(F.col("pages").isNull()).alias("failed"), F.flatten(F.transform(lists, lambda b: F.coalesce(b.pages, F.array().cast(schemas.PAGE_ARRAY)))).alias("pages"))
 
 
-def embedded_chunks(texts: DataFrame, *, max_tokens: int = 800, overlap: int = 200, embedder: Callable[[], Embedder] | None = None, width: int = 768) -> DataFrame:
-    """Chunks with their vectors, as the chunk table holds them, of ``texts(doc_id, text)``."""
-    return embed(chunk(texts, max_tokens=max_tokens, overlap=overlap), embedder, width=width).select("doc_id", "chunk_index", "text", "embedding")
+def embedded_chunks(texts: DataFrame, *, max_tokens: int = 800, overlap: int = 200, embedder: Callable[[], Embedder] | None = None, width: int = 768) -> tuple[DataFrame, DataFrame]:
+    """``(chunks, faults)`` of ``texts(doc_id, text)``: chunks with their vectors, as the chunk table holds them, and ``doc_id, error_message`` of the documents on which the embedder raised.
+
+    Such a document has no chunks; all others go on. The vectors are written
+    once, as both results need them.
+    """
+    made = embed(chunk(texts, max_tokens=max_tokens, overlap=overlap), embedder, width=width, errors=True)
+    made = materialize(made.select("doc_id", "chunk_index", "text", "embedding", "error"), "embedded")
+    faults = made.where("error is not null").groupBy("doc_id").agg(F.min_by("error", "chunk_index").alias("error_message"))
+    return made.drop("error").join(faults, "doc_id", "left_anti"), faults
+
+
+def with_faults(results: DataFrame, faults: DataFrame) -> DataFrame:
+    """``results`` in which the documents of ``faults`` have failed with its message."""
+    j = results.join(faults.select(F.col("doc_id").alias("id"), F.col("error_message").alias("__fault")), "id", "left")
+    bad = F.col("__fault").isNotNull()
+    j = j.withColumns({"status": F.when(bad, "Failed").otherwise(F.col("status")), "error_message": F.coalesce("__fault", "error_message")})
+    return j.select(results.columns)
 
 
 def process(documents: DataFrame, **making) -> tuple[DataFrame, DataFrame]:
     """``(results, chunks)`` of loaded documents ``(id, path, text, pages, failure)``.
 
     Text files bring ``text``, others ``pages``. Unsupported types and failed
-    extractions fail; an empty text is Ready without chunks. ``making``: what
-    :func:`embedded_chunks` takes.
+    extractions fail, as does a document whose text the embedder raises on; an
+    empty text is Ready without chunks. ``making``: what :func:`embedded_chunks`
+    takes.
     """
     kind = route(suffix(F.col("path")))
     d = documents.withColumn("__kind", kind)
@@ -136,7 +152,8 @@ def process(documents: DataFrame, **making) -> tuple[DataFrame, DataFrame]:
     d = d.select("id", "path", "__kind", text.alias("text"), error.alias("error_message"))
     processed = F.when((F.col("__kind") == "pages") & F.col("error_message").isNull(), F.concat(F.lit("processed/"), F.col("id"), F.lit(".json")))
     results = d.select("id", F.when(F.col("error_message").isNull(), "Ready").otherwise("Failed").alias("status"), "error_message", processed.alias("processed_path"))
-    return results, embedded_chunks(d.where("error_message is null").select(F.col("id").alias("doc_id"), "text"), **making)
+    chunks, faults = embedded_chunks(d.where("error_message is null").select(F.col("id").alias("doc_id"), "text"), **making)
+    return with_faults(results, faults), chunks
 
 
 def process_messages(messages: DataFrame, **making) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +164,15 @@ def process_messages(messages: DataFrame, **making) -> tuple[DataFrame, DataFram
         document_id(path, F.lit(0)).alias("id"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("filename"), path.alias("original_path"), F.lit(None).cast("string").alias("processed_path"),
         F.lit(0).cast("long").alias("generation"), F.col("ts").alias("created_at"), F.when(empty, "Failed").otherwise("Ready").alias("status"), F.when(empty, "No content provided").alias("error_message"), F.col("content").alias("text"),
     ).dropDuplicates(["original_path", "generation"])
-    return m.drop("text"), embedded_chunks(m.where("status = 'Ready'").select(F.col("id").alias("doc_id"), "text"), **making)
+    chunks, faults = embedded_chunks(m.where("status = 'Ready'").select(F.col("id").alias("doc_id"), "text"), **making)
+    return with_faults(m.drop("text"), faults), chunks
+
+
+def run_messages(messages: DataFrame, registry: DataFrame, chunks: DataFrame, **making) -> tuple[DataFrame, DataFrame]:
+    """``(registry, chunks)`` after taking in text messages; a message the registry knows, in any status, changes nothing."""
+    known = registry.where("generation = 0 and original_path like 'text://%'").select(F.substring("original_path", 8, 1 << 30).alias("task_id"))
+    rows, made = process_messages(messages.join(known, "task_id", "left_anti").select(messages.columns), **making)
+    return registry.unionByName(rows), replace_chunks(chunks, rows.select(F.col("id").alias("doc_id")), made)
 
 
 def summary(results: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.text import is_web_url, preview, scraped_file_name
-from quarry.operators.ingest import document_id, embedded_chunks, replace_chunks, summary
+from quarry.operators.ingest import document_id, embedded_chunks, replace_chunks, summary, with_faults
+from quarry.scratch import materialize
 
 NOT_FOUND = "Content element not found"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -93,6 +94,15 @@ def main_content(html: str | None, selectors: list[Selector]) -> tuple[int | Non
     return rank, "\n".join(reader.texts[a:b])
 
 
+def _content(html: str | None, selectors: list[Selector]) -> tuple[int | None, str | None, str | None]:
+    """As :func:`main_content`, with what went wrong: a page that cannot be read leaves the others alone."""
+    try:
+        rank, text = main_content(html, selectors)
+    except Exception as fault:
+        return None, None, f"{type(fault).__name__}: {fault}"
+    return rank, text, NOT_FOUND if rank is None else None
+
+
 def extract_content(captures: DataFrame, sites: dict[str, list[Selector]], *, site_col: str | None = None, default: str = "default") -> DataFrame:
     """Captures (``url, html``) with ``status`` (ok, error), ``matched`` (selector number), ``content`` and ``error``."""
     rest = [c for c in captures.columns if c != "html"]
@@ -100,15 +110,16 @@ def extract_content(captures: DataFrame, sites: dict[str, list[Selector]], *, si
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [main_content(h, sites.get(s, sites[default])) for h, s in zip(f["html"], f["__site"], strict=True)]
+            found = [_content(h, sites.get(s, sites[default])) for h, s in zip(f["html"], f["__site"], strict=True)]
             out = f[rest].copy()
-            out["matched"] = pd.array([r for r, _ in found], dtype="Int32")
-            out["content"] = [t for _, t in found]
+            out["matched"] = pd.array([r for r, _, _ in found], dtype="Int32")
+            out["content"] = [t for _, t, _ in found]
+            out["error"] = [e for _, _, e in found]
             yield out
 
-    read = rows.mapInPandas(run, rows.select(*rest).schema.add("matched", "integer").add("content", "string"))
-    ok = F.col("matched").isNotNull()
-    return read.withColumns({"status": F.when(ok, "ok").otherwise("error"), "error": F.when(~ok, F.lit(NOT_FOUND))})
+    read = rows.mapInPandas(run, rows.select(*rest).schema.add("matched", "integer").add("content", "string").add("error", "string"))
+    columns = [*rest, "matched", "content", F.when(F.col("matched").isNotNull(), "ok").otherwise("error").alias("status"), "error"]
+    return read.select(*columns)
 
 
 def choose_capture(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -157,9 +168,10 @@ def pages_to_chunks(captures: DataFrame, sites: dict[str, list[Selector]], **mak
     """
     got = extract_content(page_titles(captures.select("url", "html")), sites)
     got = got.groupBy("url").agg(F.min(F.struct(F.col("status") != "ok", "content", "title", "status", "error")).alias("g")).select("url", "g.*")  # captures that worked first
-    got = got.withColumn("id", document_id(F.col("url"), F.lit(0)))
+    got = materialize(got.withColumn("id", document_id(F.col("url"), F.lit(0))), "pages")  # read once for results and chunks
     results = got.select("id", "url", "title", F.when(F.col("status") == "ok", "Ready").otherwise("Failed").alias("status"), F.col("error").alias("error_message"))
-    return results, embedded_chunks(got.where("status = 'ok'").select(F.col("id").alias("doc_id"), F.col("content").alias("text")), **making)
+    chunks, faults = embedded_chunks(got.where("status = 'ok'").select(F.col("id").alias("doc_id"), F.col("content").alias("text")), **making)
+    return with_faults(results, faults), chunks
 
 
 def ingest_pages(captures: DataFrame, sites: dict[str, list[Selector]], registry: DataFrame, chunks: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:

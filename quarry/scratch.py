@@ -10,7 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,18 @@ def release(*tables: DataFrame) -> None:
         drop_path(table.sparkSession, table.scratch_path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end: for jobs that keep nothing but what they write elsewhere."""
+    given = len(_paths)
+    try:
+        yield
+    finally:
+        for path in _paths[given:]:
+            drop_path(spark, path)
+        del _paths[given:]
+
+
 def settle(make: Callable[[], DataFrame], tag: str) -> DataFrame:
     """Write what ``make`` gives, read it back, and delete the tables that were written on the way."""
     given = len(_paths)

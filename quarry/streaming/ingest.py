@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry import schemas
 from quarry.operators.ingest import check_events, ingest_loaded, split_known
+from quarry.scratch import passing
 from quarry.streaming.keylog import KeyedLog
 from quarry.streaming.queue import RETENTION, drop_redelivered
 from quarry.streaming.state import start
@@ -67,15 +68,16 @@ def ingest_stream(events: DataFrame, objects: DataFrame, root: str, bucket: str,
             log.merge(number)
         keys = batch.persist()
         try:
-            there = keys.where("not missing")
-            # known versions go by their keys, before any content is read
-            new, _ = split_known(there, tables.registry.before(number, there, ["path", "generation"]))
-            created = F.lit("1970-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(number).cast("decimal(18,6)"))
-            rows, made, _ = ingest_loaded(with_content(new, objects), created, **making)
-            tables.chunks.write(made, number)
-            gone = keys.where("missing").dropDuplicates(["path", "generation"])
-            tables.rejected.write(gone.select("path", "generation", F.lit("object not found").alias("reason")), number)
-            tables.registry.write(rows, number)
+            with passing(spark):  # what the batch writes on its way goes with it
+                there = keys.where("not missing")
+                # known versions go by their keys, before any content is read
+                new, _ = split_known(there, tables.registry.before(number, there, ["path", "generation"]))
+                created = F.lit("1970-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.lit(number).cast("decimal(18,6)"))
+                rows, made, _ = ingest_loaded(with_content(new, objects), created, **making)
+                tables.chunks.write(made, number)
+                gone = keys.where("missing").dropDuplicates(["path", "generation"])
+                tables.rejected.write(gone.select("path", "generation", F.lit("object not found").alias("reason")), number)
+                tables.registry.write(rows, number)
         finally:
             keys.unpersist()
 

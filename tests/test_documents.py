@@ -115,6 +115,40 @@ def test_embed_checks_width(spark):
         embedding.embed(df, lambda: lambda texts: [[0.0]] * len(texts), width=16).collect()
 
 
+def picky():
+    """A function made here, so that workers need not import this module."""
+
+    def make():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no " + next(t for t in texts if "bad" in t))
+            return [[1.0, 0.0]] * len(texts)
+
+        return model
+
+    return make
+
+
+def test_groups_stay_within_the_budget(spark):
+    assert embedding.token_groups([], 10, 3) == [] and embedding.token_groups([4, 4, 4, 99, 1, 1, 1, 1], 10, 3) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        seen.add(sum(len(t.split()) for t in texts) > 10)
+        return [[0.0]] * len(texts)
+
+    df = spark.createDataFrame([("a b c " * (i % 3 + 1),) for i in range(40)], "text string").coalesce(1)
+    assert embedding.embed(df, lambda: model, width=1, budget=10).count() == 40 and seen.value == 0
+
+
+def test_a_fault_stays_with_its_text(spark):
+    df = spark.createDataFrame([("a",), ("bad 1",), ("b",), ("bad 2",)], "text string").coalesce(1)
+    rows = embedding.embed(df, picky(), width=2, errors=True).collect()
+    assert [(r.text, r.embedding, r.error) for r in rows] == [("a", [1.0, 0.0], None), ("bad 1", None, "RuntimeError: no bad 1"), ("b", [1.0, 0.0], None), ("bad 2", None, "RuntimeError: no bad 2")]
+    with pytest.raises(Exception, match="no bad 1"):
+        embedding.embed(df, picky(), width=2).collect()
+
+
 def test_event_checks(spark):
     ok = '{"bucket":"b","name":"n","generation":%s}'
     cases = {
@@ -152,6 +186,26 @@ def test_batch_ingest_and_rerun(spark):
     assert sorted(map(str, again[0].collect())) == sorted(map(str, reg.collect())) and sorted(map(str, again[1].collect())) == sorted(map(str, chunks.collect()))
 
 
+def test_embedding_faults_fail_their_document_only(spark):
+    objs = objects(spark, [("g/a.txt", 1, {}, "fine text here", None, None), ("g/b.txt", 1, {}, "one two bad three", None, None), ("g/c.bin", 1, {}, None, None, None)])
+    old = spark.createDataFrame([], schemas.REGISTRY), spark.createDataFrame([], schemas.CHUNKS)
+    reg, chunks, results = ingest.run_batch(objs, *old, now(), max_tokens=2, overlap=0, embedder=picky(), width=2)
+    assert sorted((r.original_path, r.status, r.error_message) for r in reg.collect()) == [("g/a.txt", "Ready", None), ("g/b.txt", "Failed", "RuntimeError: no  bad three"), ("g/c.bin", "Failed", "ValueError: Unsupported file type: .bin")]
+    assert sorted(r.text for r in chunks.collect()) == [" here", "fine text"] and tuple(ingest.summary(results, chunks).first()) == (1, 2, 2)
+
+
+def test_messages_again_change_nothing(spark):
+    kind = "task_id string, title string, content string, ts timestamp"
+    old = spark.createDataFrame([], schemas.REGISTRY), spark.createDataFrame([], schemas.CHUNKS)
+    m = spark.createDataFrame([("1", None, "some text", None), ("2", "T", "", None), ("3", "B", "a bad one", None)], kind)
+    reg, chunks = ingest.run_messages(m, *old, embedder=picky(), width=2)
+    assert sorted((r.original_path, r.status, r.error_message) for r in reg.collect()) == [("text://1", "Ready", None), ("text://2", "Failed", "No content provided"), ("text://3", "Failed", "RuntimeError: no a bad one")]
+    more = spark.createDataFrame([("1", None, "other", None), ("2", "T", "now with text", None), ("4", None, "x", None)], kind)
+    reg2, chunks2 = ingest.run_messages(more, reg, chunks, embedder=picky(), width=2)
+    assert {r.original_path: r.status for r in reg2.collect()} == {"text://1": "Ready", "text://2": "Failed", "text://3": "Failed", "text://4": "Ready"}
+    assert sorted(r.text for r in chunks2.collect()) == ["some text", "x"]
+
+
 def test_failures_touch_registered_rows_only(spark):
     reg = spark.createDataFrame([("1", "f", "p", None, 1, None, "Processing", None)], schemas.REGISTRY)
     out = ingest.apply_results(reg, spark.createDataFrame([("1", "Failed", "E: m", None), ("2", "Failed", "E: n", None)], "id string, status string, error_message string, processed_path string"))

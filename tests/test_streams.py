@@ -76,6 +76,21 @@ def test_only_accepted_events_use_up_a_key(spark, tmp_path):
     assert made.chunks.read().count() == 3 and made.rejected.read().count() == 0
 
 
+def test_embedding_faults_of_a_stream(spark, tmp_path):
+    def picky():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[1.0]] * len(texts)
+
+        return model
+
+    objects = spark.createDataFrame([("a.txt", 1, {}, "fine", None, None), ("b.txt", 1, {}, "one two bad", None, None)], KIND)
+    made = ran(spark, tmp_path, [[(said("a.txt", 1), T0), (said("b.txt", 1), T0)]], [objects], embedder=picky, width=1)
+    assert sorted((r.original_path, r.status, r.error_message) for r in made.registry.read().collect()) == [("gs://raw/a.txt", "Ready", None), ("gs://raw/b.txt", "Failed", "RuntimeError: no")]
+    assert [r.text for r in made.chunks.read().collect()] == ["fine"]
+
+
 def test_object_that_comes_later(spark, tmp_path):
     none = spark.createDataFrame([], KIND)
     there = spark.createDataFrame([("a.txt", 1, {}, "one", None, None)], KIND)
