@@ -12,10 +12,12 @@ among the pieces of their length, in tasks of bounded size.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from struct import pack as packed_ids
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,16 @@ Packing = list[tuple[tuple[int, ...], int]]
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 13, 32]] = True
-_HELD = 1 << 18
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PROBES = ("word", "Word", "ÉTÉ", "naïveté", "x", "Straße", "unbelievable")
+# how byte-level vocabularies write bytes: printable Latin-1 as it is, the others from 256 on
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+_BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_ENDING = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?]+)", re.DOTALL)
+_HELD = 3 << 17
+BLOCK = 4 << 20
 #: Fillings kept for one sequence, completions of the whole search, and ranks of a length in a task.
-FILLINGS, STEPS, RANKS = 6, 4_000, 50_000
+FILLINGS, STEPS, RANKS = 6, 4_000, 1_000
 
 
 @lru_cache(maxsize=2)
@@ -43,32 +52,94 @@ def _tokenizer(path: str):
 
 
 class _Ids:
-    """Token ids of words between white space, worked out once for each distinct word a task holds."""
+    """Token ids (little-endian, 32 bits each) of words between white space.
+
+    A worker process encodes a word once as long as it stands among the last few
+    hundred thousand. ASCII punctuation behind an ASCII letter or digit is a
+    token by itself in a vocabulary that splits letters, digits and the rest, so
+    it is looked up apart from the word before it.
+    """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.whole, self.new, self.old = _tokenizer(path), {}, {}
+        self.model = self.whole.model
+        # letters alone may go to the model itself if the file says no more about them than case and bytes
+        self.plain = all(self._of_model(w.lower()) == np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in _PROBES)
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.new.get, words))
+        late = [i for i, ids in enumerate(found) if ids is None]
+        split = {}
+        for i in late:
+            if (ids := self.old.get(words[i])) is None:
+                m = _ENDING.fullmatch(words[i])
+                split[i] = (m[1], m[2]) if m else (words[i],)
+            else:
+                self.new[words[i]] = found[i] = ids
+        missing = []
+        for part in {part: None for parts in split.values() for part in parts}:
+            if part not in self.new:
+                if part in self.old:
+                    self.new[part] = self.old[part]
+                else:
+                    missing.append(part)
+        for a in range(0, len(missing), 4096):
+            self._encode(missing[a : a + 4096])
+        for i, parts in split.items():
+            if len(parts) == 2:
+                self.new[words[i]] = self.new[parts[0]] + self.new[parts[1]]
+            found[i] = self.new[words[i]]
+        if len(self.new) > _HELD:
+            self.new, self.old = {}, self.new
+        return found
+
+    def _encode(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        rest = []
+        for word, text in zip(words, texts, strict=True):
+            if self.plain and _PLAIN.fullmatch(text):
+                low = text.lower()
+                key = low.encode()
+                if key not in self.new:
+                    self.new[key] = self._of_model(low)
+                self.new[word] = self.new[key]
+            else:
+                rest.append((word, text))
+        if rest:
+            self._encode_text(*zip(*rest, strict=True))
+
+    def _of_model(self, low: str) -> bytes:
+        """A word of lower-case Latin letters: one piece of text for the model, its bytes written as characters."""
+        found = self.model.tokenize(low.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
+        return packed_ids(f"<{len(found)}I", *[t.id for t in found])
+
+    def _encode_text(self, words: tuple[bytes, ...], texts: tuple[str, ...]) -> None:
+        """All words in one text; a token belongs to the word it starts in."""
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        code = self.whole.encode(" ".join(texts), add_special_tokens=False)
+        at = np.fromiter((a for a, _ in code.offsets), dtype=np.int64, count=len(code.ids))
+        count = np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(words))
+        stop = np.cumsum(count) * 4
+        raw = np.array(code.ids, dtype="<u4").tobytes()
+        self.new.update((w, raw[a:b]) for w, a, b in zip(words, (stop - count * 4).tolist(), stop.tolist(), strict=True))
 
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > _HELD:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        if new:
-            codes = _tokenizer(self.path).encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(c.ids, dtype="<u4") for c in codes), strict=True))
-        return [self.known[w] for w in words]
+
+@lru_cache(maxsize=2)
+def _ids(path: str) -> _Ids:
+    return _Ids(path)
 
 
 def _tokens(column: pa.Array, ids: _Ids, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows one after another, each row closed by ``end``, and row offsets into them."""
     flat, sizes = [], np.zeros(len(column), dtype=np.int64)
-    for block in blocks(column, ~SPACE, SPACE, fold=False, limit=1 << 20):
+    for block in blocks(column, ~SPACE, SPACE, fold=False, limit=BLOCK):
         known = ids.of(block.words)
-        length = np.array([len(x) for x in known], dtype=np.int64)
+        length = np.array([len(x) // 4 for x in known], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(length)])
         own = length[block.code]
         stop = np.cumsum(own)
-        at = np.arange(stop[-1]) - np.repeat(stop - own, own) + np.repeat(first[block.code], own)
-        flat.append(np.concatenate(known)[at] if len(at) else np.zeros(0, dtype="<u4"))
+        at = np.arange(stop[-1]) + np.repeat(first[block.code] - stop + own, own)
+        flat.append(np.frombuffer(b"".join(known), dtype="<u4")[at])
         sizes += np.bincount(block.row, weights=own, minlength=len(column)).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
     out = np.full(offsets[-1], end, dtype="<u4")
@@ -84,8 +155,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end: int =
     A document is the ids that the library gives for ``tokenizer``, without
     added special tokens, then ``end``. Only documents of more than ``capacity``
     ids are cut, into pieces of that length, the last one shorter. The
-    vocabulary must drop white space, as then words between it are encoded by
-    themselves: each distinct word of a task is encoded once. Texts are read in
+    vocabulary must drop white space and keep letters, digits and other characters
+    apart, as then words are encoded by themselves, each distinct one of a task
+    about once. Texts are read in
     blocks. A null text is empty; null ids and repeated rows are documents like
     any other.
     """
@@ -94,9 +166,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = _Ids(tokenizer)
+        known = _ids(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 ids, at = _tokens(part.column("text"), known, end)
                 size = np.diff(at)
                 n = -(-size // capacity)
