@@ -50,13 +50,15 @@ def _repeated(rows: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows whose language is recognised; texts of a word or two that several languages share stay too.
 
-    A null text, or one without a letter, goes. Repeated rows are judged alike
-    and all stay or go. Without any labelled row no language is known and all go.
+    A null text, or one without a letter, goes, and one that costs its likeliest
+    language more than the eight bits a byte that it costs without any model: it
+    is in none of the languages learned. Repeated rows are judged alike and all
+    stay or go. Without any labelled row no language is known and all go.
     """
     model = ppm.train_packed(docs)
     plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
-    found = ppm.predict(docs.withColumnsRenamed(plain), model, text_col=plain["text"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(*[F.col(p).alias(c) for c, p in plain.items()])
+    found = ppm.predict(docs.withColumnsRenamed(plain), model, text_col=plain["text"], with_bits=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3) & (F.col("bits_per_byte") <= ppm.NO_MODEL)).select(*[F.col(p).alias(c) for c, p in plain.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

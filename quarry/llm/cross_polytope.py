@@ -126,7 +126,10 @@ def search(vectors: DataFrame, is_query: str, *, k: int = 20, tables: int = 12,
     bucket and its rows are split into blocks of bounded size. Vectors that are
     null, zero, hold a null or a non-finite component, or have another length
     than most rows, and rows with a null id take no part. Repeated rows count
-    once; further columns are ignored; an empty table gives no rows.
+    once. An id is one vector: where rows of an id differ, the smallest of their
+    vectors (by its components in order) stands for it, as query and as
+    candidate. Rows whose norms differ by more than a thousandth get a further
+    axis, so that the largest inner products are the nearest directions; further columns are ignored; an empty table gives no rows.
     """
     good = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.expr(is_query).alias("asks"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -139,6 +142,11 @@ def search(vectors: DataFrame, is_query: str, *, k: int = 20, tables: int = 12,
     dim = sizes["dim"]
     top = sizes["high"] if sizes["high"] > 1.001 * sizes["low"] else None
     good = good.where(F.size("embedding") == dim)
+    named = good.select("id", F.xxhash64("embedding").alias("h")).distinct().groupBy("id").count().where("count > 1").select("id")
+    named = materialize(named, "ambiguous")
+    if not named.isEmpty():
+        one = good.join(named, "id", "left_semi").groupBy("id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks"))
+        good = good.join(named, "id", "left_anti").unionByName(one)
     axes = 2 << max(0, dim - 1 + (top is not None)).bit_length()
     probes = min(axes, probes)
 

@@ -154,20 +154,24 @@ def _gram_counts(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return np.unique(keys[whole], return_counts=True)
 
 
-def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, bytes_per_language: int = 4 << 20, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], int, DataFrame | None]:
+def _counts(rows: DataFrame, *, order: int = 4, docs_per_language: int = 1000, bytes_per_language: int = 4 << 20, most_languages: int = 256, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], int, DataFrame | None]:
     """Languages, order and counts ``lang, k, gram, n`` of a bounded sample of labelled rows.
 
     The bounds hold for each language by itself: ``docs_per_language`` whole
     texts of ``bytes_per_language`` together, taken by the smallest hash of id
     and text; a language of longer texts only gives one. All that the sample
-    holds is counted. Rows with a null text or language are left out; without
-    any the model knows no language.
+    holds is counted. Learned are the ``most_languages`` labels with most rows
+    (equal ones by name), so that a column with very many dirty labels makes no
+    larger model. Rows with a null text or language are left out; without any
+    the model knows no language.
     """
     d = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # one row per language
+    common = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    n = {r.lang: r["count"] for r in common.collect()}
     languages = sorted(n)
     if not languages:
         return [], order, None
+    d = d.where(F.col("lang").isin(languages))
     # a share of each language by hash first, a little too many, so that the exact cut sees a small table only
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, (1.5 * docs_per_language + 50) / n[lang]))])
     place = (F.xxhash64("id", "text").cast("double") / 2.0**64) + 0.5
@@ -242,38 +246,51 @@ def train(rows: DataFrame, **bounds) -> Model:
     return unpack(train_packed(rows, **bounds))
 
 
-def predict(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFrame:
+#: What a byte costs without any model. A text that costs its best language more is not written in it.
+NO_MODEL = 8.0
+
+
+def predict(docs: DataFrame, model: bytes, *, text_col: str = "text", with_bits: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` under a packed model.
 
     The whole text is scored. ``score`` is the share of the winner when each
     language weighs two to the power of minus its code length; ties go to the
     language first in order. A null text, or one without a letter, or a model
-    without languages gives ``und`` with score 0. Columns of these names in
+    without languages gives ``und`` with score 0. The score compares known
+    languages only: a text in none of them has a winner too. ``with_bits`` adds
+    ``bits_per_byte``, the winner's code length, which tells such texts (see
+    ``NO_MODEL``). Columns of these names in
     ``docs``, in any case, are replaced; no other column is looked at. Every row
     gives a row, repeats too; an empty table gives none.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by the sample of each language
     name = hashlib.blake2b(model, digest_size=16).digest()
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    new = ["lang_pred", "score", *(["bits_per_byte"] if with_bits else [])]
+    rest = [c for c in docs.columns if c.lower() not in new]
     asked = docs.select(*rest, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _held(sent.value, name)
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
-                langs, score = ["und"] * len(part), np.zeros(len(part))
+                langs, score, each = ["und"] * len(part), np.zeros(len(part)), np.zeros(len(part))
                 ask = part.column("__letters").to_pylist()
                 if m.languages and any(ask):
-                    bits = m.score(*utf8(part.column(text_col)))
+                    data, offsets = utf8(part.column(text_col))
+                    bits = m.score(data, offsets)
+                    each = bits.min(axis=1) / np.maximum(np.diff(offsets), 1)
                     best = bits.argmin(axis=1)
                     weight = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                     langs = [m.languages[b] if a else "und" for a, b in zip(ask, best.tolist(), strict=True)]
                     score = np.where(ask, 1 / weight, 0.0)
                 kept = [part.column(c) for c in rest]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
+                made = [pa.array(langs, pa.string()), pa.array(score), pa.array(each)]
+                yield pa.RecordBatch.from_arrays([*kept, *made[: len(new)]], [*rest, *new])
 
     schema = asked.drop("__letters").schema.add("lang_pred", "string").add("score", "double")
+    if with_bits:
+        schema = schema.add("bits_per_byte", "double")
     return asked.mapInArrow(run, schema)
 
 

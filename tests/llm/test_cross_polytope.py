@@ -95,6 +95,19 @@ def test_bad_vectors_repeats_empty(spark):
     assert cp.search(df.limit(0), ASKS).count() == 0
 
 
+def test_an_id_with_several_vectors_is_its_smallest(spark):
+    """As query (20) and as candidate (29, 3); no id is ranked twice."""
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=4).astype(np.float32).tolist(), i) for i in range(60)]
+    more = [(29, [9.0, 9.0, 9.0, 9.0], 1), (20, [-50.0, 0.0, 0.0, 1.0], 1), (3, rows[29][1], 1), (3, [8.0, 0.0, 0.0, 0.0], 1)]
+    one = {}
+    for i, v, _ in rows + more:
+        one[i] = min(one.get(i, v), v)
+    found = got(cp.search(spark.createDataFrame(rows + more, SCHEMA), ASKS))
+    assert found == brute([(i, v, 0) for i, v in one.items()])
+    assert all(len({i for i, _ in hits}) == len(hits) for hits in found.values())
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 50))
     y = cp.rotate(x, 3, 1)

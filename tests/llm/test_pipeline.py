@@ -30,6 +30,13 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert all(r.taken == r.size * r.times > 0 and r.text == rows[r.doc_id] for r in mixed)
 
 
+def test_texts_of_no_known_language_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(-i, t, None, None, len(t)) for i, t in enumerate(["zzz qqq xxxx", "\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8", "\u041f\u0440\u0438\u0432\u0435\u0442 \u043a\u0430\u043a \u0434\u0435\u043b\u0430"], 1)]
+    kept = cp.language_id(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), sf_dir)
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() == cp.language_id(spark, docs, sf_dir).count()
+
+
 def test_run_chains_the_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in cp.STAGES:

@@ -113,3 +113,17 @@ def test_nulls_repeats_clashes_empty(spark):
     assert ppm.predict(df.limit(0), empty).count() == 0
     odd = df.withColumnsRenamed({"score": "Score"}).withColumn("LANG_PRED", F.lit("x"))
     assert ppm.predict(odd, ppm.train_packed(df)).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
+def test_labels_are_bounded(spark):
+    rows = [(i, "the same words " * 3, "en") for i in range(9)] + [(100 + i, "die gleichen worte " * 3, "de") for i in range(5)] + [(200 + i, "x", f"dirty {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert ppm.train(df, most_languages=3).languages == ["de", "dirty 0", "en"]
+
+
+def test_texts_of_no_known_language_cost_more_than_bytes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = ppm.train_packed(docs)
+    odd = spark.createDataFrame([("zzz qqq xxxx",), ("\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8",), ("\u041f\u0440\u0438\u0432\u0435\u0442 \u043a\u0430\u043a \u0434\u0435\u043b\u0430",)], "text string")
+    assert all(r.bits_per_byte > ppm.NO_MODEL for r in ppm.predict(odd, model, with_bits=True).collect())
+    assert ppm.predict(docs, model, with_bits=True).where(F.col("bits_per_byte") > ppm.NO_MODEL).count() == 0
