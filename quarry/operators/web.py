@@ -174,6 +174,14 @@ def pages_to_chunks(captures: DataFrame, sites: dict[str, list[Selector]], **mak
     return with_faults(results, faults), chunks
 
 
+def registry_rows(results: DataFrame, created_at: Column) -> DataFrame:
+    """Registry rows of pages from their :func:`pages_to_chunks` results."""
+    return results.select(
+        "id", F.coalesce("title", "url").alias("filename"), F.col("url").alias("original_path"), F.lit(None).cast("string").alias("processed_path"),
+        F.lit(0).cast("long").alias("generation"), created_at.alias("created_at"), "status", "error_message",
+    )
+
+
 def ingest_pages(captures: DataFrame, sites: dict[str, list[Selector]], registry: DataFrame, chunks: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(registry, chunks, summary)`` after taking in captured pages; pages the registry knows are skipped.
 
@@ -181,9 +189,6 @@ def ingest_pages(captures: DataFrame, sites: dict[str, list[Selector]], registry
     """
     known = registry.where("generation = 0").select(F.col("original_path").alias("url")).distinct()
     results, made = pages_to_chunks(captures.join(known, "url", "left_anti"), sites, **making)
-    rows = results.select(
-        "id", F.coalesce("title", "url").alias("filename"), F.col("url").alias("original_path"), F.lit(None).cast("string").alias("processed_path"),
-        F.lit(0).cast("long").alias("generation"), created_at.alias("created_at"), "status", "error_message",
-    )
+    rows = registry_rows(results, created_at)
     ready = results.where("status = 'Ready'").select(F.col("id").alias("doc_id"))
     return registry.unionByName(rows), replace_chunks(chunks, ready, made), summary(results, made)

@@ -9,7 +9,7 @@ from quarry.functions import text as tx
 from quarry.operators import web
 from quarry.plans.documents import EPOCH, PLACES, TOK, _places_sql
 from quarry.scratch import scratch_path
-from quarry.streaming import queue
+from quarry.streaming import queue, tasks
 
 SITES = {"default": web.site(".main-content"), "titles": web.site("h1", [])}
 
@@ -102,6 +102,26 @@ def t1_t2_routes(spark, sf_dir):
     return r.select("event_id", F.coalesce("task_id", F.lit("")).alias("task_id"), "route", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.element_at("attributes", "k"), F.lit("")).alias("k"))
 
 
+def t2_tasks_to_chunks(spark, sf_dir):
+    """Texts and lists of urls as queue messages, delivered in two runs of a stream, the second with all again: each task's status, and all chunks."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    said = F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("task_id"), F.when(F.col("doc_id") % 9 == 0, "odd").otherwise("text_processing").alias("task_type"), F.struct("content").alias("input_data")))
+    lists = captures(spark, sf_dir).groupBy((F.col("page_id") % 20).alias("no")).agg(F.collect_list("url").alias("urls"))
+    listed = F.concat("urls", F.array(F.concat(F.lit("https://gone.example/"), "no")))
+    asked = lists.select(F.to_json(F.struct(F.concat(F.lit("p"), "no").alias("task_id"), F.lit("url_processing").alias("task_type"), F.struct(listed.alias("urls")).alias("input_data"))).alias("body"))
+    at, root = F.lit("2024-01-01").cast("timestamp").alias("ts"), scratch_path(spark, "tasks")
+    wrapped = F.concat(F.lit('{"message":{"data":"'), F.base64(F.encode("body", "UTF-8")), F.lit('"}}'))
+    for part, body in enumerate((d.select(said.alias("body")), d.select(said.alias("body")).unionByName(asked))):
+        body.select(wrapped.alias("value"), at).write.parquet(f"{root}/in/part={part}")
+        messages = spark.readStream.schema("value string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        tasks.task_stream(messages, captures(spark, sf_dir), SITES, f"{root}/out", buckets=8).awaitTermination()
+    made = tasks.TaskTables.at(spark, f"{root}/out", buckets=8)
+    last = F.struct("batch", "seq")
+    status = made.status.read().groupBy("task_id").agg(*[F.coalesce(F.max_by(c, last), F.lit("")).alias(c) for c in ("status", "error", "result")])
+    n = made.chunks.read().agg(F.lit("chunks").alias("task_id"), F.lit("").alias("status"), F.lit("").alias("error"), F.count("*").cast("string").alias("result"))
+    return status.unionByName(n)
+
+
 def t3_current_status(spark, sf_dir):
     return queue.current_status(updates(spark, sf_dir)).select("task_id", "status", F.coalesce("error", F.lit("")).alias("error"))
 
@@ -125,7 +145,7 @@ def t6_dead_letters_written(spark, sf_dir):
     return spark.read.schema(dead.schema).json(f"{root}/letters")
 
 
-QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, h4_summary, t6_dead_letters_written, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t3_current_status, t4_drop_redelivered, t5_dead_letters)}
+QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, h4_summary, t6_dead_letters_written, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t2_tasks_to_chunks, t3_current_status, t4_drop_redelivered, t5_dead_letters)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -163,6 +183,12 @@ ORACLES = {
       CASE WHEN event_id % 10 = 0 THEN 'none' WHEN event_id % 4 = 0 THEN 'urls' WHEN event_id % 4 = 1 THEN 'text' ELSE 'none' END AS route,
       CASE WHEN event_id % 10 = 0 THEN 'invalid message' WHEN event_id % 4 = 2 THEN 'file_processing is not yet implemented' WHEN event_id % 4 = 3 THEN 'unknown task type: odd' ELSE '' END AS error,
       CASE WHEN event_id % 10 = 0 OR event_id % 3 = 0 THEN '' ELSE 'v' END AS k FROM events""",
+    "t2_tasks_to_chunks": f"""WITH d AS (SELECT 'd' || doc_id AS task_id, doc_id % 9 = 0 AS odd, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), {TOK})) AS n FROM documents),
+      u AS (SELECT DISTINCT page_id % 20 AS no, url FROM pages), p AS (SELECT url, max(len(regexp_extract_all({_ARTICLE}, {TOK}))) AS n FROM pages GROUP BY url),
+      c AS (SELECT n FROM d WHERE NOT odd UNION ALL SELECT n FROM p)
+      SELECT task_id, CASE WHEN odd OR text = '' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN odd THEN 'unknown task type: odd' WHEN text = '' THEN 'No content provided' ELSE '' END AS error, '' AS result FROM d
+      UNION ALL SELECT 'p' || no, 'completed', '', '{{"processed_count":' || count(*) || ',"failed_count":1}}' FROM u GROUP BY no
+      UNION ALL SELECT 'chunks', '', '', CAST(CAST(sum(CASE WHEN n = 0 THEN 0 WHEN n <= 800 THEN 1 ELSE 1 + ceil((n - 800) / 600.0) END) AS BIGINT) AS VARCHAR) FROM c""",
     "t3_current_status": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
       SELECT user_id AS task_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('click', 'purchase') THEN 'completed' ELSE 'processing' END AS status, CASE WHEN event_type = 'error' THEN 'error ' || event_id ELSE '' END AS error FROM l WHERE r = 1""",
     "t4_drop_redelivered": "SELECT DISTINCT 'u' || user_id AS path, event_type AS generation FROM events",

@@ -18,6 +18,7 @@ OBJECTS = _struct("bucket string, name string, generation long, metadata strings
 REGISTRY = _struct("id string, filename string, original_path string, processed_path string, generation long, created_at timestamp, status string, error_message string")
 CHUNKS = _struct("doc_id string, chunk_index int, text string, embedding floats")
 REJECTED = _struct("path string, generation long, reason string")
+STATUS = _struct("task_id string, status string, error string, result string, ts timestamp, seq long")
 COORDINATES = _struct("chunk_id long, x double, y double, z double")
 PAGES = _struct("page int, header string, body string")
 PAGE_ARRAY = T.ArrayType(PAGES)

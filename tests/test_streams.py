@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.operators import ingest
+from quarry.operators import ingest, web
 from quarry.sources.versions import Versions
-from quarry.streaming import ingest as stream, queue, state
+from quarry.streaming import ingest as stream, queue, state, tasks
 from quarry.streaming.keylog import KeyedLog
 
 T0 = datetime(2024, 1, 1)
@@ -206,3 +206,29 @@ def test_routes_reach_handlers(spark, tmp_path):
     handlers = {"text": lambda df, n: seen.append(("text", [r.task_id for r in df.collect()])), "urls": lambda df, n: seen.append(("urls", [r.task_id for r in df.collect()]))}
     queue.run_routes(queue.route(queue.decode(src)), handlers, str(tmp_path / "cp")).awaitTermination()
     assert seen == [("text", ["1"]), ("urls", ["2"])]
+
+
+def test_task_stream_equals_batch(spark, tmp_path):
+    """Texts, urls, odd and broken tasks, redelivered ones among them: registry, chunks and status are those of one batch."""
+    say = lambda task, kind, **data: json.dumps({"task_id": task, "task_type": kind, "input_data": data})
+    page = lambda body: f"<html><title>T</title><article>{body}</article></html>"
+    captures = spark.createDataFrame([("http://a/1", page("one two three")), ("http://a/2", "<p>no content</p>"), ("http://a/3", page("x")), ("http://a/9", page("nobody asks"))], "url string, html string")
+    sites = {"default": web.site(".main-content", [("article", "", "")])}
+    first = [say("t1", "text_processing", content="a b c", title="Mine"), say("t2", "text_processing"), say("u1", "url_processing", urls=["http://a/1", " http://a/2 ", "http://gone/"]), "{broken"]
+    second = [say("t1", "text_processing", content="other"), say("t2", "text_processing", content="late"), say("u1", "url_processing", urls=["http://a/1", "http://a/2", "http://gone/"]), say("u2", "url_processing", urls=["http://a/1", "http://a/3"]), say("f", "file_processing"), say("u3", "url_processing")]
+    given = {"max_tokens": 2, "overlap": 0, "width": 4}
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame([(v, T0 + timedelta(minutes=i)) for v in rows], EVENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        messages = spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        tasks.task_stream(messages, captures, sites, str(tmp_path / "out"), buckets=4, merge_after=1, **given).awaitTermination()
+    made = tasks.TaskTables.at(spark, str(tmp_path / "out"), buckets=4)
+    flat = spark.createDataFrame([(v, T0) for v in first + second[3:]], EVENT)
+    rows, chunks, status = tasks.take_in(queue.route(queue.decode(flat)), captures, sites, spark.createDataFrame([], schemas.REGISTRY), **given)
+    pick = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    assert pick(made.registry.read(), "original_path", "filename", "status", "error_message") == pick(rows, "original_path", "filename", "status", "error_message")
+    assert pick(made.chunks.read(), "doc_id", "chunk_index", "text") == pick(chunks, "doc_id", "chunk_index", "text")
+    now = pick(queue.current_status(made.status.read()), "task_id", "status", "error")
+    assert now == pick(queue.current_status(status), "task_id", "status", "error")
+    assert now == [("f", "failed", "file_processing is not yet implemented"), ("t1", "completed", None), ("t2", "failed", "No content provided"), ("u1", "completed", None), ("u2", "completed", None), ("u3", "completed", None)]
+    counts = {r.task_id: r.result for r in made.status.read().where("seq = 1 and result is not null").collect()}
+    assert counts == {"u1": '{"processed_count":1,"failed_count":2}', "u2": '{"processed_count":2,"failed_count":0}', "u3": '{"processed_count":0,"failed_count":0}'}
