@@ -2,29 +2,83 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry import schemas
 from quarry.functions.text import decode_bytes, embedding_from_text, embedding_to_text
 from quarry.operators.web import saved_pages
+from quarry.scratch import materialize
 from quarry.sources.versions import Versions
 
 
-def read_objects(spark: SparkSession, root: str, manifest: DataFrame, *, glob: str = "*") -> tuple[DataFrame, DataFrame]:
+def store(root: str):
+    """The file system of ``root`` and the folder in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1) if ":" in root else f"file://{root}")
+
+
+def find_objects(root: str, manifest: DataFrame) -> DataFrame:
+    """``manifest(path, generation, metadata)`` with ``file`` and ``size`` of each object below ``root``; null where there is none.
+
+    A generation's own bytes lie under ``{path}#{generation}``; without such a
+    file the object has one version only, under its path. Only the named files
+    are looked at, none is opened.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = store(root)
+        for batch in batches:
+            asked = [f"{base}/{p}{mark}" for p, g in zip(batch.column("path").to_pylist(), batch.column("generation").to_pylist(), strict=True) for mark in (f"#{g}", "")]
+            infos = files.get_file_info(asked)
+            found = [next((i for i in pair if i.is_file), None) for pair in zip(infos[::2], infos[1::2], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([i and i.path for i in found], pa.string()), pa.array([i and i.size for i in found], pa.int64())], [*batch.schema.names, "file", "size"])
+
+    rows = manifest.select("path", "generation", "metadata")
+    return rows.mapInArrow(look, rows.select("*").schema.add("file", "string").add("size", "long"))
+
+
+def read_pieces(root: str, found: DataFrame, piece_bytes: int = 8 << 20) -> DataFrame:
+    """The bytes of :func:`find_objects` rows in ranges: ``path, generation, metadata, size, piece, content``.
+
+    Pieces are dealt to tasks one by one, so a task reads about as much as the
+    next however large single objects are. An empty object is one empty piece.
+    """
+    rows = found.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.call_function("div", F.col("size") - 1, F.lit(piece_bytes)), F.lit(0)).cast("int"))).alias("piece"))
+    rows = rows.repartition(F.xxhash64("path", "generation", "piece"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = store(root)
+        for batch in batches:
+            for i in range(len(batch)):  # a piece at a time is held
+                row = batch.slice(i, 1)
+                with files.open_input_file(row.column("file")[0].as_py()) as file:
+                    file.seek(row.column("piece")[0].as_py() * piece_bytes)
+                    content = file.read(piece_bytes)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], [*row.schema.names, "content"])
+
+    return rows.mapInArrow(read, rows.select("*").schema.add("content", "binary")).drop("file")
+
+
+def read_objects(spark: SparkSession, root: str, manifest: DataFrame, *, piece_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """``(objects, rejected)`` of ``manifest(path, generation, metadata)``, paths relative to ``root``.
 
-    A path is kept with its bytes for each generation asked for; what does not
-    exist is rejected with a reason and must not be registered.
+    Each generation comes with its own ``content`` (see :func:`find_objects`).
+    Only files that the manifest names are opened. Bytes go through a shuffle
+    for objects of several pieces only. What does not exist is rejected with a
+    reason and must not be registered.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    place = "^[A-Za-z0-9]+:(//[^/]*)?"  # scheme and host, with which stores may or may not name their files
-    base = re.sub(place, "", root.rstrip("/"))
-    files = files.select(F.regexp_replace(F.regexp_replace("path", place, ""), f"^\\Q{base}\\E/", "").alias("path"), "content", "length")
-    found = manifest.join(files, "path")
-    rejected = manifest.join(files.select("path"), "path", "left_anti").withColumn("reason", F.lit("object not found"))
-    return found, rejected
+    at = materialize(find_objects(root, manifest), "objects-found")
+    columns = ["path", "generation", "metadata", "content", F.col("size").alias("length")]
+    whole = read_pieces(root, at.where(F.col("size") <= piece_bytes), piece_bytes).select(*columns)
+    parts = read_pieces(root, at.where(F.col("size") > piece_bytes), piece_bytes)
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("piece", "content"))), F.lit(b""), lambda s, p: F.concat(s, p.content))
+    long = parts.groupBy("path", "generation").agg(F.first("metadata").alias("metadata"), joined.alias("content"), F.first("size").alias("size"))
+    rejected = at.where("size is null").select("path", "generation", "metadata", F.lit("object not found").alias("reason"))
+    return whole.unionByName(long.select(*columns)), rejected
 
 
 def with_text(objects: DataFrame) -> DataFrame:

@@ -5,15 +5,21 @@ Every function takes a batch or a streaming DataFrame alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.sources.tables import store
 from quarry.streaming import state
 
 ATTEMPTS = 5
 RETENTION = timedelta(days=7)
+ROLL_BYTES = 10 << 20
 
 
 def decode(messages: DataFrame, value_col: str = "value") -> DataFrame:
@@ -76,10 +82,58 @@ def dead_letters(deliveries: DataFrame, *, key: str = "task_id", attempts: int =
     return state.dead_letters(deliveries, key, attempts, retention)
 
 
-def write_dead_letters(dead: DataFrame, path: str, checkpoint: str, *, every: str | None = "300 seconds", rows_per_file: int = 10_000):
-    """Stream dead letters to JSON files, one roll every ``every`` (None: all that is there, then stop)."""
-    w = dead.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", rows_per_file)
-    return state.start(w, dead.sparkSession, every)
+def roll_json(rows: DataFrame, folder: str, name: str, *, suffix: str = ".json", most_bytes: int = ROLL_BYTES) -> DataFrame:
+    """Write ``rows`` as JSON lines to files ``{name}-{partition}-{number}{suffix}`` and give ``file, n_rows, n_bytes``.
+
+    A file ends before the line that would take it over ``most_bytes``; only a
+    longer line makes a longer file. Files are written under another name and
+    moved when they are whole, so a task that is run again replaces its own.
+    The rows are written when the result is asked for.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = store(folder)
+        files.create_dir(base, recursive=True)
+        part, number, sink, size, lines = TaskContext.get().partitionId(), 0, None, 0, 0
+        held = f"{base}/.{name}-{part}-{uuid.uuid4().hex}"
+        done = []
+
+        def close() -> None:
+            nonlocal sink, size, lines, number
+            sink.close()
+            final = f"{name}-{part:05d}-{number:05d}{suffix}"
+            files.move(held, f"{base}/{final}")
+            done.append((final, lines, size))
+            sink, size, lines, number = None, 0, 0, number + 1
+
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                raw = line.encode() + b"\n"
+                if sink is not None and size + len(raw) > most_bytes:
+                    close()
+                sink = sink or files.open_output_stream(held, compression=None)
+                sink.write(raw)
+                size, lines = size + len(raw), lines + 1
+        if sink is not None:
+            close()
+        yield pa.RecordBatch.from_pylist([{"file": f, "n_rows": n, "n_bytes": b} for f, n, b in done], schema=pa.schema([("file", pa.string()), ("n_rows", pa.int64()), ("n_bytes", pa.int64())]))
+
+    return rows.select(F.to_json(F.struct("*")).alias("line")).mapInArrow(write, "file string, n_rows long, n_bytes long")
+
+
+def write_dead_letters(dead: DataFrame, path: str, checkpoint: str, *, every: str | None = "300 seconds", prefix: str = "dead-letters", suffix: str = ".json", most_bytes: int = ROLL_BYTES):
+    """Stream dead letters to JSON files of ``most_bytes`` at the utmost, a roll every ``every`` (None: all that is there, then stop). A repeated batch replaces its files."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        files, base = store(path)
+        files.create_dir(base, recursive=True)
+        name = f"{prefix}-{number:010d}"
+        for old in files.get_file_info(fs.FileSelector(base)):
+            if old.base_name.startswith((f"{name}-", f".{name}-")):
+                files.delete_file(old.path)
+        roll_json(batch, path, name, suffix=suffix, most_bytes=most_bytes).agg(F.sum("n_rows")).collect()
+
+    return state.start(dead.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint), dead.sparkSession, every)
 
 
 def run_routes(tasks: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, *, every: str | None = None):

@@ -236,10 +236,20 @@ def test_page_answers(spark):
 def test_objects_from_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_bytes(b"caf\xe9\r\nx")
-    manifest = spark.createDataFrame([("in/a.txt", 1, {}), ("in/a.txt", 2, {}), ("in/gone.txt", 1, {})], "path string, generation long, metadata map<string,string>")
-    found, rejected = tables.read_objects(spark, str(tmp_path), manifest)
-    assert sorted((r.generation, r.text) for r in tables.with_text(found).collect()) == [(1, "café\nx"), (2, "café\nx")]
-    assert [(r.path, r.reason) for r in rejected.collect()] == [("in/gone.txt", "object not found")]
+    (tmp_path / "in/a.txt#2").write_bytes("second é".encode())
+    (tmp_path / "in/empty.txt").write_bytes(b"")
+    (tmp_path / "in/long.txt").write_bytes(bytes(range(97, 123)) * 5)
+    (tmp_path / "in/never.txt").write_bytes(b"not asked for")
+    (tmp_path / "in/never.txt").chmod(0)
+    names = [("in/a.txt", 1), ("in/a.txt", 2), ("in/gone.txt", 1), ("in/empty.txt", 1), ("in/long.txt", 1), ("in", 1)]
+    manifest = spark.createDataFrame([(p, g, {"k": f"{p}{g}"}) for p, g in names], "path string, generation long, metadata map<string,string>").repartition(3)
+    for piece in (7, 26, 8 << 20):
+        found, rejected = tables.read_objects(spark, str(tmp_path), manifest, piece_bytes=piece)
+        got = {(r.path, r.generation): (r.text, r.length, r.metadata["k"]) for r in tables.with_text(found).collect()}
+        assert got == {("in/a.txt", 1): ("café\nx", 7, "in/a.txt1"), ("in/a.txt", 2): ("second é", 9, "in/a.txt2"), ("in/empty.txt", 1): ("", 0, "in/empty.txt1"), ("in/long.txt", 1): (bytes(range(97, 123)).decode() * 5, 130, "in/long.txt1")}
+        assert sorted((r.path, r.reason) for r in rejected.collect()) == [("in", "object not found"), ("in/gone.txt", "object not found")]
+    sizes = [len(r.content) for r in tables.read_pieces(str(tmp_path), tables.find_objects(str(tmp_path), manifest).where("path = 'in/long.txt'"), 50).orderBy("piece").collect()]
+    assert sizes == [50, 50, 30]
 
 
 def test_page_json_round_trip(spark, tmp_path):

@@ -1,5 +1,6 @@
 import base64
 import json
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -200,6 +201,20 @@ def test_dead_letters(spark, tmp_path):
     assert sorted(r.value for r in spark.read.json(str(tmp_path / "dead")).collect()) == ["x", "y"]
 
 
+def test_dead_letters_roll_by_bytes(spark, tmp_path):
+    rows = [("é" * (i % 50), i) for i in range(300)] + [("x" * 5000, 1000)]
+    path = str(tmp_path / "dead")
+    for again in range(2):  # a repeated batch replaces its files
+        src = files(spark, tmp_path, [rows], "value string, n long") if not again else src
+        queue.write_dead_letters(src, path, str(tmp_path / f"cp{again}"), every=None, prefix="gone", suffix=".jsonl", most_bytes=1000).awaitTermination()
+        found = sorted((tmp_path / "dead").iterdir())
+        assert all(re.fullmatch(r"gone-0{10}-\d{5}-\d{5}\.jsonl", f.name) for f in found) and len(found) > 10
+        long = [f for f in found if f.stat().st_size > 1000]
+        assert len(long) == 1 and long[0].read_text().count("\n") == 1
+        assert all(a.stat().st_size + len(b.read_bytes().split(b"\n")[0]) + 1 > 1000 for a, b in zip(found, found[1:]) if a.name[:16] == b.name[:16])
+        assert sorted((r.value, r.n) for r in spark.read.schema("value string, n long").json(path).collect()) == sorted(rows)
+
+
 def test_routes_reach_handlers(spark, tmp_path):
     seen = []
     src = files(spark, tmp_path, [[('{"task_id":"1","task_type":"text_processing"}', T0), ('{"task_id":"2","task_type":"url_processing"}', T0)]], EVENT)
