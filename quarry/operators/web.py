@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -51,25 +52,29 @@ class _Reader(HTMLParser):
         self.selectors, self.texts = selectors, []
         self.spans: dict[int, list[int]] = {}
         self.open: list[tuple[str, list[int]]] = []
+        self.names: Counter[str] = Counter()  # of open elements, so that a stray end tag costs no search
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = [i for i, s in enumerate(self.selectors) if i not in self.spans and fits(s, tag, dict(attrs))]
+        given = dict(attrs)
+        own = [i for i, s in enumerate(self.selectors) if i not in self.spans and fits(s, tag, given)]
         for i in own:
             self.spans[i] = [len(self.texts), -1]
         if tag in _VOID:
             self._end(own)
         else:
             self.open.append((tag, own))
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
-            for _, own in self.open[at:]:
-                self._end(own)
-            del self.open[at:]
+        while self.names[tag]:
+            name, own = self.open.pop()
+            self.names[name] -= 1
+            self._end(own)
+            if name == tag:
+                break
 
     def _end(self, own: list[int]) -> None:
         for i in own:
