@@ -51,8 +51,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows whose language is recognised; texts of a word or two that several languages share stay too.
 
     A null text, or one without a letter, goes, and one that costs its likeliest
-    language more than the eight bits a byte that it costs without any model: it
-    is in none of the languages learned. Repeated rows are judged alike and all
+    language more than ten bits a byte, where bytes without any model cost
+    eight: it is in none of the languages learned. Repeated rows are judged alike and all
     stay or go. Without any labelled row no language is known and all go.
     """
     model = ppm.train_packed(docs)

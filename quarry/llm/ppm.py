@@ -246,8 +246,8 @@ def train(rows: DataFrame, **bounds) -> Model:
     return unpack(train_packed(rows, **bounds))
 
 
-#: What a byte costs without any model. A text that costs its best language more is not written in it.
-NO_MODEL = 8.0
+#: Bits a byte above which a text is in none of the languages: a byte costs 8 without any model, the rest is for keys, names and numbers in short texts.
+NO_MODEL = 10.0
 
 
 def predict(docs: DataFrame, model: bytes, *, text_col: str = "text", with_bits: bool = False) -> DataFrame:
