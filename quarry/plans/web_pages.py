@@ -9,7 +9,7 @@ from quarry.functions import text as tx
 from quarry.operators import web
 from quarry.plans.documents import EPOCH, PLACES, TOK, _places_sql
 from quarry.scratch import scratch_path
-from quarry.streaming import queue, tasks
+from quarry.streaming import queue, state, tasks
 
 SITES = {"default": web.site(".main-content"), "titles": web.site("h1", [])}
 
@@ -136,6 +136,15 @@ def t5_dead_letters(spark, sf_dir):
     return queue.split_dead(d)[1]
 
 
+def t5_dead_letters_streamed(spark, sf_dir):
+    """Deliveries as a stream: each task once, with its fifth failure."""
+    root = scratch_path(spark, "deliveries")
+    updates(spark, sf_dir).select("task_id", (F.col("event_type") != "error").alias("ok")).write.parquet(f"{root}/in")
+    dead = queue.dead_letters(spark.readStream.schema("task_id long, ok boolean").parquet(f"{root}/in"))
+    state.start(dead.writeStream.format("parquet").option("path", f"{root}/dead").option("checkpointLocation", f"{root}/checkpoint"), spark, None).awaitTermination()
+    return spark.read.schema(dead.schema).parquet(f"{root}/dead")
+
+
 def t6_dead_letters_written(spark, sf_dir):
     """Failed events as a stream of dead letters, written as JSON files and read back."""
     events, root = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value"), scratch_path(spark, "dead")
@@ -145,7 +154,7 @@ def t6_dead_letters_written(spark, sf_dir):
     return spark.read.schema(dead.schema).json(f"{root}/letters")
 
 
-QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, h4_summary, t6_dead_letters_written, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t2_tasks_to_chunks, t3_current_status, t4_drop_redelivered, t5_dead_letters)}
+QUERIES = {f.__name__: f for f in (h1_h2_main_content, h3_site_selectors, h4_pages_to_chunks, h4_summary, t6_dead_letters_written, j9_choose_capture, a12_scrape_summary, s6_saved_pages, p9_url_lines, p10_scraped_names, p14_check_urls, t1_t2_routes, t2_tasks_to_chunks, t3_current_status, t4_drop_redelivered, t5_dead_letters, t5_dead_letters_streamed)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(13)"
 
@@ -192,5 +201,6 @@ ORACLES = {
     "t3_current_status": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
       SELECT user_id AS task_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('click', 'purchase') THEN 'completed' ELSE 'processing' END AS status, CASE WHEN event_type = 'error' THEN 'error ' || event_id ELSE '' END AS error FROM l WHERE r = 1""",
     "t4_drop_redelivered": "SELECT DISTINCT 'u' || user_id AS path, event_type AS generation FROM events",
+    "t5_dead_letters_streamed": "SELECT user_id AS task_id, CAST(5 AS BIGINT) AS attempts FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') >= 5",
     "t5_dead_letters": "SELECT user_id AS task_id, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY user_id HAVING attempts >= 5",
 }
