@@ -11,6 +11,9 @@ menus, notices and the like never count. A form, or a class or id that says so,
 is evidence only: such a part counts all the same if it holds a heading or
 paragraphs and most of the page's text outside links, and a name that merely
 holds such a word (``legal-analysis``) counts against a part of links only.
+Reader comments are told by shape as well, whatever their boxes are called:
+elements of the same tag and first class in a row behind the article, without
+larger headings, are a thread (see :func:`_drop_threads`).
 """
 
 from __future__ import annotations
@@ -60,6 +63,10 @@ HINT, WEAK, STRONG, NEVER_COUNTS = 1, 2, 3, 4
 SHARE = {WEAK: 0.5, STRONG: 0.9}
 #: So many characters directly in one element are a paragraph without ``p``.
 PARAGRAPH = 80
+#: A line of at most so many characters may name the writer of a comment.
+BYLINE = 80
+#: Elements that hold a comment each.
+ENTRIES = frozenset("div li section article dd tr".split())
 
 
 def _names_mark(names: list[str], declared: bool = False) -> int:
@@ -104,6 +111,7 @@ class Page:
         self.names = names  # whether classes, ids and a form's share of the page tell noise
         self.tag, self.parent, self.end, self.noise = ["#page"], [-1], [0], [False]
         self.mark, self.named = [0], [0]  # against the element itself; by its names alone
+        self.kind = [""]  # the first class
         self.runs: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
         self.count: dict[str, int] = {}  # of open elements by name
@@ -210,7 +218,7 @@ class Page:
             self.count[name] = self.count.get(name, 0) + 1
 
     def _mark(self, name: str, attrs: str) -> None:
-        mark, named = WEAK if name in FORMS else 0, 0
+        mark, named, kind = WEAK if name in FORMS else 0, 0, ""
         if name in NEVER or name == "header" and not (self.count.get("article") or self.count.get("main")):
             mark = NEVER_COUNTS
         elif attrs and name not in ("html", "body", "main", "header"):
@@ -223,10 +231,12 @@ class Page:
                     mark = max(mark, NEVER_COUNTS if value.lower() in ROLES else WEAK if value.lower() == "form" else 0)
                 elif key in ("class", "id"):
                     names += value.split()
+                    kind = next(iter(value.split()), "") if key == "class" else kind
             named = _names_mark(names, declared=name == "article")
             mark = max(mark, named if self.names else 0)
         self.mark.append(mark)
         self.named.append(named)
+        self.kind.append(kind)
 
 
 def densities(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -324,6 +334,77 @@ def _with_title(page: Page, root: int, body: int) -> int:
     return root
 
 
+def _drop_threads(page: Page) -> None:
+    """Makes noise of what shape and place tell to be reader comments.
+
+    A row of entries is elements of one parent with the same tag and, but for
+    list items, the same class, none of them holding a heading up to ``h3``.
+    Where one element alone declares itself an article of prose, rows of two or
+    more behind it are a thread, and so is a part behind it that has no such
+    heading and less text than the article. On pages without a declared article
+    a row of three or more is one if prose comes before it and each entry begins
+    with a short line that ends no sentence and holds a ``time`` or a link.
+    """
+    n, up, tag = len(page.tag), page.parent, page.tag
+    body = next((i for i in range(n) if tag[i] == "body"), 0)
+    inside = [False] * n  # an article
+    tops = []
+    for i in range(1, n):
+        inside[i] = inside[up[i]] or tag[up[i]] == "article"
+        if tag[i] == "article" and not page.noise[i] and page.prose[i] and not inside[i]:
+            tops.append(i)
+    if len(tops) > 1:
+        return
+    heads, times = [0] * (n + 1), [0] * (n + 1)  # before each node
+    for i in range(n):
+        heads[i + 1] = heads[i] + (tag[i] in ("h1", "h2", "h3"))
+        times[i + 1] = times[i] + (tag[i] == "time")
+    first = [len(page.runs)] * n  # of the runs within a node, which follow each other
+    before = [0]  # characters of prose before a run
+    for at, ((node, _, _), size) in enumerate(zip(page.runs, page.sizes, strict=True)):
+        first[node] = min(first[node], at)
+        before.append(before[-1] + (size if page.prose[node] and not page.noise[node] else 0))
+    for i in range(n - 1, 0, -1):
+        first[up[i]] = min(first[up[i]], first[i])
+
+    def signed(i: int) -> bool:
+        line, block, linked = "", None, False
+        for at in range(first[i], len(page.runs)):
+            node, b, text = page.runs[at]
+            if not i <= node < page.end[i] or block is not None and b != block:
+                break
+            if text.strip():
+                block, line = b, line + text
+                linked = linked or tag[node] == "a"
+                if len(line) > 4 * BYLINE:
+                    return False
+        line = " ".join(line.split())
+        return 0 < len(line) <= BYLINE and len(line) < page.plain[i] and line[-1] not in ".!?:;" and (linked or times[page.end[i]] > times[i])
+
+    groups: dict[tuple[int, str, str], list[int]] = {}
+    for i in range(body + 1, page.end[body] if body else n):
+        behind = not inside[i] and (i >= page.end[tops[0]] if tops else True)
+        if behind and tag[i] in ENTRIES and (page.kind[i] or tag[i] in ("li", "dd")) and page.plain[i] and not page.noise[i]:
+            groups.setdefault((up[i], tag[i], page.kind[i]), []).append(i)
+    drop = []
+    for row in groups.values():
+        if any(heads[page.end[i]] > heads[i] for i in row):
+            continue
+        if len(row) >= 2 if tops else len(row) >= 3 and before[first[row[0]]] >= PARAGRAPH and all(signed(i) for i in row):
+            drop += row
+    if tops:
+        top, i = tops[0], page.end[tops[0]]
+        while i < (page.end[body] if body else n):
+            if tag[i] not in INLINE and heads[page.end[i]] == heads[i] and page.plain[i] < page.plain[top] and not page.noise[i]:
+                drop.append(i)
+                i = page.end[i]
+            else:
+                i += 1
+    for i in drop:
+        if not page.noise[i]:
+            page.noise[i : page.end[i]] = [True] * (page.end[i] - i)
+
+
 def _drop_menus(page: Page, root: int) -> None:
     """Lists and tables of links that their names or a place ahead of any heading or paragraph mark as menus."""
     i, begun = root + 1, False
@@ -340,6 +421,7 @@ def _drop_menus(page: Page, root: int) -> None:
 def main_text(source: str) -> str:
     """Blocks of the article in page order, joined by an empty line."""
     page = Page(source)
+    _drop_threads(page)
     root = article(page)
     if root < 0 and any(0 < x < NEVER_COUNTS for x in page.mark):  # names or forms hid all there is
         page = Page(source, names=False)

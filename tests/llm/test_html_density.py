@@ -78,6 +78,36 @@ def test_comments_marked_as_articles_stay_out():
         assert hd.main_text(page(body)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
 
 
+C = "I do not agree with a word of this, and I have read it twice over to be sure of that. " * 4
+TALK = [
+    "<div class=discussion>" + f"<div class=msg><p>{C}</p></div>" * 12 + "</div>",
+    "<ol class=thread>" + f"<li><p>{C}</p></li>" * 12 + "</ol>",
+    f"<div class=talk><div class=msg><p>{P}</p></div></div>",
+]
+
+
+@pytest.mark.parametrize("talk", TALK)
+def test_threads_behind_an_article_stay_out(talk):
+    for body in (f"<article>{BODY}</article>{talk}", f"<main><article>{BODY}</article>{talk}</main>"):
+        assert hd.main_text(page(body)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
+
+
+@pytest.mark.parametrize("line", ["<b><a href=/u>Ann Lee</a></b>", "<div>Ann Lee <time>1 May</time></div>"])
+def test_threads_told_by_their_writers(line):
+    talk = f"<div class=talk>{f'<div class=msg>{line}<p>{C}</p></div>' * 5}</div>"
+    assert hd.main_text(page(f"<div>{BODY}</div>{talk}")) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
+
+
+def test_rows_of_prose_that_are_no_thread_stay():
+    text = "\n\n".join(["Title", P.strip(), "short", P.strip()])
+    asked = f"<div class=qa><p>And what came then?</p><p>{P}</p></div>" * 4
+    parts = f"<div class=part><h2>Next</h2><p>{P}</p></div>" * 3
+    more = f"\n\nAnd what came then?\n\n{P.strip()}" * 4
+    assert hd.main_text(page(f"<div>{BODY}{asked}</div>")) == text + more
+    assert hd.main_text(page(f"<article>{BODY}{asked}</article>")) == text + more
+    assert hd.main_text(page(f"<div>{BODY}{parts}</div>")) == text + f"\n\nNext\n\n{P.strip()}" * 3
+
+
 def test_sibling_articles_are_one():
     both = f"<nav>n</nav><div><article><h2>Title</h2><p>{P}</p></article><article class='part legal'><p>short</p><p>{P}</p></article><article class=promo><p>{P}</p></article></div>"
     assert hd.main_text(page(both)) == "\n\n".join(["Title", P.strip(), "short", P.strip()])
@@ -113,6 +143,7 @@ def test_deep_and_long_pages_stay_linear():
     deep = "<div>" * 20000 + P + "</x>" * 20000
     assert hd.main_text(deep) == P.strip()
     assert len(hd.main_text(page(f"<article>{'<p>' + P + '</p>'}</article>" * 3000))) > 0
+    assert hd.main_text(page(f"<div>{BODY}</div>" + f"<div class=m><a>Ann</a><p>{P}</p></div>" * 20000)).startswith("Title")
 
 
 def test_nulls_repeats_clashes_empty(spark):
