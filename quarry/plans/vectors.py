@@ -77,6 +77,11 @@ def v4_neighbours(spark, sf_dir):
     return mapping.knn_graph(vectors(spark, sf_dir)).select("vec_id", "neighbour", F.round("distance", 5).alias("distance"), "rank")
 
 
+def v4_neighbour_descent(spark, sf_dir):
+    """The form for large tables; most of what ``v4_neighbours`` gives."""
+    return mapping.knn_descent(vectors(spark, sf_dir)).select("vec_id", "neighbour", F.round("distance", 5).alias("distance"), "rank")
+
+
 def v5_fuzzy_weights(spark, sf_dir):
     v = vectors(spark, sf_dir)
     k = mapping.neighbour_count(v.count())
@@ -117,7 +122,7 @@ def s4_embedding_text(spark, sf_dir):
     return back.select("vec_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (p11_thresholds, v1_vector_search, v1_vector_search_all, j8_merge_hits, a13_quality, a14_contexts, v2_standardise, v3_pca, v4_neighbours, v5_fuzzy_weights, v6_layout, v7_scale, v8_map, v8_map_extent, s5_coordinates, s4_embedding_text)}
+QUERIES = {f.__name__: f for f in (p11_thresholds, v1_vector_search, v1_vector_search_all, j8_merge_hits, a13_quality, a14_contexts, v2_standardise, v3_pca, v4_neighbours, v4_neighbour_descent, v5_fuzzy_weights, v6_layout, v7_scale, v8_map, v8_map_extent, s5_coordinates, s4_embedding_text)}
 
 _T = "CASE vec_id // 25 % 5 WHEN 0 THEN 0.7 WHEN 1 THEN 0.6 ELSE 0.5 END"
 _HITS = """WITH q AS (SELECT vec_id AS query_id, {least} AS least, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 25 = 0), c AS (SELECT vec_id AS chunk_id, vec_id % 40 AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 25 <> 0),

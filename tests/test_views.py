@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import chats, library_view, mapping, retrieval, web
+from quarry.plans import vectors
 from quarry.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -103,6 +104,47 @@ def test_lsh_graph_finds_most(spark):
     assert len(exact & found) > 0.9 * len(exact)
 
 
+def test_descent_finds_most_with_hubs_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "_MEET", 8)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(20, 16))[r.integers(0, 20, 400)] + 0.5 * r.normal(size=(400, 16)), r.normal(size=(200, 16))])
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>")
+    exact = {(t.vec_id, t.neighbour): t.distance for t in mapping.knn_graph(df, k=6).collect()}
+    got = mapping.knn_descent(df, k=6).collect()
+    found = {(t.vec_id, t.neighbour): t.distance for t in got}
+    assert len(exact.keys() & found.keys()) > 0.95 * len(exact)
+    assert all(abs(found[p] - exact[p]) < 1e-8 for p in exact.keys() & found.keys())
+    assert len(found) == len(got) == 6 * 600 and all(t.neighbour == t.vec_id for t in got if t.rank == 1)
+    assert sorted(map(tuple, mapping.knn_descent(df.repartition(3), k=6).collect())) == sorted(map(tuple, got))
+
+
+def test_descent_on_the_given_vectors(spark, sf_dir):
+    exact, found = ({(t.vec_id, t.neighbour) for t in vectors.QUERIES[q](spark, sf_dir).collect()} for q in ("v4_neighbours", "v4_neighbour_descent"))
+    assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
+
+
+def test_layout_by_levels_over_the_descent(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "_COARSEST", 60)
+    monkeypatch.setattr(mapping, "_EXACT", 0)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(8, 32))[r.integers(0, 8, 400)] * 3 + r.normal(size=(400, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    c = np.array([row.coords for row in mapping.layout(df).orderBy("vec_id").collect()])
+    near = lambda m: np.argsort(((m[:, None] - m[None]) ** 2).sum(axis=2), axis=1)[:, 1:16]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    kept = np.mean([len(set(a) & set(b)) for a, b in zip(near(u), near(c), strict=True)])
+    print("kept by levels", kept)
+    assert c.shape == (400, 3) and np.isfinite(c).all() and kept > 4
+
+
+def test_layout_of_a_graph_in_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mapping, "_COARSEST", 3)
+    x = np.repeat(np.eye(12), 20, axis=0) + 0.001 * np.random.default_rng(1).normal(size=(240, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    c = np.array([row.coords for row in mapping.layout(df).orderBy("vec_id").collect()])
+    assert c.shape == (240, 3) and np.isfinite(c).all()
+
+
 def test_weights(spark):
     d = np.array([0.1, 0.2, 0.4, 0.9])
     w = mapping.smooth(d, 4)
