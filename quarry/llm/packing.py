@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.bytesview import slices
+from quarry.llm.bytesview import LOWER, slices
 from quarry.llm.wordcodes import blocks
 from quarry.scratch import materialize
 
@@ -32,12 +32,21 @@ Packing = list[tuple[tuple[int, ...], int]]
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 13, 32]] = True
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_PROBES = ("word", "Word", "ÉTÉ", "naïveté", "x", "Straße", "unbelievable")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_PROBES = ("word", "Word", "ÉTÉ", "naïveté", "x", "Straße", "unbelievable", "Ab12c...Déjà-3?!", "a_b@c.d", "x²", "don't", "5€", "ÀB×c÷", ">>x|y\"")
 # how byte-level vocabularies write bytes: printable Latin-1 as it is, the others from 256 on
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
 _BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-_ENDING = re.compile(rb"(.*[A-Za-z0-9])([.,;:!?]+)", re.DOTALL)
+# parts of words: letters (Latin-1 ones are 0xC3 and a second byte), single digits, and what else ASCII prints; white space is of no kind
+_LETTER, _DIGIT, _OTHER, _ODD = 1, 2, 3, 4
+_KIND = np.where(SPACE, 0, _ODD).astype(np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _KIND[128:192] = _KIND[0xC3] = _LETTER
+_SECOND = np.zeros(256, dtype=bool)
+_SECOND[128:192] = True
+_SECOND[[0x97, 0xB7]] = False  # the signs of multiplication and division
+_LOWER = LOWER.tobytes()
 _HELD = 3 << 17
 BLOCK = 4 << 20
 #: Fillings kept for one sequence, completions of the whole search, and ranks of a length in a task.
@@ -52,65 +61,103 @@ def _tokenizer(path: str):
 
 
 class _Ids:
-    """Token ids (little-endian, 32 bits each) of words between white space.
-
-    A worker process encodes a word once as long as it stands among the last few
-    hundred thousand. ASCII punctuation behind an ASCII letter or digit is a
-    token by itself in a vocabulary that splits letters, digits and the rest, so
-    it is looked up apart from the word before it.
+    """Token ids (little-endian, 32 bits each) of words between white space and of their parts.
+
+    A vocabulary that keeps letters, digits and the rest apart encodes each of
+    them by itself, so words of Latin-1 letters and printable ASCII are cut there
+    and folded before distinct parts are told: far fewer than distinct words.
+    Words that hold anything else stay whole: other characters may combine or
+    fold by what stands beside them, an apostrophe may begin a part of its own
+    (``'re``), and added tokens are looked for before anything is folded. A worker
+    process encodes a part once as long as it stands among the last few hundred
+    thousand.
     """
 
     def __init__(self, path: str):
         self.whole, self.new, self.old = _tokenizer(path), {}, {}
         self.model = self.whole.model
-        # letters alone may go to the model itself if the file says no more about them than case and bytes
-        self.plain = all(self._of_model(w.lower()) == np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in _PROBES)
+        self.kind = _KIND.copy()
+        added = {t.content[0] for t in self.whole.get_added_tokens_decoder().values()}
+        # parts may go to the model itself if the file says no more about them than case and bytes
+        self.plain = all(c.isascii() and not c.isalnum() for c in added)
+        if self.plain:
+            self.kind[[ord(c) for c in {"'", *added}]] = _ODD
+            self.plain = self._agrees()
+            self.new.clear()
+
+    def _agrees(self) -> bool:
+        for text in _PROBES:
+            parts = [p for b in blocks(pa.array([text]), ~SPACE, SPACE, fold=False, split=self.split) for p in np.array(b.words, dtype=object)[b.code]]
+            if b"".join(self.of(parts)) != np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes():
+                return False
+        return True
+
+    def split(self, raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For :func:`blocks`: where parts start, and the bytes with those of words that are cut in lower case."""
+        if not self.plain:
+            return raw, start
+        held = raw.tobytes()
+        low, kind = np.frombuffer(bytearray(held).translate(_LOWER), dtype=np.uint8), np.frombuffer(held.translate(self.kind.tobytes()), dtype=np.uint8)
+        odd = np.flatnonzero(kind == _ODD)
+        high = np.flatnonzero(raw >= 128)
+        if len(high):
+            here, after, before = raw[high], np.minimum(high + 1, len(raw) - 1), np.maximum(high - 1, 0)
+            first = (here == 0xC3) & _SECOND[raw[after]] & ~start[after]
+            second = _SECOND[here] & (raw[before] == 0xC3) & ~start[high]
+            capital = high[second & (here < 0x9F)]
+            low[capital] += 32
+            odd = np.concatenate([odd, high[~(first | second)]])
+        begins = np.empty_like(start)
+        begins[:1] = False
+        begins[1:] = kind[1:] != kind[:-1]
+        begins |= kind == _DIGIT
+        begins &= kind != 0
+        begins |= start
+        if len(odd):
+            words = np.append(np.flatnonzero(start), len(raw))
+            whole = np.unique(np.searchsorted(words, odd, side="right") - 1)
+            edge = np.zeros(len(raw) + 1, dtype=np.int8)
+            edge[words[whole]] += 1
+            edge[words[whole + 1]] -= 1
+            uncut = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+            low = np.where(uncut, raw, low)
+            begins &= ~uncut | start
+        return low, begins
 
     def of(self, words: list[bytes]) -> list[bytes]:
         found = list(map(self.new.get, words))
-        late = [i for i, ids in enumerate(found) if ids is None]
-        split = {}
-        for i in late:
-            if (ids := self.old.get(words[i])) is None:
-                m = _ENDING.fullmatch(words[i])
-                split[i] = (m[1], m[2]) if m else (words[i],)
-            else:
-                self.new[words[i]] = found[i] = ids
         missing = []
-        for part in {part: None for parts in split.values() for part in parts}:
-            if part not in self.new:
-                if part in self.old:
-                    self.new[part] = self.old[part]
-                else:
-                    missing.append(part)
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            if (ids := self.old.get(word)) is not None:
+                self.new[word] = found[i] = ids
+            elif self.plain and word.isalpha():  # ASCII letters, in lower case by now
+                self.new[word] = found[i] = self._of_model(word.decode())
+            else:
+                missing.append(i)
         for a in range(0, len(missing), 4096):
-            self._encode(missing[a : a + 4096])
-        for i, parts in split.items():
-            if len(parts) == 2:
-                self.new[words[i]] = self.new[parts[0]] + self.new[parts[1]]
-            found[i] = self.new[words[i]]
+            some = missing[a : a + 4096]
+            self._encode([words[i] for i in some])
+            for i in some:
+                found[i] = self.new[words[i]]
         if len(self.new) > _HELD:
             self.new, self.old = {}, self.new
         return found
 
     def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
         rest = []
-        for word, text in zip(words, texts, strict=True):
+        for word in words:
+            text = word.decode("utf-8", "replace")
             if self.plain and _PLAIN.fullmatch(text):
-                low = text.lower()
-                key = low.encode()
-                if key not in self.new:
-                    self.new[key] = self._of_model(low)
-                self.new[word] = self.new[key]
+                self.new[word] = self._of_model(word.decode("latin-1").translate(_BYTE_CHARACTERS))
             else:
                 rest.append((word, text))
         if rest:
             self._encode_text(*zip(*rest, strict=True))
 
-    def _of_model(self, low: str) -> bytes:
-        """A word of lower-case Latin letters: one piece of text for the model, its bytes written as characters."""
-        found = self.model.tokenize(low.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
+    def _of_model(self, shown: str) -> bytes:
+        """A part of lower-case letters: one piece of text for the model, its bytes written as characters."""
+        found = self.model.tokenize(shown)
         return packed_ids(f"<{len(found)}I", *[t.id for t in found])
 
     def _encode_text(self, words: tuple[bytes, ...], texts: tuple[str, ...]) -> None:
@@ -132,9 +179,9 @@ def _ids(path: str) -> _Ids:
 def _tokens(column: pa.Array, ids: _Ids, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows one after another, each row closed by ``end``, and row offsets into them."""
     flat, sizes = [], np.zeros(len(column), dtype=np.int64)
-    for block in blocks(column, ~SPACE, SPACE, fold=False, limit=BLOCK):
+    for block in blocks(column, ~SPACE, SPACE, fold=False, limit=BLOCK, split=ids.split, stretches=False):
         known = ids.of(block.words)
-        length = np.array([len(x) // 4 for x in known], dtype=np.int64)
+        length = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
         first = np.concatenate([[0], np.cumsum(length)])
         own = length[block.code]
         stop = np.cumsum(own)

@@ -6,7 +6,7 @@ looked up by code is exact. Blocks bound the memory whatever a text's length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +19,12 @@ BLOCK = 1 << 20
 
 @dataclass
 class Block:
-    """Words of a stretch of text: ``code`` into ``words``, the ``row`` they stand in, and ``stretch``, equal for words with no breaking byte between them."""
+    """Words of a stretch of text: ``code`` into ``words``, the ``row`` they stand in, and, if asked for, ``stretch``, equal for words with no breaking byte between them."""
 
     code: np.ndarray
     words: list[bytes]
     row: np.ndarray
-    stretch: np.ndarray
+    stretch: np.ndarray | None
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -51,8 +51,15 @@ def cuts(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray, limit: int)
         at = stop
 
 
-def blocks(column: pa.Array, inside: np.ndarray, breaks: np.ndarray, *, fold: bool, limit: int = BLOCK) -> Iterator[Block]:
-    """The words of a string column, runs of bytes that are ``inside``; with ``fold`` A-Z in lower case. Null rows have none."""
+Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def blocks(column: pa.Array, inside: np.ndarray, breaks: np.ndarray, *, fold: bool, limit: int = BLOCK, split: Split | None = None, stretches: bool = True) -> Iterator[Block]:
+    """The words of a string column, runs of bytes that are ``inside``; with ``fold`` A-Z in lower case. Null rows have none.
+
+    ``split`` may cut words further: from the bytes and whether a word starts at
+    each it gives the bytes to take and whether a word or part starts there.
+    """
     data, offsets = utf8(column)
     for at, stop in cuts(data, offsets, breaks, limit):
         raw = data[at:stop]
@@ -63,7 +70,10 @@ def blocks(column: pa.Array, inside: np.ndarray, breaks: np.ndarray, *, fold: bo
         before = np.zeros(len(m), dtype=bool)
         before[1:] = m[:-1]
         before[edges] = False  # words end with their row
-        start = np.flatnonzero(m & ~before)
+        begins = m & ~before
+        if split is not None:
+            low, begins = split(low, begins)
+        start = np.flatnonzero(begins)
         if not len(start):
             continue
         kept = np.cumsum(m, dtype=np.int32)  # bytes of words up to here
@@ -71,7 +81,8 @@ def blocks(column: pa.Array, inside: np.ndarray, breaks: np.ndarray, *, fold: bo
         ends = np.append(begin, kept[-1]).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(low[m]))]).dictionary_encode()
         row = np.searchsorted(offsets, start + at, side="right") - 1
-        yield Block(coded.indices.to_numpy(), coded.dictionary.to_pylist(), row, np.cumsum(breaks[low], dtype=np.int32)[start])
+        stretch = np.cumsum(breaks[low], dtype=np.int32)[start] if stretches else None
+        yield Block(coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), row, stretch)
 
 
 def dense(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Packing: tokens as the library gives them, places without gaps, and the search against all packings."""
 
+import json
 import random
 import zlib
 from collections import Counter
@@ -152,3 +153,44 @@ def test_whole_query(spark, sf_dir):
 def test_empty_table(spark):
     cut = packing.pieces(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert packing.pack(cut.select("doc_id", "length")).collect() == []
+
+
+def test_parts_of_words_are_encoded_once():
+    stems = ["word", "naïveté", "straße", "x", "über"]
+    texts = [f"{a}{end}{b.upper()} {a.title()}{end} {end}{b}7" for a in stems for b in stems for end in (".", "...", "12", "$$$", ",-", "!?")]
+    ids = packing._Ids(PATH)
+    found, at = packing._tokens(pa.array(texts), ids, 0)
+    assert [found[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tokens(t) for t in texts]
+    assert set(ids.new) == {p.encode() for p in [*stems, "strasse", ".", "...", "$$$", ",-", "!?", *"127"]}
+
+
+def test_parts_beside_odd_characters():
+    draw = random.Random(8)
+    some = [*"azAZ09'<.,!-_$|\x0b\x00\x7f", "é", "É", "ß", "×", "÷", "²", "µ", "Ÿ", "ÿ", "ẞ", "̀", "̌", "J", "中", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'RE", " ", "\n"]
+    texts = ["".join(draw.choices(some, k=draw.randint(1, 12))) for _ in range(3000)]
+    for limit in (16, 1 << 20):
+        real = packing.blocks
+        try:
+            packing.blocks = lambda *a, **k: real(*a, **(k | {"limit": limit}))
+            ids, at = packing._tokens(pa.array(texts), packing._Ids(PATH), 0)
+        finally:
+            packing.blocks = real
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tokens(t) for t in texts]
+
+
+@pytest.mark.parametrize("added", [False, True])
+def test_vocabulary_that_does_not_keep_parts_apart(tmp_path, added):
+    with open(PATH) as f:
+        rules = json.load(f)
+    if added:
+        rules["added_tokens"][0]["content"] = "Word"
+    else:
+        rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps(rules))
+    ids = packing._Ids(str(path))
+    assert not ids.plain
+    texts = ["Ab12, c.d", "déjà-vu", "word Word"]
+    got, at = packing._tokens(pa.array(texts), ids, 0)
+    want = [[*packing._tokenizer(str(path)).encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [got[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
