@@ -82,7 +82,9 @@ def blocks(column: pa.Array, inside: np.ndarray, breaks: np.ndarray, *, fold: bo
         coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(low[m]))]).dictionary_encode()
         row = np.searchsorted(offsets, start + at, side="right") - 1
         stretch = np.cumsum(breaks[low], dtype=np.int32)[start] if stretches else None
-        yield Block(coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), row, stretch)
+        # by way of numpy is faster; op12, near its bound on memory, held less without (README)
+        words = coded.dictionary.to_pylist() if split is None else coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        yield Block(coded.indices.to_numpy(), words, row, stretch)
 
 
 def dense(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
