@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,6 +18,7 @@ from quarry.scratch import materialize
 NOT_FOUND = "Content element not found"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style"))
+_REFERENCE = re.compile("&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
 
 Selector = tuple[str, str, str]
 #: Fallbacks in order: tag, attribute, value; an empty part matches anything (fixed values).
@@ -85,10 +88,18 @@ class _Reader(HTMLParser):
             self.texts.append(data.strip())
 
 
-def main_content(html: str | None, selectors: list[Selector]) -> tuple[int | None, str | None]:
-    """Number of the first selector that matches, and the visible text of its first match, a text node a line."""
+def closed_references(html: str) -> str:
+    """``html`` with each ``&`` that begins no character reference with its semicolon written as text."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else f"&amp;{m[1] or ''}", html)
+
+
+def main_content(html: str | None, selectors: list[Selector], *, closed: bool = False) -> tuple[int | None, str | None]:
+    """Number of the first selector that matches, and the visible text of its first match, a text node a line.
+
+    Browsers read ``&amp`` without its semicolon as ``&`` too; with ``closed`` it stays as it is written.
+    """
     reader = _Reader(selectors)
-    reader.feed(html or "")
+    reader.feed(closed_references(html or "") if closed else html or "")
     reader.close()
     for _, own in reader.open:
         reader._end(own)
@@ -99,23 +110,26 @@ def main_content(html: str | None, selectors: list[Selector]) -> tuple[int | Non
     return rank, "\n".join(reader.texts[a:b])
 
 
-def _content(html: str | None, selectors: list[Selector]) -> tuple[int | None, str | None, str | None]:
+def _content(html: str | None, selectors: list[Selector], closed: bool) -> tuple[int | None, str | None, str | None]:
     """As :func:`main_content`, with what went wrong: a page that cannot be read leaves the others alone."""
     try:
-        rank, text = main_content(html, selectors)
+        rank, text = main_content(html, selectors, closed=closed)
     except Exception as fault:
         return None, None, f"{type(fault).__name__}: {fault}"
     return rank, text, NOT_FOUND if rank is None else None
 
 
-def extract_content(captures: DataFrame, sites: dict[str, list[Selector]], *, site_col: str | None = None, default: str = "default") -> DataFrame:
-    """Captures (``url, html``) with ``status`` (ok, error), ``matched`` (selector number), ``content`` and ``error``."""
+def extract_content(captures: DataFrame, sites: dict[str, list[Selector]], *, site_col: str | None = None, default: str = "default", closed: bool = False) -> DataFrame:
+    """Captures (``url, html``) with ``status`` (ok, error), ``matched`` (selector number), ``content`` and ``error``.
+
+    ``closed``: see :func:`main_content`.
+    """
     rest = [c for c in captures.columns if c != "html"]
     rows = captures.select(*rest, "html", (F.col(site_col) if site_col else F.lit(default)).alias("__site"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [_content(h, sites.get(s, sites[default])) for h, s in zip(f["html"], f["__site"], strict=True)]
+            found = [_content(h, sites.get(s, sites[default]), closed) for h, s in zip(f["html"], f["__site"], strict=True)]
             out = f[rest].copy()
             out["matched"] = pd.array([r for r, _, _ in found], dtype="Int32")
             out["content"] = [t for _, t, _ in found]

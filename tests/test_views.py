@@ -1,12 +1,13 @@
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import chats, library_view, mapping, retrieval, web
-from quarry.plans import vectors
+from quarry.plans import vectors, web_pages
 from quarry.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -207,6 +208,22 @@ def test_main_content():
     assert web.main_content("<div id=a><img class=x>q</div>", web.site("#a")) == (0, "q")
 
 
+def test_references_without_a_semicolon():
+    page = "<article><h1>a &amp</h1>b &amp; &#39;x&#x41; &copy &am<p title='?a=1&lt=2'>&quot</p>&bogus; &ampx; R&D &</article>"
+    assert web.main_content(page, web.site("article"), closed=True) == (0, "a &amp\nb & 'xA &copy &am\n&quot\n&bogus; &ampx; R&D &")
+    assert web.main_content(page, web.site("article")) == (0, "a &\nb & 'xA © &am\n\"\n&bogus; &x; R&D &")
+
+
+@pytest.mark.parametrize("name", ["h1_h2_main_content"])
+def test_cut_references_as_in_sql(spark, tmp_path, name):
+    html = "<title>t</title><article><h1>one &amp</h1>two &amp; three &quot</article>"
+    duck = duckdb.connect()
+    duck.execute(f"copy (select * from (values (1, 'http://h/a.html', '{html}'), (2, 'http://h/b', '{html}')) t(page_id, url, html)) to '{tmp_path}/pages.parquet'")
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    got, want = web_pages.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.sql(web_pages.ORACLES[name]).df()
+    assert sorted(map(tuple, got[list(want)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 def test_captures(spark):
     a = spark.createDataFrame([("u1", "ok", "A", None), ("u2", "error", None, "e1"), ("u3", "error", None, "e2")], "url string, status string, content string, error string")
     b = spark.createDataFrame([("u2", "ok", "B", None), ("u3", "error", None, "e3"), ("u4", "ok", "D", None)], a.schema)
