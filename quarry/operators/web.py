@@ -179,16 +179,22 @@ def page_titles(captures: DataFrame) -> DataFrame:
     return captures.withColumn("title", F.coalesce(F.nullif(plain(first("title")), F.lit("")), F.nullif(plain(first("h1")), F.lit(""))))
 
 
-def pages_to_chunks(captures: DataFrame, sites: dict[str, list[Selector]], **making) -> tuple[DataFrame, DataFrame]:
-    """``(results, chunks)`` of captured pages, one for each url, in the shapes the registry and chunk table take.
+def _version(column: str | None) -> Column:
+    return (F.col(column) if column else F.lit(0)).cast("long").alias("generation")
 
-    ``results(id, url, title, status, error_message)``. ``making``: what
+
+def pages_to_chunks(captures: DataFrame, sites: dict[str, list[Selector]], *, version: str | None = None, closed: bool = False, **making) -> tuple[DataFrame, DataFrame]:
+    """``(results, chunks)`` of captured pages, one for each url and ``version``, in the shapes the registry and chunk table take.
+
+    ``results(id, url, generation, title, status, error_message)``; ``version``
+    names the column that numbers the captures of a url, without it they are one
+    page of version 0. ``closed``: see :func:`main_content`. ``making``: what
     :func:`quarry.operators.ingest.embedded_chunks` takes.
     """
-    got = extract_content(page_titles(captures.select("url", "html")), sites)
-    got = got.groupBy("url").agg(F.min(F.struct(F.col("status") != "ok", "content", "title", "status", "error")).alias("g")).select("url", "g.*")  # captures that worked first
-    got = materialize(got.withColumn("id", document_id(F.col("url"), F.lit(0))), "pages")  # read once for results and chunks
-    results = got.select("id", "url", "title", F.when(F.col("status") == "ok", "Ready").otherwise("Failed").alias("status"), F.col("error").alias("error_message"))
+    got = extract_content(page_titles(captures.select("url", _version(version), "html")), sites, closed=closed)
+    got = got.groupBy("url", "generation").agg(F.min(F.struct(F.col("status") != "ok", "content", "title", "status", "error")).alias("g")).select("url", "generation", "g.*")  # captures that worked first
+    got = materialize(got.withColumn("id", document_id(F.col("url"), F.col("generation"))), "pages")  # read once for results and chunks
+    results = got.select("id", "url", "generation", "title", F.when(F.col("status") == "ok", "Ready").otherwise("Failed").alias("status"), F.col("error").alias("error_message"))
     chunks, faults = embedded_chunks(got.where("status = 'ok'").select(F.col("id").alias("doc_id"), F.col("content").alias("text")), **making)
     return with_faults(results, faults), chunks
 
@@ -197,17 +203,20 @@ def registry_rows(results: DataFrame, created_at: Column) -> DataFrame:
     """Registry rows of pages from their :func:`pages_to_chunks` results."""
     return results.select(
         "id", F.coalesce("title", "url").alias("filename"), F.col("url").alias("original_path"), F.lit(None).cast("string").alias("processed_path"),
-        F.lit(0).cast("long").alias("generation"), created_at.alias("created_at"), "status", "error_message",
+        "generation", created_at.alias("created_at"), "status", "error_message",
     )
 
 
-def ingest_pages(captures: DataFrame, sites: dict[str, list[Selector]], registry: DataFrame, chunks: DataFrame, created_at: Column, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(registry, chunks, summary)`` after taking in captured pages; pages the registry knows are skipped.
+def ingest_pages(captures: DataFrame, sites: dict[str, list[Selector]], registry: DataFrame, chunks: DataFrame, created_at: Column, *, version: str | None = None, **making) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(registry, chunks, summary)`` after taking in captured pages; versions the registry knows are skipped.
 
-    A page is the version 0 of its url; its title is its file name.
+    A page is the version 0 of its url, or with ``version`` of the number in that
+    column; its title is its file name. ``making``: what :func:`pages_to_chunks`
+    takes.
     """
-    known = registry.where("generation = 0").select(F.col("original_path").alias("url")).distinct()
-    results, made = pages_to_chunks(captures.join(known, "url", "left_anti"), sites, **making)
+    known = registry.select(F.col("original_path").alias("url"), "generation").distinct()
+    new = captures.select("url", _version(version), "html").join(known, ["url", "generation"], "left_anti")
+    results, made = pages_to_chunks(new, sites, version="generation", **making)
     rows = registry_rows(results, created_at)
     ready = results.where("status = 'Ready'").select(F.col("id").alias("doc_id"))
     return registry.unionByName(rows), replace_chunks(chunks, ready, made), summary(results, made)

@@ -224,6 +224,20 @@ def test_cut_references_as_in_sql(spark, tmp_path, name):
     assert sorted(map(tuple, got[list(want)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
+@pytest.mark.parametrize("name", ["h4_pages_to_chunks"])
+def test_pages_of_one_url_as_in_sql(spark, tmp_path, name):
+    """Pages 1, 2 and 3 are of one url, as are 9 (known) and 10, and 7 (failed) and 8."""
+    text = lambda *words: "<title>t &amp</title><article>" + " ".join(words) + "</article>"
+    long = [f"w{i % 97}" for i in range(1500)]
+    pages = [(1, "u1", text(*long)), (2, "u1", text("w1", "w2", "x &amp")), (3, "u1", text(*long, "y")), (9, "u9", text("a")), (10, "u9", text("b", "c")), (7, "u7", text("d")), (8, "u7", text("e")), (11, "u11", text("f", "g")), (4, "u4", "<title>z</title><article></article>")]
+    duck = duckdb.connect()
+    duck.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    duck.executemany("insert into pages values (?, ?, ?)", pages)
+    duck.execute(f"copy pages to '{tmp_path}/pages.parquet'")
+    got, want = web_pages.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.sql(web_pages.ORACLES[name]).df()
+    assert sorted(map(tuple, got[list(want)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 def test_captures(spark):
     a = spark.createDataFrame([("u1", "ok", "A", None), ("u2", "error", None, "e1"), ("u3", "error", None, "e2")], "url string, status string, content string, error string")
     b = spark.createDataFrame([("u2", "ok", "B", None), ("u3", "error", None, "e3"), ("u4", "ok", "D", None)], a.schema)
