@@ -224,7 +224,7 @@ def test_cut_references_as_in_sql(spark, tmp_path, name):
     assert sorted(map(tuple, got[list(want)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["h4_pages_to_chunks"])
+@pytest.mark.parametrize("name", ["h4_pages_to_chunks", "h4_summary"])
 def test_pages_of_one_url_as_in_sql(spark, tmp_path, name):
     """Pages 1, 2 and 3 are of one url, as are 9 (known) and 10, and 7 (failed) and 8."""
     text = lambda *words: "<title>t &amp</title><article>" + " ".join(words) + "</article>"
