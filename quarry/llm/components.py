@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from quarry.scratch import materialize, release
+from quarry.spread import unsent
 
 
 def _written(edges: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
@@ -28,9 +29,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         for _ in range(max_rounds):
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
             low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            large = both.where("b > a").join(unsent(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
             least = large.groupBy("a").agg(F.min("b").alias("m"))
-            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+            small = large.join(unsent(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
             before, last = e, mark
             e, mark = _written(small.where("a <> b").distinct(), "stars")
             release(before)

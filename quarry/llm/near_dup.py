@@ -29,7 +29,7 @@ from quarry.llm.bytesview import mix
 from quarry.llm.components import components
 from quarry.scratch import materialize, release
 from quarry.llm.shingles import features, shingle_sets
-from quarry.spread import copied, deal, hot_parts, share, with_parts
+from quarry.spread import copied, deal, hot_parts, share, unsent, with_parts
 
 _SEMI_BUCKETS = 1 << 20
 #: A block of rows under one head holds about so many rows, and shingles.
@@ -62,11 +62,11 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int, id_col: s
     """``id, shingles`` of the classes whose number is in ``ids``, written."""
     # at most _SEMI_BUCKETS numbers, however many ids: small enough to send to every task, and texts need no shuffle
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(_SEMI_BUCKETS)).cast("int")
-    asked = classes.select("no", F.col("rep").alias("id"), "set_key").join(ids.select(F.col("id").alias("no")).distinct(), "no", "left_semi")
+    asked = classes.select("no", F.col("rep").alias("id"), "set_key").join(unsent(ids.select(F.col("id").alias("no")).distinct()), "no", "left_semi")
     wanted = F.broadcast(asked.select(bucket("id").alias("bucket")).distinct())
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("bucket", bucket("id")).join(wanted, "bucket", "left_semi")
     # an id may stand for several texts, and a text for several rows of an id
-    found = shingle_sets(some, k, "id").join(asked, ["id", "set_key"]).groupBy(F.col("no").alias("id")).agg(F.first("shingles").alias("shingles"))
+    found = shingle_sets(some, k, "id").join(unsent(asked), ["id", "set_key"]).groupBy(F.col("no").alias("id")).agg(F.first("shingles").alias("shingles"))
     return materialize(found, "sets")
 
 
@@ -142,14 +142,14 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, chu
     found, done = _links(docs, classes, k=k, similarity=similarity, chunks=chunks, width=width, id_col=id_col, text_col=text_col)
     comp = components(found)
     release(*done)
-    member = classes.select("no", "set_key", "rep").join(comp.withColumnRenamed("node", "no"), "no", "left").withColumn("component", F.coalesce("component", "no"))
+    member = classes.select("no", "set_key", "rep").join(unsent(comp.withColumnRenamed("node", "no")), "no", "left").withColumn("component", F.coalesce("component", "no"))
     least = member.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
     hot = hot_parts(least, ["component"])
-    member = deal(member, hot, ["component"], ["no"]).join(copied(least, hot, ["component"]), ["component", "part"]).select("set_key", "component_id")
+    member = deal(member, hot, ["component"], ["no"]).join(unsent(copied(least, hot, ["component"])), ["component", "part"]).select("set_key", "component_id")
     # one text may be that of many rows
     copies = hot_parts(classes.select("set_key", F.col("rows").alias("n")), ["set_key"])
     rows = deal(f.where("set_key is not null").select("id", "n_shingles", "set_key"), copies, ["set_key"], ["id"])
-    out = rows.join(copied(member, copies, ["set_key"]), ["set_key", "part"], "left").select("id", "n_shingles", "component_id")
+    out = rows.join(unsent(copied(member, copies, ["set_key"])), ["set_key", "part"], "left").select("id", "n_shingles", "component_id")
     out = out.unionByName(f.where("set_key is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -160,22 +160,22 @@ def _links(docs: DataFrame, classes: DataFrame, *, k: int, similarity: float, ch
     keyed = _keyed(classes, chunks, width)
     heads = materialize(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
     hot = hot_parts(heads, ["key"])
-    shared = deal(keyed, hot, ["key"], ["id"]).join(copied(heads, hot, ["key"]), ["key", "part"])
+    shared = deal(keyed, hot, ["key"], ["id"]).join(unsent(copied(heads, hot, ["key"])), ["key", "part"])
     shared = materialize(shared, "keys")
     pairs = materialize(shared.where("id <> head").select("head", "id").distinct(), "pairs")
     sets = _sets(pairs.select(F.explode(F.array("head", "id")).alias("id")), classes, docs, k, id_col, text_col)
     popular = hot_parts(pairs.groupBy("head").agg(F.count("*").alias("n")), ["head"])
-    both = deal(pairs, popular, ["head"], ["id"]).join(sets.withColumnRenamed("shingles", "y"), "id")
-    own = pairs.select("head").distinct().join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("x")), "head")
-    both = both.join(copied(own, popular, ["head"]), ["head", "part"])
+    both = deal(pairs, popular, ["head"], ["id"]).join(unsent(sets.withColumnRenamed("shingles", "y")), "id")
+    own = pairs.select("head").distinct().join(unsent(sets.select(F.col("id").alias("head"), F.col("shingles").alias("x"))), "head")
+    both = both.join(unsent(copied(own, popular, ["head"])), ["head", "part"])
     linked = materialize(both.where(_reaches(_shared("x", "y"), "x", "y", similarity)).select(F.col("head").alias("a"), F.col("id").alias("b")), "linked")
     comp = components(linked)
 
     # keys of two rows are settled; of the others, those with rows in several components are compared across them
-    rest = shared.where("n > 2").select("key", "part", "head", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rest = shared.where("n > 2").select("key", "part", "head", "id").join(unsent(comp.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    pool = rest.where("id <> head").join(copied(mixed, hot, ["key"]), ["key", "part"]).select("head", "id", "component").distinct()
-    pool = materialize(pool.join(sets, "id"), "pool")
+    pool = rest.where("id <> head").join(unsent(copied(mixed, hot, ["key"])), ["key", "part"]).select("head", "id", "component").distinct()
+    pool = materialize(pool.join(unsent(sets), "id"), "pool")
     release(heads, shared, pairs, sets, linked)
     size = F.sum(F.size("shingles").cast("long"))
     blocks = pool.groupBy("head").agg(F.greatest(F.count("*"), F.ceil(size * (_BLOCK / _BLOCK_SHINGLES))).alias("n"))

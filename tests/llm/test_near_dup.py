@@ -108,3 +108,23 @@ def test_hot_keys_and_blocks(spark, monkeypatch, rows):
     expected = brute(docs, 2)
     assert got(nd.near_duplicates(df, k=2)) == expected
     assert 1 < len({c for _, c, _ in expected.values()}) < 150
+
+
+def test_only_bucket_numbers_are_sent(spark, sf_dir, monkeypatch):
+    """However small Spark takes a table to be, it is shuffled: the driver holds no table that grows with the rows."""
+    plans = []
+
+    def noted(df, tag, write=nd.materialize):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(nd, "materialize", noted)
+    monkeypatch.setattr("quarry.llm.components.materialize", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        noted(nd.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")), "out")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert sent and [line for line in sent if "bucket" not in line] == []
