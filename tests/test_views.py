@@ -97,6 +97,32 @@ def test_tiles_do_not_change_neighbours(spark):
     assert one == many
 
 
+def test_neighbours_are_those_of_all_pairs(spark, monkeypatch):
+    """Equal vectors, zeros, ids as texts, lists longer than the table, and blocks and tiles of any size."""
+    monkeypatch.setattr(mapping, "_TILE", 16)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(70, 5))
+    x[10:40] = x[3]
+    x[50] = 0
+    names = [f"v{i}" for i in r.permutation(70)]
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    d = np.round(1 - u @ u.T, 9) + 0.0
+    np.fill_diagonal(d, 0)
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)], "vec_id string, embedding array<double>")
+    for k, own, tile in ((6, True, 25), (6, False, 25), (100, True, None), (1, False, 70)):
+        others = {a: sorted((d[i, j], names[j] != a, names[j]) for j in range(70) if own or i != j)[:k] for i, a in enumerate(names)}
+        want = sorted((a, n, dist, rank) for a, best in others.items() for rank, (dist, _, n) in enumerate(best, 1))
+        got = sorted(map(tuple, mapping.knn_graph(df, k=k, include_self=own, tile=tile).collect()))
+        assert [(a, n, r) for a, n, _, r in got] == [(a, n, r) for a, n, _, r in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_all_pairs_shuffle_no_vector_twice(spark):
+    """What travels must not grow with the number of tiles, as disk would with the square of the rows."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).normal(size=(60, 6)))], "vec_id long, embedding array<double>")
+    plan = mapping.knn_graph(df, k=5, tile=10)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CoGroup" not in plan
+
+
 def test_lsh_graph_finds_most(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(20, 16))[r.integers(0, 20, 300)] + 0.2 * r.normal(size=(300, 16))
