@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import scratch
 from quarry.functions import text as tx
 from quarry.operators import chats, library_view, mapping, retrieval, web
 from quarry.plans import vectors, web_pages
@@ -164,6 +165,34 @@ def test_layout_by_levels_over_the_descent(spark, monkeypatch):
     assert c.shape == (400, 3) and np.isfinite(c).all() and kept > 4
 
 
+def test_layout_keeps_no_vectors_and_sends_no_table(spark, monkeypatch):
+    """What stays written behind a map are keys and places, and joins shuffle what grows with the rows however small Spark takes it to be."""
+    monkeypatch.setattr(mapping, "_COARSEST", 60)
+    monkeypatch.setattr(mapping, "_BLOCK_VALUES", 100 * 16)
+    held, plans = {}, []
+
+    def noted(df, tag):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        out = scratch.materialize(df, tag)
+        held[out.scratch_path] = df.columns
+        return out
+
+    monkeypatch.setattr(mapping, "materialize", noted)
+    monkeypatch.setattr(mapping, "release", lambda *tables: [held.pop(t.scratch_path, scratch.release(t)) for t in tables])
+    x = np.random.default_rng(8).normal(size=(250, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = mapping.layout(df)
+        plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert out.count() == 250 and [c for c in held.values() if {"v", "weight"} & set(c)] == []
+    sent = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert sent and [line for line in sent if "__bucket" not in line] == []
+
+
 def test_layout_of_a_graph_in_many_pieces(spark, monkeypatch):
     monkeypatch.setattr(mapping, "_COARSEST", 3)
     x = np.repeat(np.eye(12), 20, axis=0) + 0.001 * np.random.default_rng(1).normal(size=(240, 12))
