@@ -124,6 +124,18 @@ def test_all_pairs_shuffle_no_vector_twice(spark):
     assert "Exchange" not in plan and "CoGroup" not in plan
 
 
+def test_fuzzy_weights_read_written_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mapping, "_BLOCK_VALUES", 10 * 6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).normal(size=(40, 6)))], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    weights = vectors.QUERIES["v5_fuzzy_weights"](spark, str(tmp_path))
+    assert "CoGroup" not in weights._jdf.queryExecution().executedPlan().toString()
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = ({(int(a), int(b)): w for a, b, w in f[["a", "b", "weight"]].itertuples(index=False)} for f in (weights.toPandas(), duck.sql(vectors.ORACLES["v5_fuzzy_weights"]).df()))
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in got)
+
+
 def test_lsh_graph_finds_most(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(20, 16))[r.integers(0, 20, 300)] + 0.2 * r.normal(size=(300, 16))
