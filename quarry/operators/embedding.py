@@ -8,7 +8,7 @@ from functools import partial
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -77,16 +77,18 @@ def embed(chunks: DataFrame, embedder: Callable[[], Embedder] | None = None, *,
     """
     make = embedder or (lambda: partial(hashing_embedder, width=width))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for frame in frames:
-            texts = frame[text_col].fillna("").tolist()
-            counts = frame["n_tokens"].tolist() if "n_tokens" in frame else [len(t.split()) for t in texts]
+        for rows in batches:  # of up to 10,000 texts; a group of them at a time is made Python's
+            texts = lambda a, n, column=rows.column(text_col): [t or "" for t in column.slice(a, n).to_pylist()]
+            counted = "n_tokens" in rows.schema.names
+            counts = rows.column("n_tokens").to_pylist() if counted else [len(t.split()) for a in range(0, len(rows), batch) for t in texts(a, batch)]
             for a, b in token_groups(counts, budget, batch):
-                found, faults = _each(model, texts[a:b], width) if errors else (_vectors(model, texts[a:b], width), None)
-                out = frame.iloc[a:b].assign(embedding=found)
-                yield out.assign(error=faults) if errors else out
+                found, faults = _each(model, texts(a, b - a), width) if errors else (_vectors(model, texts(a, b - a), width), None)
+                part = rows.slice(a, b - a)
+                made = [pa.array(found, pa.list_(pa.float32())), *([pa.array(faults, pa.string())] if errors else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "embedding", *(["error"] if errors else [])])
 
     rows = chunks.drop("embedding", "error") if errors else chunks.drop("embedding")
     new = [(F.lit(None) if errors else F.array()).cast("array<float>").alias("embedding"), *([F.lit(None).cast("string").alias("error")] if errors else [])]
-    return rows.mapInPandas(run, rows.select("*", *new).schema)
+    return rows.mapInArrow(run, rows.select("*", *new).schema)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.text import is_web_url, preview, scraped_file_name
@@ -127,16 +127,15 @@ def extract_content(captures: DataFrame, sites: dict[str, list[Selector]], *, si
     rest = [c for c in captures.columns if c != "html"]
     rows = captures.select(*rest, "html", (F.col(site_col) if site_col else F.lit(default)).alias("__site"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [_content(h, sites.get(s, sites[default]), closed) for h, s in zip(f["html"], f["__site"], strict=True)]
-            out = f[rest].copy()
-            out["matched"] = pd.array([r for r, _, _ in found], dtype="Int32")
-            out["content"] = [t for _, t, _ in found]
-            out["error"] = [e for _, _, e in found]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):  # a batch may hold 10,000 pages
+                part = batch.slice(at, 256)
+                found = [_content(h, sites.get(s, sites[default]), closed) for h, s in zip(part.column("html").to_pylist(), part.column("__site").to_pylist(), strict=True)]
+                made = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.int32(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], *made], [*rest, "matched", "content", "error"])
 
-    read = rows.mapInPandas(run, rows.select(*rest).schema.add("matched", "integer").add("content", "string").add("error", "string"))
+    read = rows.mapInArrow(run, rows.select(*rest).schema.add("matched", "integer").add("content", "string").add("error", "string"))
     columns = [*rest, "matched", "content", F.when(F.col("matched").isNotNull(), "ok").otherwise("error").alias("status"), "error"]
     return read.select(*columns)
 

@@ -96,16 +96,13 @@ def task_stream(messages: DataFrame, captures: DataFrame, sites: dict[str, list[
     def each(batch: DataFrame, number: int) -> None:
         for log in (tables.registry, tables.chunks, tables.status):
             log.merge(number)
-        tasks = route(decode(batch)).persist()
-        try:
-            with passing(spark):
-                known = tables.registry.before(number, paths(tasks), ["path", "generation"])
-                rows, made, status = take_in(tasks, captures, sites, known, **making)
-                tables.chunks.write(made, number)
-                tables.status.write(status, number)
-                tables.registry.write(rows, number)
-        finally:
-            tasks.unpersist()
+        with passing(spark):
+            tasks = materialize(route(decode(batch)).select("task_id", "route", "error", "input_data", "ts"), "routed")  # whole texts: written, as executors would hold them in memory
+            known = tables.registry.before(number, paths(tasks), ["path", "generation"])
+            rows, made, status = take_in(tasks, captures, sites, known, **making)
+            tables.chunks.write(made, number)
+            tables.status.write(status, number)
+            tables.registry.write(rows, number)
 
     w = messages.select("value", "ts").writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint")
     return start(w, spark, every)
